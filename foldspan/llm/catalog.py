@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspan.llm import tokens
+from foldspan.llm import neighbours, tokens
 from foldspan.sources.tables import table
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    decisions, rows, probes = (table(spark, d, t).select("obs_id", "obs", "loaded_at") for t in ("decisions", "learnability_rows", "probe_states"))
+    return decisions.unionByName(rows).unionByName(probes)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(_vectors(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p6_ids)}
 ORACLE: dict[str, str] = {}
