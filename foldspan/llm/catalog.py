@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspan.llm import neighbours, tokens
+from foldspan.llm import neighbours, tokens, truncation
 from foldspan.sources.tables import table
 
 
@@ -25,5 +25,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p6_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "documents"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.by_source(table(spark, d, "documents"))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.significant(truncation.lengths(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p6_ids, p8_found, p8_sources, p8_limits)}
 ORACLE: dict[str, str] = {}
