@@ -105,35 +105,46 @@ def fit(sample: np.ndarray, rows: int, seed: int = 7, leaf_rows: int = LEAF_ROWS
     rng = np.random.default_rng(seed)
     scale = max(1.0, rows / max(1, len(sample)))
     leaf_rows = max(leaf_rows, 10 * scale)
-    group_rows = group_rows or min(GROUP_ROWS, max(rows / 12, leaf_rows))
+    group_rows = group_rows or min(GROUP_ROWS, max(rows / 8, leaf_rows))
     nodes: list[list] = []  # centre, first, count, leaf
     groups: list[int] = []
     n_groups = 0
 
-    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def open_(x: np.ndarray, group: int) -> list[tuple]:
+        """Add the children of a node; those too small alone share a subtree."""
+        nonlocal n_groups
         k = int(min(BRANCH, max(2, round(len(x) * scale / leaf_rows)), len(x)))
         centres = _k_means(x, k, rng)
-        return centres, (x @ centres.T).argmax(1)
-
-    centres, at = split(sample)
-    todo = []
-    for i, c in enumerate(centres):
-        nodes.append([c, -1, 0, -1])
-        todo.append((i, sample[at == i], -1))
-    roots = len(centres)
+        at = (x @ centres.T).argmax(1)
+        added, held = [], 0.0
+        near = np.argsort(centres @ centres[0])[::-1] if group < 0 else np.arange(len(centres))
+        place = np.full(len(centres), group)
+        if group < 0:
+            held = np.inf
+            for i in near:
+                own = (at == i).sum() * scale
+                if own > group_rows:
+                    continue
+                if held + own > group_rows:
+                    n_groups, held = n_groups + 1, 0.0
+                place[i], held = n_groups - 1, held + own
+        for i, c in enumerate(centres):
+            nodes.append([c, -1, 0, -1])
+            added.append((len(nodes) - 1, x[at == i], int(place[i])))
+        return added
+
+    todo = open_(sample, -1)
+    roots = len(nodes)
     while todo:
         node, x, group = todo.pop(0)
-        expected = len(x) * scale
-        if group < 0 and expected <= group_rows:
-            group, n_groups = n_groups, n_groups + 1
-        if expected > 1.5 * leaf_rows and len(x) >= 4:
-            centres, at = split(x)
-            if len(centres) > 1:
-                nodes[node][1:3] = [len(nodes), len(centres)]
-                for i, c in enumerate(centres):
-                    nodes.append([c, -1, 0, -1])
-                    todo.append((len(nodes) - 1, x[at == i], group))
+        if len(x) * scale > 1.5 * leaf_rows and len(x) >= 4:
+            first = len(nodes)
+            added = open_(x, group)
+            if len(added) > 1:
+                nodes[node][1:3] = [first, len(added)]
+                todo += added
                 continue
+            del nodes[first:]
         if group < 0:
             group, n_groups = n_groups, n_groups + 1
         nodes[node][3] = len(groups)
@@ -391,7 +402,7 @@ def _stale(vectors: DataFrame, id_col: str, vec_col: str, at_col: str) -> DataFr
     return None if many.isEmpty() else many
 
 
-def found_edges(vectors: DataFrame, k: int = 5, floor: float | None = None, recall: float = 0.98, every: int = 1, id_col: str = "obs_id", vec_col: str = "obs", at_col: str = "loaded_at") -> DataFrame:
+def found_edges(vectors: DataFrame, k: int = 5, floor: float | None = None, recall: float = 0.95, every: int = 1, id_col: str = "obs_id", vec_col: str = "obs", at_col: str = "loaded_at") -> DataFrame:
     """``a, b, similarity``: up to k neighbours b of each asking row a per subtree.
 
     ``floor`` keeps neighbours of at least that similarity only; ``every`` takes
@@ -437,7 +448,7 @@ def ranked(edges: DataFrame, k: int) -> DataFrame:
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def similar_pairs(vectors: DataFrame, floor: float = 0.9, k: int = 5, recall: float = 0.98) -> DataFrame:
+def similar_pairs(vectors: DataFrame, floor: float = 0.9, k: int = 5, recall: float = 0.95) -> DataFrame:
     """``id_a < id_b``: pairs of at least ``floor`` where one is among the other's k nearest."""
     edges = found_edges(vectors, k, floor, recall)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
