@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspan.llm import neighbours, tokens, truncation
+from foldspan.llm import diversity, mixing, neighbours, quantiles, tokens, truncation
 from foldspan.sources.tables import table
 
 
+def p1_varied(spark: SparkSession, d: str) -> DataFrame:
+    return diversity.varied(table(spark, d, "decisions"))
+
+
+def p1_combinations(spark: SparkSession, d: str) -> DataFrame:
+    return diversity.combinations(table(spark, d, "decisions"))
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    values = quantiles.values(*(table(spark, d, t) for t in ("decisions", "decision_snapshots", "learnability_rows")))
+    return quantiles.combine(quantiles.build(values, ["metric", "grp", "day"], "value"), ["metric", "grp", "day"])
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["metric", "grp"]
+    return quantiles.percentiles(quantiles.combine(_days(spark, d), keys), keys)
+
+
+def p4_days(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.percentiles(_days(spark, d), ["metric", "grp", "day"])
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     decisions, rows, probes = (table(spark, d, t).select("obs_id", "obs", "loaded_at") for t in ("decisions", "learnability_rows", "probe_states"))
     return decisions.unionByName(rows).unionByName(probes)
@@ -25,6 +47,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p7_taken(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.found(table(spark, d, "documents"))
 
@@ -37,5 +67,5 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.significant(truncation.lengths(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_nearest, p6_ids, p8_found, p8_sources, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p4_days, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
 ORACLE: dict[str, str] = {}
