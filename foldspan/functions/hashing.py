@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed value: prefix of the exploration contract's hash input
 CONTRACT = "D3_top2_discard_v1"
@@ -31,7 +32,7 @@ def canonical_event(event: dict) -> str | None:
     return json.dumps(kept, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_line(lines: pd.Series) -> pd.Series:
     """Canonical form of NDJSON lines; null for lines that are not JSON objects."""
 
@@ -45,7 +46,7 @@ def canonical_line(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def state_hash(obs: pd.Series, mask: pd.Series) -> pd.Series:
     """blake2b-128 (hex) of the observation as 32-bit floats and the mask as bytes."""
     import numpy as np

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldspan.plans import profiles, records
+from foldspan.plans import profiles, records, sequences
 
-_MODULES = (records, profiles)
+_MODULES = (records, profiles, sequences)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
