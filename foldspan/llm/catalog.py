@@ -16,18 +16,9 @@ def p1_combinations(spark: SparkSession, d: str) -> DataFrame:
     return diversity.combinations(table(spark, d, "decisions"))
 
 
-def _days(spark: SparkSession, d: str) -> DataFrame:
-    values = quantiles.values(*(table(spark, d, t) for t in ("decisions", "decision_snapshots", "learnability_rows")))
-    return quantiles.combine(quantiles.build(values, ["metric", "grp", "day"], "value"), ["metric", "grp", "day"])
-
-
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["metric", "grp"]
-    return quantiles.percentiles(quantiles.combine(_days(spark, d), keys), keys)
-
-
-def p4_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(_days(spark, d), ["metric", "grp", "day"])
+    values = quantiles.values(*(table(spark, d, t) for t in ("decisions", "decision_snapshots", "learnability_rows")))
+    return quantiles.by_day_and_all(values)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -67,5 +58,5 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.significant(truncation.lengths(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p4_days, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
 ORACLE: dict[str, str] = {}

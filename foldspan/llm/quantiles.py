@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.runtime import partitions_for
+from foldspan.runtime import cut, partitions_for
 
 #: section size; rank error is about ``SPREAD / K`` of the distance to the end
 K = 32
@@ -239,30 +239,42 @@ def combine(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(sketches: DataFrame, keys: list[str], ps=PERCENTS) -> DataFrame:
-    """``keys, n, nulls, odd, lo, hi`` and one column per percentile.
+    """One row per group and percentile: ``keys, p, value, n, nulls, odd, lo, hi, max_rank_error``.
 
     ``odd`` counts non-finite values.  ``max_rank_error`` is three standard
-    errors of the rank, as a share of the distance to the nearer end.
+    errors of the value's rank as a share of n: proportional to the distance of
+    p from the nearer end, 0 while a sketch still holds every value.
     """
-    names = [f"p{format(100 * p, 'g').replace('.', '_')}" for p in ps]
-    schema = f"{_keys_schema(sketches, keys)}, n bigint, nulls bigint, odd bigint, lo double, hi double, {', '.join(f'{c} double' for c in names)}, max_rank_error double"
-    n = len(keys)
+    schema = f"{_keys_schema(sketches, keys)}, p double, value double, n bigint, nulls bigint, odd bigint, lo double, hi double, max_rank_error double"
+    k, m = len(keys), len(ps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            read = [Sketch.of(r[n:]) for r in rows]
-            got = [s.quantiles(ps) for s in read]
-            cols = [*batch.columns[: n + 3]]
-            cols += [pa.array([r[n + i] if r[n] else None for r in rows], pa.float64()) for i in (3, 4)]
-            cols += [pa.array([g[i] for g in got], pa.float64()) for i in range(len(ps))]
-            exact = [len(s.low.levels) == 1 for s in read]
-            cols.append(pa.array([0.0 if e else 3 * SPREAD / K for e in exact], pa.float64()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*keys, *_NAMES[:5], *names, "max_rank_error"])
+            read = [Sketch.of(r[k:]) for r in rows]
+            each = pa.array(np.repeat(np.arange(len(rows)), m))
+            wide = batch.take(each)
+            ends = [pa.array([r[k + i] if r[k] else None for r in rows], pa.float64()).take(each) for i in (3, 4)]
+            error = [0.0 if len(s.low.levels) == 1 else 3 * SPREAD / K * min(p, 1 - p) for s in read for p in ps]
+            got = [v for s in read for v in s.quantiles(ps)]
+            cols = [*wide.columns[:k], pa.array(list(ps) * len(rows), pa.float64()), pa.array(got, pa.float64()), *wide.columns[k : k + 3], *ends, pa.array(error, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "p", "value", *_NAMES[:5], "max_rank_error"])
 
     return sketches.select(*keys, *_NAMES).mapInArrow(run, schema)
 
 
+def by_day_and_all(values_: DataFrame) -> DataFrame:
+    """Percentiles per metric, group and day, and of all days together.
+
+    ``level`` is ``day`` or ``all`` (``day`` null).  The sketches of all days are
+    merged from those of the single days; no value is read for them again.
+    """
+    days = cut(combine(build(values_, ["metric", "grp", "day"], "value"), ["metric", "grp", "day"]))
+    one = percentiles(days, ["metric", "grp", "day"]).withColumn("level", F.lit("day"))
+    total = percentiles(combine(days, ["metric", "grp"]), ["metric", "grp"]).withColumn("level", F.lit("all")).withColumn("day", F.lit(None).cast("date"))
+    return one.unionByName(total).select("level", "metric", "grp", "day", "p", "value", "n", "nulls", "odd", "lo", "hi", "max_rank_error")
+
+
 def phase(column: Column) -> Column:
     """One spelling per phase: early, middle, late; ``unknown`` for null or blank."""
     p = F.lower(F.trim(column))
