@@ -83,9 +83,9 @@ def lookahead_relations(spark, d):
     return W.lookahead(event_log(spark, d), ["user_id"], "idx", F.col("event_type") == "purchase", 8, F.col("event_id"))
 
 
-@query(f"WITH {SEG}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY idx) AS pos_, count(*) OVER (PARTITION BY user_id, segment) AS n, max_by(value, idx) OVER (PARTITION BY user_id, segment) AS fin FROM seg) SELECT user_id, event_id, round(pow(0.99, n - pos_) * fin / 30000, 8) AS target FROM s")
+@query(f"WITH {SEG}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY idx) AS pos_, count(*) OVER (PARTITION BY user_id, segment) AS n, max_by(value, idx) OVER (PARTITION BY user_id, segment) AS fin FROM seg) SELECT user_id, event_id, CAST(pow(0.99, n - pos_) * fin / 30000 AS FLOAT) AS target FROM s")
 def mc_return_targets(spark, d):
-    return W.discounted(_log(spark, d), ["user_id", "segment"], "idx", F.col("value") / 30000, 0.99, "target").select("user_id", "event_id", F.round("target", 8).alias("target"))
+    return W.discounted(_log(spark, d), ["user_id", "segment"], "idx", F.col("value") / 30000, 0.99, "target").select("user_id", "event_id", F.col("target").cast("float").alias("target"))
 
 
 @query(f"WITH {SEG}, p AS (SELECT user_id, segment, max_by(value, idx) FILTER (WHERE event_type = 'signup') AS base, coalesce(sum(CASE event_type WHEN 'purchase' THEN value WHEN 'error' THEN -value END), 0) AS delta, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS sticks FROM seg GROUP BY 1, 2) SELECT user_id, max(segment) AS segments, round(max_by(coalesce(base, 0) + delta - 10 * sticks, segment), 6) AS final, round(max_by(coalesce(base, 0) + delta, segment), 6) AS final_without_sticks FROM p GROUP BY 1")
