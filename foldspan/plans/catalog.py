@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldspan.plans import comparing, profiles, records, sequences
+from foldspan.plans import comparing, logs, profiles, records, sequences
 
-_MODULES = (records, profiles, sequences, comparing)
+_MODULES = (records, profiles, sequences, comparing, logs)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
