@@ -135,17 +135,18 @@ class Encoder:
 
     def _flat(self, raw: bytes) -> np.ndarray:
         ids = self.byte_ids[np.frombuffer(raw, np.uint8)]
-        while len(ids) > 1:
-            rank = self.pairs((ids[:-1] << 20) | ids[1:])
-            best = rank.min()
-            if best == NONE:
-                break
+        rank = self.pairs((ids[:-1] << 20) | ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
             pos = np.flatnonzero(rank == best)
             run = np.flatnonzero(np.diff(pos, prepend=-9) != 1)
             offset = np.arange(len(pos)) - np.repeat(run, np.diff(np.append(run, len(pos))))
             pos = pos[offset % 2 == 0]
             ids[pos] = best
-            ids = np.delete(ids, pos + 1)
+            ids, rank = np.delete(ids, pos + 1), np.delete(rank, pos)
+            new = pos - np.arange(len(pos))
+            near = np.unique(np.concatenate([new - 1, new]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.pairs((ids[near] << 20) | ids[near + 1])
         return ids.astype(np.int32)
 
     def _learn(self, fresh: list[str]) -> None:
