@@ -48,11 +48,13 @@ def divergence(counts: DataFrame, cohort: str, key: str) -> DataFrame:
 def wasserstein(df: DataFrame, keys: list[str], value: str, side_a, weight) -> DataFrame:
     """Exact weighted 1-Wasserstein distance between two sides of each group.
 
-    Weights are normalised per side; the window runs over distinct values.
+    Weights are normalised per side; a side without weight makes it null.  The
+    window runs over distinct values.
     """
     mass = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(F.when(side_a, weight).otherwise(0)).alias("wa"), F.sum(F.when(~side_a, weight).otherwise(0)).alias("wb"))
     by, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-    gap = F.abs(F.sum("wa").over(by) / F.sum("wa").over(whole) - F.sum("wb").over(by) / F.sum("wb").over(whole))
+    cdf = lambda c: F.try_divide(F.sum(c).over(by), F.sum(c).over(whole))
+    gap = F.abs(cdf("wa") - cdf("wb"))
     return mass.select(*keys, (F.coalesce(F.lead("v").over(by) - F.col("v"), F.lit(0)) * gap).alias("d")).groupBy(*keys).agg(F.sum("d").alias("distance"))
 
 
