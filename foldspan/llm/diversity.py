@@ -113,7 +113,8 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
     Starts from one row per combination, most distant combinations first, and a
     greedy fill; then takes the best swap as long as one adds distance.  Rows
     that alone stand for their combination are not swapped out unless for the
-    same combination (while ``size`` allows all of them).
+    same combination; where ``size`` is too small for all combinations, none gets
+    a second row.
     """
     n = len(code)
     if size >= n:
@@ -146,11 +147,13 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
     covers = len(first) <= size
     for _ in range(most_swaps or 4 * n):
         ins, outs = np.flatnonzero(~inside), np.flatnonzero(inside)
-        count = np.bincount(code[outs], minlength=code.max() + 1)
+        count = np.bincount(code[outs], minlength=int(code.max()) + 1)
         gain = total[ins][:, None] - total[outs][None, :] - d[np.ix_(ins, outs)]
         if covers:
             fixed = count[code[outs]] == 1
             gain[(code[ins][:, None] != code[outs][None, :]) & fixed[None, :]] = -1
+        else:
+            gain[(code[ins][:, None] != code[outs][None, :]) & (count[code[ins]] > 0)[:, None]] = -1
         best = int(gain.argmax())
         i, o = divmod(best, len(outs))
         if gain[i, o] <= 1e-4:

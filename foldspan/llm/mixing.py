@@ -74,13 +74,13 @@ def plan(targets: DataFrame, sizes: DataFrame, total: float | None = None, seed:
     asked = targets.where("mix is not null and source is not null").groupBy("mix", "source").agg(F.sum(share).alias("target"), F.min("max_repeats").alias("cap"))
     joined = asked.join(sizes, "source", "left").withColumn("usable", F.coalesce((F.col("tokens") > 0) & (F.col("target") > 0) & (F.coalesce("cap", F.lit(1)) > 0), F.lit(False)))
     mix = Window.partitionBy("mix")
-    joined = joined.withColumn("share", F.when(F.col("usable"), F.col("target") / F.sum(F.when(F.col("usable"), F.col("target"))).over(mix)))
-    room = F.min(F.when(F.col("usable") & F.col("cap").isNotNull(), F.col("cap") * F.col("tokens") / F.col("share"))).over(mix)
+    joined = joined.withColumn("share", F.when(F.col("usable"), F.try_divide("target", F.sum(F.when(F.col("usable"), F.col("target"))).over(mix))))
+    room = F.min(F.when(F.col("usable") & F.col("cap").isNotNull(), F.try_divide(F.col("cap") * F.col("tokens"), F.col("share")))).over(mix)
     size = F.lit(float(total)) if total is not None else F.coalesce(room, F.sum(F.when(F.col("usable"), F.col("tokens"))).over(mix))
     want = joined.withColumn("want", F.col("share") * size)
-    rate = F.col("want") / F.col("tokens")
+    rate = F.try_divide("want", "tokens")
     unit = F.pmod(F.xxhash64("mix", "source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return want.select("mix", "source", "target", "share", "cap", "tokens", "n_docs", "want", F.when(F.col("cap").isNotNull(), F.least(rate, F.col("cap").cast("double"))).otherwise(rate).alias("rate"), unit.alias("offset"))
+    return want.select("mix", "source", "target", "share", "cap", "tokens", "n_docs", "want", F.when(rate.isNotNull(), F.least(rate, F.col("cap").cast("double"))).alias("rate"), unit.alias("offset"))
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
     mix = Window.partitionBy("mix")
     emitted = F.coalesce("emitted", F.lit(0))
     shares = wanted.join(got, ["mix", "source"], "left").select(
-        "mix", "source", F.col("target").alias("target_share"), F.round("share", 6).alias("wanted_share"), F.round(emitted / F.sum(emitted).over(mix), 6).alias("reached_share"),
+        "mix", "source", F.col("target").alias("target_share"), F.round("share", 6).alias("wanted_share"), F.round(F.coalesce(F.try_divide(emitted, F.sum(emitted).over(mix)), F.lit(0.0)), 6).alias("reached_share"),
         F.col("cap").alias("max_repeats"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs_taken", F.lit(0)).alias("docs_taken"), F.coalesce("tokens", F.lit(0)).alias("tokens"), emitted.alias("emitted"),
     )
     return taken, shares

@@ -204,6 +204,11 @@ def _unit(column: pa.Array) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _full(half: np.ndarray) -> np.ndarray:
+    x = half.astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 _MOVED = "g int, kind int, id bigint, class bigint, leaf int, leaves binary, vec binary"
 _FOUND = "kind int, a bigint, b bigint, similarity double"
 
@@ -293,7 +298,7 @@ class _Subtree:
         once = np.ones(len(ids), bool)  # repeated deliveries of one row are neighbours in this order
         once[1:] = (ids[1:] != ids[:-1]) | (leaf[1:] != leaf[:-1])
         self.ids, self.klass, self.leaf, self.leaves = ids[once], klass[once], leaf[once], leaves[once]
-        self.x = vecs[once].astype(np.float32)
+        self.half, self.x = vecs[once], _full(vecs[once])
         starts = np.flatnonzero(np.diff(self.leaf, prepend=-1))
         self.range = {int(self.leaf[s]): (s, e) for s, e in zip(starts, [*starts[1:], len(self.ids)])}
         self.parts, self.ready = [], True
@@ -334,7 +339,8 @@ class _Subtree:
                     qs.append(rows[q[other]]), ns.append(c + n[other]), ss.append(val[other])
         if not qs:
             return
-        q, n, val = np.concatenate(qs), np.concatenate(ns), np.concatenate(ss)
+        # rounding makes equal vectors equally similar, whatever the block they met in
+        q, n, val = np.concatenate(qs), np.concatenate(ns), np.round(np.concatenate(ss).astype(np.float64), 6)
         order = np.lexsort((self.ids[n], -val, q))
         q, n, val = q[order], n[order], val[order]
         first = np.flatnonzero(np.diff(q, prepend=-1))
@@ -343,10 +349,17 @@ class _Subtree:
         yield 0, ids[q[keep]], self.ids[n[keep]], val[keep]
 
     def classes(self) -> Iterator[tuple]:
-        rows = np.flatnonzero(self.klass)
-        for c in np.unique(self.klass[rows]):
-            ids = np.unique(self.ids[rows[self.klass[rows] == c]])[: self.k + 1]
-            yield 1, np.full(len(ids), c), ids, np.ones(len(ids))
+        """The ``k + 1`` smallest ids of every class that lost rows before the shuffle.
+
+        Rows of batches with few copies carry no class name; they are found by
+        their vector.
+        """
+        named = np.flatnonzero(self.klass)
+        for row in named[np.unique(self.klass[named], return_index=True)[1]]:
+            lo, hi = self.range[int(self.leaf[row])]
+            same = (self.half[lo:hi] == self.half[row]).all(1)
+            ids = np.unique(self.ids[lo:hi][same])[: self.k + 1]
+            yield 1, np.full(len(ids), self.klass[row]), ids, np.ones(len(ids))
 
 
 def _search(k: int, floor: float | None):
@@ -384,7 +397,7 @@ def _search(k: int, floor: float | None):
                     continue
                 yield from finish(tree)
                 if tree.ready:
-                    for found in tree.ask(ids, vecs.astype(np.float32), leaves):
+                    for found in tree.ask(ids, _full(vecs), leaves):
                         yield rows(*found)
         yield from finish(tree)
 
