@@ -50,4 +50,29 @@ def p3_manifest_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_seats, p2_discards, p2_melds, p3_found, p3_records, p3_files, p3_manifest_check)}
-ORACLE: dict[str, str] = {}
+
+_LOG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(url_decode(regexp_replace(trim(src_path), '^(?i)file:(//)?/', '/')), chr(92), '/'), '/+', '/', 'g'), '(/[.])+(/|$)', '\2', 'g'), '/[^/]+/[.][.](/|$)', '\1'), '/[^/]+/[.][.](/|$)', '\1')"
+_LINES = "l AS (SELECT file_id, {0} AS log, unnest(string_split(replace(body, chr(13), ''), chr(10))) AS line, unnest(range(1, len(string_split(replace(body, chr(13), ''), chr(10))) + 1)) AS line_no FROM export_jobs WHERE src_path IS NOT NULL), e AS (SELECT file_id, log, CAST(line_no AS INTEGER) AS line_no, trim(line) AS line, try_cast(json_extract_string(CASE WHEN json_valid(line) THEN line END, '$.event_index') AS BIGINT) AS event_index FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY log, event_index ORDER BY file_id, line_no) AS n FROM e WHERE event_index IS NOT NULL)".format(_LOG)
+_FIX = "CASE WHEN json_type({0}) = 'VARCHAR' AND json_valid(json_extract_string({0}, '$')) AND left(json_extract_string({0}, '$'), 1) IN ('[', '{{') THEN CAST(json_extract_string({0}, '$') AS JSON) ELSE {0} END"
+_ENTRIES = "CASE json_type({0}) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length({0}) AS BIGINT)), lambda i: {{'k': CAST(i AS BIGINT), 'v': json_extract({0}, '$[' || i || ']')}}) WHEN 'OBJECT' THEN CASE WHEN len(list_filter(json_keys({0}), lambda k: try_cast(k AS BIGINT) IS NULL)) > 0 THEN [{{'k': CAST(0 AS BIGINT), 'v': {0}}}] ELSE list_transform(json_keys({0}), lambda k: {{'k': CAST(k AS BIGINT), 'v': json_extract({0}, '$.' || k)}}) END WHEN 'VARCHAR' THEN list_transform(range(len(list_filter(string_split(json_extract_string({0}, '$'), ' '), lambda t: t <> ''))), lambda i: {{'k': CAST(i AS BIGINT), 'v': CAST('1' AS JSON)}}) END"
+_ITEMS = " UNION ALL ".join(
+    f"SELECT 'snapshot', snapshot_id, CAST(i.i AS INTEGER), '{name}', CAST(j AS INTEGER) FROM s, range(4) i(i), unnest(range(len({name}s[i.i + 1]))) t(j) WHERE {name}s[i.i + 1][j + 1] IS NOT NULL" for name in ("discard", "meld")
+)
+_STATES = " UNION ALL ".join(
+    f"SELECT 'state' AS rec, state_id AS rec_id, seat, '{name}' AS kind, CAST(x.k AS INTEGER) AS item_no FROM (SELECT state_id, seat, unnest({_ENTRIES.format('v')}) AS x FROM (SELECT state_id, seat, {_FIX.format(name + 's')} AS v FROM p)) WHERE x.v IS NOT NULL AND json_type(x.v) <> 'NULL'" for name in ("discard", "meld")
+)
+ORACLE: dict[str, str] = {
+    "p2_found": f"""WITH s AS (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+g AS (SELECT state_id, CAST(payload AS JSON) AS j FROM game_states WHERE json_valid(payload) QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+u AS (SELECT state_id, json_extract(coalesce(json_extract(j, '$.data.state'), json_extract(j, '$.state'), j), '$.players') AS pl FROM g),
+q AS (SELECT state_id, unnest({_ENTRIES.format("pl")}) AS x FROM u),
+p AS (SELECT state_id, CAST(coalesce(try_cast(json_extract_string(x.v, '$.seat') AS BIGINT), x.k) AS INTEGER) AS seat, json_extract(x.v, '$.discards') AS discards, json_extract(x.v, '$.melds') AS melds FROM q WHERE json_type(x.v) = 'OBJECT')
+{_STATES} UNION ALL {_ITEMS}""",
+    "p3_found": f"WITH {_LINES} SELECT file_id, line_no FROM r WHERE n > 1",
+    "p3_records": f"WITH {_LINES} SELECT log, event_index, file_id, line_no, line FROM r WHERE n = 1",
+    "p3_manifest_check": f"""WITH m AS (SELECT manifest_id, unnest(files) AS src_path FROM export_manifests), a AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM m WHERE src_path IS NOT NULL), b AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM export_jobs WHERE src_path IS NOT NULL AND manifest_id IS NOT NULL),
+g AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, sum(CASE WHEN b.log IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN a.log IS NULL THEN 1 ELSE 0 END) AS unlisted FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.log = b.log GROUP BY 1), h AS (SELECT manifest_id, count(*) AS held FROM export_jobs GROUP BY 1)
+SELECT x.manifest_id, CAST(len(files) AS BIGINT) AS listed, CAST(list_sum(map_values(shard_file_counts)) AS BIGINT) AS shard_total, coalesce(held, 0) AS held, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(unlisted, 0) AS BIGINT) AS unlisted FROM export_manifests x LEFT JOIN g ON x.manifest_id = g.manifest_id LEFT JOIN h ON x.manifest_id = h.manifest_id""",
+    "p2_seats": None,
+}
+ORACLE = {k: v for k, v in ORACLE.items() if v}
