@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldspan.llm import diversity, mixing, neighbours, quantiles, tokens, truncation
 from foldspan.sources.tables import table
@@ -55,8 +56,22 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.significant(truncation.lengths(table(spark, d, "documents")))
+    found = truncation.significant(truncation.lengths(table(spark, d, "documents")))
+    return found.withColumns({c: F.round(c, 8) for c in ("hazard", "near_hazard")})
 
 
 QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
-ORACLE: dict[str, str] = {}
+_TOKEN = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
+_UNITS = "v AS (SELECT obs_id, obs, loaded_at FROM decisions UNION ALL SELECT obs_id, obs, loaded_at FROM learnability_rows UNION ALL SELECT obs_id, obs, loaded_at FROM probe_states), l AS (SELECT * FROM v WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1), f AS (SELECT obs_id, CAST(obs AS DOUBLE[]) AS o FROM l WHERE len(obs) = 64 AND len(list_filter(obs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(obs, lambda x: x <> 0)) > 0), u AS (SELECT obs_id, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS o FROM f)"
+ORACLE: dict[str, str] = {
+    "p1_combinations": f"""WITH d AS (SELECT * FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+t AS (SELECT CASE {_TOKEN.format("phase")} WHEN 'mid' THEN 'middle' ELSE {_TOKEN.format("phase")} END AS p, {_TOKEN.format("action_kind")} AS k, CASE WHEN shanten BETWEEN -1 AND 6 THEN shanten END AS shanten FROM d)
+SELECT CASE WHEN p IN {diversity.PHASES} THEN p ELSE 'unknown' END AS phase, CASE WHEN k IN {diversity.KINDS} THEN k ELSE 'unknown' END AS action_kind, shanten, count(*) AS n FROM t GROUP BY 1, 2, 3""",
+    "p5_found": f"""WITH {_UNITS}, n AS (SELECT a.obs_id AS a, b.obs_id AS b, list_dot_product(a.o, b.o) AS s FROM u a JOIN u b ON a.obs_id <> b.obs_id WHERE list_dot_product(a.o, b.o) >= 0.9), r AS (SELECT a, b FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r""",
+    "p8_limits": f"""WITH t AS (SELECT DISTINCT source, text FROM documents WHERE length(text) > 0), x AS (SELECT source, 'chars' AS unit, length(text) AS len FROM t UNION ALL SELECT source, 'bytes', strlen(text) FROM t), c AS (SELECT source, unit, len, count(*) AS n FROM x GROUP BY 1, 2, 3),
+h AS (SELECT *, sum(n) OVER (PARTITION BY source, unit ORDER BY len DESC) AS at_risk, coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {truncation.FAR} PRECEDING AND {truncation.NEAR} PRECEDING), 0) + coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {truncation.NEAR} FOLLOWING AND {truncation.FAR} FOLLOWING), 0) AS near FROM c),
+e AS (SELECT *, near_hazard * at_risk AS expected FROM (SELECT *, (near + 1.0) / (at_risk * {2 * (truncation.FAR - truncation.NEAR + 1)}) AS near_hazard FROM h)), p AS (SELECT *, CASE WHEN n > expected THEN n - expected - n * ln(n / expected) ELSE 0 END AS log_p, count(*) OVER (PARTITION BY source, unit) AS tests FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, unit ORDER BY log_p, len) AS place FROM p WHERE log_p <= ln({truncation.FDR}) AND n >= {truncation.LEAST} AND n >= {truncation.SHARP} * expected), g AS (SELECT *, max(CASE WHEN log_p <= ln(place * {truncation.FDR} / tests) THEN place ELSE 0 END) OVER (PARTITION BY source, unit) AS upto FROM f)
+SELECT source, unit, CAST(len AS INTEGER) AS len, n, round(n / at_risk, 8) AS hazard, round(near_hazard, 8) AS near_hazard FROM g WHERE place <= upto""",
+}
