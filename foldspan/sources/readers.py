@@ -17,10 +17,10 @@ def text_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     A file is read as one value, because only that keeps its line order; gzip
     goes by extension.  ``log_id`` is the file's path.  Missing folders raise.
     """
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    files = r.text(paths).select(F.col("_metadata.file_path").alias("log_id"), F.split("value", "\r\n|\n").alias("l"))
+    files = r.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.split("value", "\r\n|\n").alias("l"))
     return files.select("log_id", F.filter("l", lambda x: F.trim(x) != "").alias("l")).select("log_id", F.posexplode("l").alias("event_index", "line"))
 
 
