@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # fixed values: rank-point profiles, first to fourth place
 PROFILES: dict[str, tuple[float, ...]] = {
-    "tenhou_reference": (90.0, 45.0, 0.0, -135.0),
-    "mortal_default": (6.0, 4.0, 2.0, 0.0),
+    "reference_90_45": (90.0, 45.0, 0.0, -135.0),
+    "default_6_4_2_0": (6.0, 4.0, 2.0, 0.0),
     "avoid4_norm": (15.0 / 7.0, 9.0 / 7.0, 3.0 / 7.0, -27.0 / 7.0),
     "top1_norm": (3.3, 0.3, -0.9, -2.7),
     "avoid4_raw": (4.0, 3.0, 2.0, -3.0),

@@ -125,18 +125,18 @@ BOARD = f"WITH {SEATS}, r AS (SELECT *, row_number() OVER (PARTITION BY game ORD
 @query(f"{BOARD} SELECT seat, count(*) AS games, CAST(sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS BIGINT) AS rank_1, CAST(sum(CASE WHEN rank = 2 THEN 1 ELSE 0 END) AS BIGINT) AS rank_2, CAST(sum(CASE WHEN rank = 3 THEN 1 ELSE 0 END) AS BIGINT) AS rank_3, CAST(sum(CASE WHEN rank = 4 THEN 1 ELSE 0 END) AS BIGINT) AS rank_4, round(avg(rank), 6) AS avg_rank, round(avg({POINTS}), 6) AS avg_rank_pt FROM r GROUP BY 1")
 def rank_leaderboard(spark, d):
     ranks = W.ranks(seat_scores(spark, d), ["game"], "score", "seat")
-    return R.summarise_ranks(ranks, ["seat"], "rank", R.PROFILES["tenhou_reference"])
+    return R.summarise_ranks(ranks, ["seat"], "rank", R.PROFILES["reference_90_45"])
 
 
-@query(f"{BOARD} SELECT seat, profile, round(avg(CASE rank WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END), 6) AS avg_rank_pt FROM r, (VALUES ('tenhou_reference', 90.0, 45.0, 0.0, -135.0), ('mortal_default', 6.0, 4.0, 2.0, 0.0), ('avoid4_raw', 4.0, 3.0, 2.0, -3.0), ('top1_raw', 8.0, 3.0, 1.0, -2.0)) v(profile, p1, p2, p3, p4) GROUP BY 1, 2")
+@query(f"{BOARD} SELECT seat, profile, round(avg(CASE rank WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END), 6) AS avg_rank_pt FROM r, (VALUES ('reference_90_45', 90.0, 45.0, 0.0, -135.0), ('default_6_4_2_0', 6.0, 4.0, 2.0, 0.0), ('avoid4_raw', 4.0, 3.0, 2.0, -3.0), ('top1_raw', 8.0, 3.0, 1.0, -2.0)) v(profile, p1, p2, p3, p4) GROUP BY 1, 2")
 def rank_point_profiles(spark, d):
     ranks = W.ranks(seat_scores(spark, d), ["game"], "score", "seat")
-    return R.profile_points(ranks, ["seat"], "rank", ["tenhou_reference", "mortal_default", "avoid4_raw", "top1_raw"])
+    return R.profile_points(ranks, ["seat"], "rank", ["reference_90_45", "default_6_4_2_0", "avoid4_raw", "top1_raw"])
 
 
 @query(f"{BOARD} SELECT game, max(CASE WHEN seat = 0 THEN pt END) - max(CASE WHEN seat = 1 THEN pt END) AS d01, max(CASE WHEN seat = 0 THEN pt END) - max(CASE WHEN seat = 2 THEN pt END) AS d02, max(CASE WHEN seat = 0 THEN rank END) - max(CASE WHEN seat = 1 THEN rank END) AS rank_diff FROM (SELECT *, {POINTS} AS pt FROM r) GROUP BY 1")
 def pivot_paired_deltas(spark, d):
-    ranks = W.ranks(seat_scores(spark, d), ["game"], "score", "seat").withColumn("pt", R.points(F.col("rank"), R.PROFILES["tenhou_reference"]))
+    ranks = W.ranks(seat_scores(spark, d), ["game"], "score", "seat").withColumn("pt", R.points(F.col("rank"), R.PROFILES["reference_90_45"]))
     p = ranks.groupBy("game").pivot("seat", [0, 1, 2]).agg(F.first("pt").alias("pt"), F.first("rank").alias("rank"))
     return p.select("game", (F.col("0_pt") - F.col("1_pt")).alias("d01"), (F.col("0_pt") - F.col("2_pt")).alias("d02"), (F.col("0_rank") - F.col("1_rank")).alias("rank_diff"))
 

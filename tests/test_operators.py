@@ -88,9 +88,9 @@ def test_contribution(spark):
 
 def test_ranks(spark):
     r = spark.createDataFrame([(g, s, k) for g, ks in enumerate([(1, 2, 3, 4), (2, 1, 3, 4), (2, 1, 3, 4), (3, 1, 2, 4)]) for s, k in enumerate(ks)], "g int, seat int, rank int")
-    got = {x.seat: x for x in R.summarise_ranks(r, ["seat"], "rank", R.PROFILES["tenhou_reference"]).collect()}
+    got = {x.seat: x for x in R.summarise_ranks(r, ["seat"], "rank", R.PROFILES["reference_90_45"]).collect()}
     assert (got[0].games, got[0].avg_rank, got[0].avg_rank_pt) == (4, 2.0, 45.0)
-    assert R.parse_points("90, 45,0,-135") == R.PROFILES["tenhou_reference"]
+    assert R.parse_points("90, 45,0,-135") == R.PROFILES["reference_90_45"]
     for bad in ("1,2,3", "1,2,3,x", (1, 2, 3, float("nan"))):
         with pytest.raises(ValueError):
             R.parse_points(bad)
