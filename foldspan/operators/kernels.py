@@ -143,3 +143,67 @@ def progress(counts: pd.Series) -> pd.DataFrame:
     for name, v in (("distance", d), ("kinds", k), ("live", live)):
         out.loc[rows, name] = v[back.ravel()]
     return out
+
+
+_DELTA = T.ArrayType(T.StructType([T.StructField("tile", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("delta", T.IntegerType()), T.StructField("live", T.IntegerType())]))
+
+
+def _valid(c) -> bool:
+    return c is not None and len(c) == 34 and min(c) >= 0 and max(c) <= 4 and 1 <= sum(c) <= 14
+
+
+def _deltas(counts: pd.Series, step: int) -> pd.Series:
+    rows = [i for i, c in enumerate(counts) if _valid(c)]
+    out: list = [None] * len(counts)
+    if rows:
+        hands = np.array([list(counts.iloc[i]) for i in rows])
+        base = distance(hands)
+        owner, tile = np.nonzero(hands < 4 if step > 0 else hands > 0)
+        moved = hands[owner]
+        moved[np.arange(len(owner)), tile] += step
+        after = distance(moved) if len(owner) else base[:0]
+        live = 4 - hands[owner, tile]
+        for k, i in enumerate(rows):
+            mine = owner == k
+            out[i] = [{"tile": int(t), "distance": int(d), "delta": int(d - base[k]), "live": int(n)} for t, d, n in zip(tile[mine], after[mine], live[mine])]
+    return pd.Series(out)
+
+
+@F.pandas_udf(_DELTA)
+def draw_deltas(counts: pd.Series) -> pd.Series:
+    """What each possible draw does: ``tile, distance, delta, live`` of a hand to draw."""
+    return _deltas(counts, 1)
+
+
+@F.pandas_udf(_DELTA)
+def discard_deltas(counts: pd.Series) -> pd.Series:
+    """What each possible discard does; null or misshapen hands give null."""
+    return _deltas(counts, -1)
+
+
+def tile_ids(counts):
+    """Distinct ids 0..135 of a 34-count vector: four per tile, the first ones taken."""
+    c = F.col(counts) if isinstance(counts, str) else counts
+    ids = F.transform(c, lambda n, i: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: (i * 4 + k - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
+    return F.flatten(ids)
+
+
+def expected_rank(probs):
+    """Mean rank 1..4 of four probabilities; null unless they sum to 1 within 1e-4."""
+    p = F.col(probs) if isinstance(probs, str) else probs
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    mean = F.aggregate(F.transform(p, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return F.when((F.size(p) == 4) & (F.abs(total - 1) <= 1e-4), mean)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def others_ready(hands: pd.Series, seat: pd.Series) -> pd.Series:
+    """1 for each of the three other seats, in turn order, whose hand is one tile away or complete."""
+    out = []
+    for four, own in zip(hands, seat):
+        if four is None or own is None or len(four) != 4:
+            out.append(None)
+            continue
+        order = [four[(int(own) + k) % 4] for k in (1, 2, 3)]
+        out.append([None if not _valid(h) else float(distance(np.array(list(h)))[0] <= 0) for h in order])
+    return pd.Series(out)

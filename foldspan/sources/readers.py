@@ -82,3 +82,19 @@ def last_write_wins(series: DataFrame, keys: list[str], file: str, position: str
     before = F.lag(value).over(w)
     clash = F.abs(F.col(value) - before) > atol + rtol * F.abs(before)
     return kept, series.withColumn("before", before).withColumn("clash_", clash).where("clash_").drop("clash_")
+
+
+def latest_pass(ledger: DataFrame, key: str, status: str, position: str) -> DataFrame:
+    """Of an append-only ledger, the last passing entry per key."""
+    rest = [c for c in ledger.columns if c != key]
+    return ledger.where(F.col(status) == "PASS").groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("r")).select(key, "r.*")
+
+
+def remapped(df: DataFrame, column: str, prefixes: dict[str, str]) -> DataFrame:
+    """Paths with the first matching prefix replaced, back-slashes turned round."""
+    p = F.translate(F.col(column), "\\", "/")
+    out = None
+    for a, b in prefixes.items():
+        new = F.concat(F.lit(b), F.expr(f"substring(translate(`{column}`, '\\\\', '/'), {len(a) + 1})"))
+        out = F.when(p.startswith(a), new) if out is None else out.when(p.startswith(a), new)
+    return df.withColumn(column, p if out is None else out.otherwise(p))

@@ -75,3 +75,29 @@ def pending_until(stream: DataFrame, cluster: str, order: str, kind: str, value:
         yield pd.DataFrame(done, columns=[cluster, "event_id", "steps", "target"])
 
     return stream.groupBy(cluster).applyInPandasWithState(step, out, "waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
+def budgeted(stream: DataFrame, cluster: list[str], segment: str, order: list[str], u: str, p: float = 0.25, per_segment: int = 1, per_cluster: int = 8) -> DataFrame:
+    """Streaming form of the exploration budget: counters per cluster live in state.
+
+    Gives ``cluster, segment, order, reason``; equal to the batch form when the
+    rows of a cluster arrive in order.
+    """
+    keep = [*cluster, segment, *order]
+    schema = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in keep) + ", reason string"
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"total": 0, "segments": {}}
+        pdf = pd.concat(list(batches)).sort_values(order)
+        reasons = []
+        for seg, x in zip(pdf[segment], pdf[u]):
+            used = held["segments"].get(str(seg), 0)
+            why = "hanchan_budget_exhausted" if held["total"] >= per_cluster else "kyoku_budget_exhausted" if used >= per_segment else "hash_rejected" if x >= p else "explored"
+            if why == "explored":
+                held["total"] += 1
+                held["segments"][str(seg)] = used + 1
+            reasons.append(why)
+        state.update((json.dumps(held),))
+        yield pdf[keep].assign(reason=reasons)
+
+    return stream.groupBy(*cluster).applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.NoTimeout)

@@ -71,3 +71,14 @@ def test_progress_column(spark):
     got = {r.id: r.p for r in df.select("id", K.progress("counts").alias("p")).collect()}
     assert tuple(got[1]) == (0, 2, 8) and tuple(got[5]) == (0, 2, 8) and got[6][0] == -1
     assert all(v is None for i in (2, 3, 4) for v in got[i])
+
+
+def test_deltas_ids_and_ranks(spark):
+    from pyspark.sql import functions as F
+
+    h = hand("123456789m45p77s")
+    df = spark.createDataFrame([(1, h.tolist(), [0.1, 0.2, 0.3, 0.4], [h.tolist(), [0] * 34, hand("19m19p19s1234567z").tolist(), hand("1358m259p147s123z").tolist()]), (2, None, [0.5] * 4, None)], "id int, counts array<int>, p array<double>, four array<array<int>>")
+    a, b = df.select(K.draw_deltas("counts").alias("d"), K.discard_deltas("counts").alias("o"), K.tile_ids("counts").alias("i"), K.expected_rank("p").alias("r"), K.others_ready("four", F.lit(0)).alias("t")).collect()
+    assert sorted(x.tile for x in a.d if x.delta < 0) == [11, 14] and all(x.delta >= 0 for x in a.o) and len(a.o) == (h > 0).sum()
+    assert len(a.i) == 13 == len(set(a.i)) and a.i[:3] == [0, 4, 8] and a.r == pytest.approx(3.0) and a.t == [None, 1.0, 0.0]
+    assert (b.d, b.o, b.i, b.r, b.t) == (None, None, None, None, None)

@@ -182,3 +182,21 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
             n = len(waiting[u]) - 1
             want |= {(u, e, n - p) for p, e in enumerate(waiting.pop(u))}
     assert got == want
+
+
+def test_streamed_budget_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(c, i // 3, i, float(rng.random())) for c in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "c int, seg int, i int, u double")
+    for part in range(3):
+        df.where(F.floor(F.col("i") / 20) == part).coalesce(1).write.parquet(str(tmp_path / f"s/p{part}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = {(r.c, r.i): r.reason for r in L.drain(L.budgeted(stream, ["c"], "seg", ["i"], "u")).collect()}
+    assert got == {(r.c, r.i): r.reason for r in W.budgeted(df, ["c"], "seg", "i", F.col("u")).collect()}
+
+
+def test_ledger_and_remap(spark):
+    led = spark.createDataFrame([("a", "PASS", 1, "x"), ("a", "FAIL", 3, "y"), ("a", "PASS", 2, "z"), ("b", "FAIL", 1, "w")], "shard string, status string, line int, v string")
+    assert [tuple(r) for r in readers.latest_pass(led, "shard", "status", "line").collect()] == [("a", "PASS", 2, "z")]
+    p = spark.createDataFrame([("C:\\data\\x",), ("/mnt/y",), (None,)], "p string")
+    assert [r.p for r in readers.remapped(p, "p", {"C:/data": "/lake", "/mnt": "/m"}).collect()] == ["/lake/x", "/m/y", None]
