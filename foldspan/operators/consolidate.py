@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -102,25 +103,29 @@ def _merge(target_bytes: int, keep_lines: bool):
                 same[0] = first == last
             else:
                 yield table(1, kind=["first"], range_no=[part], log=[first[0]], event_index=[first[1]], file_id=batch.column("file_id")[:1], line_no=batch.column("line_no")[:1], n_bytes=pc.binary_length(batch.column("line")[:1]))
-            sizes = pc.binary_length(batch.column("line")).to_pylist()
-            outs = [0] * n
-            keys = None
-            for i in range(n):
-                if file is None or (file["n_bytes"] >= target_bytes and not same[i]):
+            copy = np.array(same)
+            kept = np.where(copy, 0, pc.binary_length(batch.column("line")).to_numpy() + 1)
+            upto = np.cumsum(kept)
+            outs = np.zeros(n, np.int32)
+            at = 0
+            while at < n:
+                if file is None or (file["n_bytes"] >= target_bytes and not copy[at]):
                     if file is not None:
                         yield table(1, kind=["file"], range_no=[part], out_no=[out_no], **{k: [v] for k, v in file.items()})
                         out_no += 1
-                    file = {"log": log[i].as_py(), "event_index": idx[i].as_py(), "n_records": 0, "n_copies": 0, "n_bytes": 0}
-                outs[i] = out_no
-                if same[i]:
-                    file["n_copies"] += 1
-                else:
-                    file["n_records"] += 1
-                    file["n_bytes"] += sizes[i] + 1
-                if keys is None or i == n - 1:
-                    keys = i
-                if i == n - 1 or file["n_bytes"] >= target_bytes:
-                    file["last_log"], file["last_index"] = log[i].as_py(), idx[i].as_py()
+                    file = {"log": log[at].as_py(), "event_index": idx[at].as_py(), "n_records": 0, "n_copies": 0, "n_bytes": 0}
+                # the file takes rows until it is full, and the copies that follow its last record
+                before = upto[at] - kept[at]
+                full = int(np.searchsorted(upto, before + max(1, target_bytes - file["n_bytes"])))
+                more = np.flatnonzero(~copy[full + 1 :]) if full < n else []
+                end = full + 1 + int(more[0]) if len(more) else n
+                outs[at:end] = out_no
+                n_copies = int(copy[at:end].sum())
+                file["n_copies"] += n_copies
+                file["n_records"] += end - at - n_copies
+                file["n_bytes"] += int(upto[end - 1] - before)
+                file["last_log"], file["last_index"] = log[end - 1].as_py(), idx[end - 1].as_py()
+                at = end
             last = (log[n - 1].as_py(), idx[n - 1].as_py())
             copies = pa.array(same)
             dup = batch.filter(copies)
@@ -129,7 +134,7 @@ def _merge(target_bytes: int, keep_lines: bool):
             if keep_lines:
                 kept = batch.filter(pc.invert(copies))
                 if kept.num_rows:
-                    yield table(kept.num_rows, kind=["record"] * kept.num_rows, range_no=[part] * kept.num_rows, out_no=pa.array(outs, pa.int32()).filter(pc.invert(copies)), **{c: kept.column(c) for c in ("log", "event_index", "file_id", "line_no", "line")})
+                    yield table(kept.num_rows, kind=["record"] * kept.num_rows, range_no=[part] * kept.num_rows, out_no=pa.array(outs).filter(pc.invert(copies)), **{c: kept.column(c) for c in ("log", "event_index", "file_id", "line_no", "line")})
         if last is not None:
             yield table(1, kind=["last"], range_no=[part], log=[last[0]], event_index=[last[1]])
             yield table(1, kind=["file"], range_no=[part], out_no=[out_no], **{k: [v] for k, v in file.items()})

@@ -19,6 +19,26 @@ def segment_ids(df: DataFrame, cluster: str, order: str, opens: Column, out: str
     return df.withColumn(out, (F.sum(F.when(opens, 1).otherwise(0)).over(w) - 1).cast("bigint"))
 
 
+def running_sums(df: DataFrame, cluster: str, order: list[str], sums: dict[str, Column], ranges: int) -> DataFrame:
+    """Running sums per cluster, for clusters too large for one task.
+
+    Rows are range-sorted by cluster and order, so a hot cluster is cut into many
+    ranges; sums run within a range and are shifted by the totals of the ranges
+    before.  ``order`` must be unique within a cluster.  Null summands count as 0.
+    """
+    from foldspan.runtime import cut
+
+    ranged = df.repartitionByRange(ranges, cluster, *order).withColumn("part_", F.spark_partition_id())
+    local = Window.partitionBy("part_", cluster).orderBy(*order)
+    held = cut(ranged).withColumns({n: F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    totals = held.groupBy(cluster, "part_").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(cluster).orderBy("part_").rowsBetween(FIRST, -1)
+    shift = totals.select(F.col(cluster).alias("c_"), F.col("part_").alias("p_"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"s_{n}") for n in sums])
+    run = held.withColumns({n: F.sum(n).over(local) for n in sums})
+    out = run.join(shift, F.col(cluster).eqNullSafe(F.col("c_")) & (F.col("part_") == F.col("p_")))
+    return out.select(*[c for c in df.columns if c not in sums], *[(F.col(n) + F.col(f"s_{n}")).alias(n) for n in sums])
+
+
 def sticky_flag(df: DataFrame, keys: list[str], order: str, raised: Column, out: str) -> DataFrame:
     """True for rows after the one that raised the flag, within the keys."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(FIRST, -1)

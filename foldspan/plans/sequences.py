@@ -34,6 +34,15 @@ def segment_ids(spark, d):
     return _log(spark, d).select("user_id", "event_id", "idx", "segment")
 
 
+@query(f"WITH {SEG} SELECT user_id, event_id, idx, segment FROM seg")
+def segment_ids_of_hot_clusters(spark, d):
+    # the same result where one cluster may hold a third of all rows
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    ranges = max(8, spark.sparkContext.defaultParallelism)
+    r = W.running_sums(e, "user_id", ["ts", "event_id"], {"idx": F.lit(1).cast("bigint"), "segment": F.when(F.col("event_type") == "signup", 1).otherwise(0).cast("bigint")}, ranges)
+    return r.select("user_id", "event_id", (F.col("idx") - 1).alias("idx"), (F.col("segment") - 1).alias("segment"))
+
+
 @query(f"WITH {SEG} SELECT user_id, event_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, segment ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS flag FROM seg")
 def sticky_flag(spark, d):
     return W.sticky_flag(_log(spark, d), ["user_id", "segment"], "idx", F.col("event_type") == "purchase", "flag").select("user_id", "event_id", "flag")
