@@ -107,10 +107,10 @@ def positional_join(spark, d):
     return U.positional_join(side("decisions"), side("learnability_rows"), "log_id", "row_idx")
 
 
-@query(f"WITH {SEATS}, r AS (SELECT game, seat, row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) AS rank FROM g), n AS (SELECT game, seat, ['M0', 'D1', 'D2', 'D3'][CAST((seat + day(game)) % 4 + 1 AS INTEGER)] AS role FROM r) SELECT n.role, count(*) AS games, round(avg(rank), 8) AS avg_rank, round(avg({POINTS}), 8) AS avg_pt FROM n JOIN r ON n.game = r.game AND n.seat = r.seat GROUP BY 1")
+@query(f"WITH {SEATS}, r AS (SELECT game, seat, row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) AS rank FROM g), n AS (SELECT game, seat, ['M0', 'D1', 'D2', 'D3'][CAST((seat + day(CAST(game AS DATE))) % 4 + 1 AS INTEGER)] AS role FROM r) SELECT n.role, count(*) AS games, round(avg(rank), 8) AS avg_rank, round(avg({POINTS}), 8) AS avg_pt FROM n JOIN r ON n.game = r.game AND n.seat = r.seat GROUP BY 1")
 def roles_by_seat(spark, d):
     ranks = W.ranks(seat_scores(spark, d), ["game"], "score", "seat")
-    names = ranks.groupBy("game").agg(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.element_at(F.array(*map(F.lit, ("M0", "D1", "D2", "D3"))), (F.pmod(s + F.dayofmonth("game"), F.lit(4)) + 1).cast("int"))).alias("names"))
+    names = ranks.groupBy("game").agg(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.element_at(F.array(*map(F.lit, ("M0", "D1", "D2", "D3"))), (F.pmod(s + F.dayofmonth(F.to_date("game")), F.lit(4)) + 1).cast("int"))).alias("names"))
     return _rounded(U.roles_by_seat(names, ranks, "game"))
 
 

@@ -23,9 +23,9 @@ SEG = EV + ", seg AS (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1
 def seat_scores(spark: SparkSession, d: str) -> DataFrame:
     """Games of four seats: a day of ``events`` by ``user_id % 4``, whole scores with ties."""
     e = table(spark, d, "events")
-    return e.groupBy(F.to_date("ts").alias("game"), F.pmod("user_id", F.lit(4)).cast("int").alias("seat")).agg(F.floor(F.sum("value") / 400).cast("bigint").alias("score"), F.dayofmonth(F.min("ts")).alias("day"))
+    return e.groupBy(F.to_date("ts").cast("string").alias("game"), F.pmod("user_id", F.lit(4)).cast("int").alias("seat")).agg(F.floor(F.sum("value") / 400).cast("bigint").alias("score"), F.dayofmonth(F.min("ts")).alias("day"))
 
 
-SEATS = "g AS (SELECT CAST(ts AS DATE) AS game, CAST(user_id % 4 AS INTEGER) AS seat, CAST(floor(sum(value) / 400) AS BIGINT) AS score, CAST(day(min(ts)) AS INTEGER) AS day FROM events GROUP BY 1, 2)"
-POINTS = "CASE rank WHEN 1 THEN 90.0 WHEN 2 THEN 45.0 WHEN 3 THEN 0.0 ELSE -135.0 END"
+SEATS = "g AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS game, CAST(user_id % 4 AS INTEGER) AS seat, CAST(floor(sum(value) / 400) AS BIGINT) AS score, CAST(day(min(ts)) AS INTEGER) AS day FROM events GROUP BY 1, 2)"
+POINTS = "CAST(CASE rank WHEN 1 THEN 90.0 WHEN 2 THEN 45.0 WHEN 3 THEN 0.0 ELSE -135.0 END AS DOUBLE)"
 LEGAL = "list_filter(list_transform(range(46), lambda i: CASE WHEN mask[i + 1] AND q[i + 1] IS NOT NULL AND isfinite(q[i + 1]) THEN {'a': i, 'q': q[i + 1]} END), lambda x: x IS NOT NULL)"
