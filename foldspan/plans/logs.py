@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foldspan.functions import actions as A
-from foldspan.operators import consolidate, kernels
+from foldspan.operators import consolidate, features, kernels
 from foldspan.plans.common import EV
 from foldspan.sources import sinks
 from foldspan.sources.tables import table
@@ -100,6 +100,17 @@ def hand_progress(spark, d):
     return c.select("snapshot_id", "key").join(judged, "key").select("snapshot_id", "p.distance", "p.kinds", "p.live")
 
 
+@query()
+def snapshot_planes(spark, d):
+    return features.encode(table(spark, d, "snapshots"))
+
+
+@query()
+def hand_effects(spark, d):
+    c = _counts(spark, d).select("snapshot_id", "counts")
+    return c.select("snapshot_id", F.explode(kernels.draw_deltas("counts")).alias("x")).select("snapshot_id", "x.tile", "x.distance", "x.delta", "x.live")
+
+
 CODE = "(((((CAST(action % 12 AS BIGINT) * 35 + (action % 34 + 1)) * 35 + (action % 31 + 1)) * 35 + (action % 30 + 1)) * 35 + 0) * 5 + (current_rank % 4 + 1)) * 256 + kyoku % 8"
 
 
