@@ -119,3 +119,43 @@ def action_features(kind_id, tile, tsumogiri, in_hand, visible, wall) -> Column:
         _c(kind_id).cast("double"), F.when(t >= 0, t / F.lit(33.0)).otherwise(0.0), flag(_c(tsumogiri)), F.least(F.lit(1.0), _c(in_hand) / 4.0), F.least(F.lit(1.0), _c(visible) / 4.0),
         flag(t >= 27), flag((t >= 0) & (t < 27) & n.isin(0, 8)), _c(wall) / 70.0,
     )
+
+
+# fixed values: the 45-entry action space, discards first
+INDEX45 = {"reach": 34, "chi_low": 35, "chi_mid": 36, "chi_high": 37, "pon": 38, "daiminkan": 39, "ankan": 40, "kakan": 41, "hora": 42, "ryukyoku": 43, "none": 44}
+
+
+def chi_kind(pai, consumed) -> Column:
+    """``chi_low``, ``chi_mid`` or ``chi_high``: where the called tile stands among the two used."""
+    rank = lambda t: F.substring(plain_tile(t), 1, 1).cast("int")
+    used = F.array_sort(F.transform(_c(consumed), rank))
+    return F.when(rank(pai) < used[0], "chi_low").when(rank(pai) < used[1], "chi_mid").when(rank(pai).isNotNull() & (F.size(used) == 2), "chi_high")
+
+
+def index45(kind, pai, consumed) -> Column:
+    """Index of an action in the 45-entry space; an unknown discard tile gives null."""
+    k = F.when(_c(kind) == "chi", chi_kind(pai, consumed)).otherwise(_c(kind))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in INDEX45.items() for x in kv]), k)
+    at = tile34(pai)
+    return F.when(_c(kind) == "dahai", F.when(at >= 0, at)).otherwise(F.coalesce(named, F.lit(INDEX45["none"])))
+
+
+def wire_events(kind, actor, pai, consumed, target) -> Column:
+    """The events that an action becomes: a declaration is followed by its discard."""
+    event = lambda k, p: F.struct(k.alias("type"), _c(actor).alias("actor"), p.alias("pai"), _c(consumed).alias("consumed"), _c(target).alias("target"))
+    k, p = _c(kind), _c(pai)
+    none = F.lit(None).cast("string")
+    return F.when((k == "reach") & p.isNotNull(), F.array(event(F.lit("reach"), none), event(F.lit("dahai"), p))).when(k == "none", F.array().cast("array<struct<type:string,actor:int,pai:string,consumed:array<string>,target:int>>")).otherwise(F.array(event(k, p)))
+
+
+def train_seat(seed, key) -> Column:
+    """Seat from a seed and the key rotated left by 13 bits, modulo 4."""
+    k = _c(key).cast("bigint")
+    turned = F.shiftleft(k, 13).bitwiseOR(F.shiftrightunsigned(k, 51))
+    return F.pmod(_c(seed).cast("bigint").bitwiseXOR(turned).bitwiseAND(F.lit(3).cast("bigint")), F.lit(4)).cast("int")
+
+
+def sub_multiset(part, whole) -> Column:
+    """Whether every tile of ``part`` is in ``whole`` at least as often."""
+    many = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+    return F.forall(_c(part), lambda t: many(_c(part), t) <= many(_c(whole), t))

@@ -76,3 +76,16 @@ def entropy(p) -> Column:
 
 def all_close(a, b, rtol: float = 1e-5, atol: float = 1e-6) -> Column:
     return F.forall(F.zip_with(_c(a), _c(b), lambda x, y: F.abs(x - y) <= atol + rtol * F.abs(y)), lambda x: x)
+
+
+def best_alternative(pairs, action) -> Column:
+    """The best legal entry other than ``action``; null if there is none."""
+    return F.get(ranked(F.filter(_c(pairs), lambda x: x["action"] != _c(action))), F.lit(0))
+
+
+def centred(g) -> Column:
+    """A vector over legal entries without its common part: ``(common, centred norm)``."""
+    n = F.size(_c(g))
+    m = total(g) / n
+    rest = F.transform(_c(g), lambda x: x - m)
+    return F.when(n > 0, F.struct((m * F.sqrt(n.cast("double"))).alias("common"), norm(rest).alias("centred_norm")))

@@ -191,3 +191,105 @@ def gradients(df: DataFrame, keys: list[str], pairs: str, action: str) -> DataFr
     g = F.zip_with("p_", pairs, lambda p, x: p - F.when(x["action"] == F.col(action), 1.0).otherwise(0.0))
     rows = rows.withColumn("g_", g)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(V.norm("g_")).alias("norm"), F.avg(V.entropy("p_")).alias("entropy"), F.avg(V.total("g_")).alias("common"))
+
+
+def primary_flags(df: DataFrame, keys: list[str], order: str, action: str, opens: int = 42, limit: int = 37) -> DataFrame:
+    """``primary`` and ``fault``: the row after an opening action is auxiliary.
+
+    An auxiliary action must be below ``limit``; an opening action must not be the
+    last row.  Auxiliary rows never open, so the row before decides.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    aux = F.coalesce(F.lag(action).over(w) == opens, F.lit(False))
+    bad = (aux & ~F.col(action).between(0, limit - 1)) | ((F.col(action) == opens) & F.lead(action).over(w).isNull())
+    return df.withColumn("primary", ~aux).withColumn("fault", F.coalesce(bad, F.lit(False)))
+
+
+def mapped_events(events: DataFrame, rows: DataFrame, on: list[str], ident: str) -> DataFrame:
+    """``on, hits, row``: how many rows each event key meets; 1 is a clean mapping.
+
+    Rows are counted per key first, so no event is multiplied.
+    """
+    per = rows.groupBy(*on).agg(F.count("*").alias("n_"), F.min(ident).alias("row"))
+    return events.select(*on).join(per, on, "left").select(*on, F.coalesce("n_", F.lit(0)).alias("hits"), "row")
+
+
+def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """``sum(w x) / sum(w)`` over rows that have both; null without weight."""
+    ok = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
+    return ok.groupBy(*keys).agg(F.sum(weight).alias("weight"), F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"))
+
+
+def accuracy_by_group(df: DataFrame, group: str, hit: Column, merged: dict[str, list[str]]) -> DataFrame:
+    """Hits and accuracy per group and per merged set of groups, from one count."""
+    per = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    names = F.array(F.col(group), *[F.when(F.col(group).isin(v), k) for k, v in merged.items()])
+    each = per.select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name"), "n", "hits")
+    return each.groupBy("name").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).withColumn("accuracy", F.try_divide("hits", "n"))
+
+
+def exposed_counts(counts: DataFrame, weights: DataFrame, cluster: str, key: str, n: str, times: str) -> DataFrame:
+    """Counts of clusters added up with how often each was used; unused ones give 0."""
+    j = counts.join(weights, cluster, "left")
+    return j.groupBy(key).agg(F.sum(F.col(n) * F.coalesce(F.col(times), F.lit(0))).alias("exposed"))
+
+
+def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Pearson correlation, 0 where it is not defined."""
+    c = F.corr(x, y)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)).alias("r"))
+
+
+def second_moments(df: DataFrame, keys: list[str], vec: str, dim: int) -> DataFrame:
+    """``i, j, mean_i, mean_j, m``: means and mean products of vector entries, i <= j.
+
+    Arrow batches are reduced to one sum matrix each, so only sums are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kn = len(keys)
+
+    def run(batches):
+        for b in batches:
+            x = b.column(kn).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            labels = list(zip(*(c.to_pylist() for c in b.columns[:kn]))) if kn else [()] * len(x)
+            for label in set(labels):
+                part = x[[k for k, v in enumerate(labels) if v == label]]
+                full = np.hstack([part, np.ones((len(part), 1))])
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], c.type) for v, c in zip(label, b.columns)], pa.array([len(part)], pa.int64()), pa.array([(full.T @ full).ravel().tolist()])], names=[*keys, "n", "s"])
+
+    parts = df.where(F.size(vec) == dim).select(*keys, vec).mapInArrow(run, f"{names}{', ' if kn else ''}n bigint, s array<double>")
+    flat = parts.select(*keys, "n", F.posexplode("s").alias("p", "v")).groupBy(*keys, "p").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    cell = flat.select(*keys, F.floor(F.col("p") / (dim + 1)).cast("int").alias("i"), (F.col("p") % (dim + 1)).cast("int").alias("j"), (F.col("v") / F.col("n")).alias("m"))
+    means = cell.where(F.col("j") == dim)
+    side = lambda a: means.select(*keys, F.col("i").alias(a), F.col("m").alias(f"mean_{a}"))
+    return cell.where(F.col("i") <= F.col("j")).where(F.col("j") < dim).join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"]).select(*keys, "i", "j", "mean_i", "mean_j", "m")
+
+
+def first_best(df: DataFrame, keys: list[str], ident: str, ascending: list[str], descending: list[str]) -> DataFrame:
+    """The row that is best by a lexicographic key; the smaller id wins ties."""
+    order = F.struct(*[F.col(c) for c in ascending], *[(-F.col(c)).alias(c) for c in descending], F.col(ident))
+    return df.groupBy(*keys).agg(F.min_by(F.col(ident), order).alias(ident))
+
+
+def reasons(df: DataFrame, rules: dict[str, Column], out: str = "reasons") -> DataFrame:
+    """The names of the rules that a row breaks, and whether it breaks none."""
+    broken = F.filter(F.array(*[F.when(c, n) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return df.withColumn(out, broken).withColumn("passed", F.size(out) == 0)
+
+
+def coverage_readout(votes: int, families: int, exclusive: dict[str, float], gates_ok: bool) -> str:
+    """A majority of families and some exclusive mass, if every gate holds."""
+    if not gates_ok:
+        return "no_verdict_gates_failed"
+    return "A_coverage_priority" if 2 * votes > families and any(v > 0 for v in exclusive.values()) else "inconclusive"
+
+
+def rate_differences(ranks: DataFrame, game: str, label: str, rank: str, a: str, b: str) -> DataFrame:
+    """Per rank, the share of games each label took it, in percent points of difference."""
+    n = lambda x: F.count_if(F.col(label) == x)
+    tot = ranks.agg(n(a).alias("na"), n(b).alias("nb"))
+    per = ranks.groupBy(rank).agg(n(a).alias("ca"), n(b).alias("cb")).join(F.broadcast(tot))
+    return per.select(rank, (100 * (F.try_divide("cb", "nb") - F.try_divide("ca", "na"))).alias("difference_pp"))

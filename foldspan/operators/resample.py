@@ -124,3 +124,26 @@ def difference_in_differences(cells: DataFrame, keys: list[str], a: str, b: str,
     """``(y11 - y10) - (y01 - y00)`` of 0/1 factors, per group."""
     cell = lambda i, j: F.avg(F.when((F.col(a) == i) & (F.col(b) == j), F.col(value)))
     return cells.groupBy(*keys).agg(((cell(1, 1) - cell(1, 0)) - (cell(0, 1) - cell(0, 0))).alias("interaction"))
+
+
+def paired_hierarchical_bootstrap(values: dict[int, list[tuple[float, float]]], reps: int = 5000, seed: int = 20260818) -> pd.DataFrame:
+    """Two measures of the same games resampled with the same draws."""
+    arrays = [np.asarray(values[k], float).reshape(-1, 2) for k in sorted(values)]
+    rng, means = np.random.default_rng(seed), np.empty((reps, 2))
+    for r in range(reps):
+        picked = rng.integers(0, len(arrays), size=len(arrays))
+        means[r] = np.mean([arrays[i][rng.integers(0, len(arrays[i]), size=len(arrays[i]))].mean(0) for i in picked], axis=0)
+    lo, hi = np.quantile(means, [0.025, 0.975], axis=0)
+    return pd.DataFrame({"mean": np.mean([a.mean(0) for a in arrays], axis=0), "lo": lo, "hi": hi})
+
+
+def mmd_bootstrap(cluster_sums: DataFrame, times: DataFrame, cohort: str, a, b) -> DataFrame:
+    """``rep, mmd2``: squared gap of mean features of two cohorts under cluster multiplicities.
+
+    ``cluster_sums``: ``place, cohort, n, s array<double>``; ``times``: ``rep,
+    place, times``.  Feature sums per cluster make a replicate cheap.
+    """
+    j = cluster_sums.join(times, "place").select("rep", F.col(cohort).alias("c"), (F.col("n") * F.col("times")).alias("n"), F.posexplode(F.transform("s", lambda x: x * F.col("times"))).alias("i", "v"))
+    per = j.groupBy("rep", "c", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
+    gap = F.max(F.when(F.col("c") == a, F.col("m"))) - F.max(F.when(F.col("c") == b, F.col("m")))
+    return per.groupBy("rep", "i").agg(gap.alias("d")).groupBy("rep").agg(F.sum(F.col("d") * F.col("d")).alias("mmd2"))

@@ -177,3 +177,70 @@ def gradient_columns(spark, d):
     t = table(spark, d, "decisions").where("q is not null and mask is not null and action is not null").select("route", "action", V.legal().alias("l"))
     t = t.where((F.size("l") > 1) & F.exists("l", lambda x: x["action"] == F.col("action")))
     return _rounded(U.gradients(t, ["route"], "l", "action"))
+
+
+@query(f"WITH a AS (SELECT log_id, row_idx, max(action) AS action FROM decisions WHERE log_id IS NOT NULL AND row_idx IS NOT NULL AND action IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, coalesce(lag(action) OVER o = 42, false) AS aux, lead(action) OVER o AS nxt FROM a WINDOW o AS (PARTITION BY log_id ORDER BY row_idx)) SELECT log_id, row_idx, NOT aux AS \"primary\", (aux AND NOT action BETWEEN 0 AND 36) OR (action = 42 AND nxt IS NULL) AS fault FROM w")
+def primary_row_flags(spark, d):
+    t = table(spark, d, "decisions").where("log_id is not null and row_idx is not null and action is not null").groupBy("log_id", "row_idx").agg(F.max("action").alias("action"))
+    return U.primary_flags(t, ["log_id"], "row_idx", "action").select("log_id", "row_idx", "primary", "fault")
+
+
+@query("WITH e AS (SELECT DISTINCT log_id, row_idx FROM learnability_rows UNION SELECT DISTINCT log_id, row_idx FROM probe_states), p AS (SELECT log_id, row_idx, count(*) AS n, min(obs_id) AS r FROM decisions GROUP BY 1, 2) SELECT e.log_id, e.row_idx, coalesce(n, 0) AS hits, r AS row FROM e LEFT JOIN p ON e.log_id = p.log_id AND e.row_idx = p.row_idx")
+def event_row_mapping(spark, d):
+    e = table(spark, d, "learnability_rows").select("log_id", "row_idx").union(table(spark, d, "probe_states").select("log_id", "row_idx")).distinct()
+    return U.mapped_events(e, table(spark, d, "decisions"), ["log_id", "row_idx"], "obs_id")
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 4) AS weight, round(sum(l_discount * l_quantity) / sum(l_quantity), 8) AS mean FROM lineitem GROUP BY 1")
+def game_weighted_mean(spark, d):
+    w = U.weighted_mean(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity")
+    return w.select("l_returnflag", F.round("weight", 4).alias("weight"), F.round("mean", 8).alias("mean"))
+
+
+@query("WITH h AS (SELECT action_kind, action_kind LIKE 'chi%' AS chi, target_rank = current_rank AS hit FROM decisions WHERE action_kind IS NOT NULL), u AS (SELECT action_kind AS name, hit FROM h UNION ALL SELECT 'chi', hit FROM h WHERE action_kind IN ('chi_low', 'chi_mid', 'chi_high') UNION ALL SELECT 'call', hit FROM h WHERE action_kind IN ('chi_low', 'chi_mid', 'chi_high', 'pon', 'kan')) SELECT name, count(*) AS n, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(sum(CASE WHEN hit THEN 1 ELSE 0 END) / count(*), 8) AS accuracy FROM u GROUP BY 1")
+def accuracy_by_action(spark, d):
+    chi = ["chi_low", "chi_mid", "chi_high"]
+    t = table(spark, d, "decisions").where("action_kind is not null")
+    return _rounded(U.accuracy_by_group(t, "action_kind", F.coalesce(F.col("target_rank") == F.col("current_rank"), F.lit(False)), {"chi": chi, "call": [*chi, "pon", "kan"]}))
+
+
+@query("WITH c AS (SELECT log_id, action_kind, count(*) AS n FROM decisions WHERE log_id IS NOT NULL GROUP BY 1, 2), w AS (SELECT DISTINCT log_id, CAST(('0x' || substr(sha256('x|' || log_id), 1, 8))::UBIGINT % 4 AS BIGINT) AS times FROM c) SELECT action_kind, CAST(sum(n * times) AS BIGINT) AS exposed FROM c JOIN w ON c.log_id = w.log_id GROUP BY 1")
+def exposure_weighted_counts(spark, d):
+    c = table(spark, d, "decisions").where("log_id is not null").groupBy("log_id", "action_kind").agg(F.count("*").alias("n"))
+    w = c.select("log_id").distinct().withColumn("times", S.draw(F.lit(4).cast("bigint"), "x", F.col("log_id")))
+    return U.exposed_counts(c, w, "log_id", "action_kind", "n", "times")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(coalesce(corr(o_totalprice, o_custkey), 0), 8) AS r FROM orders GROUP BY 1")
+def correlation_or_zero(spark, d):
+    return _rounded(U.correlation(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_custkey"))
+
+
+@query("WITH v AS (SELECT label % 2 AS cohort, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), i AS (SELECT unnest(range(6)) AS i) SELECT CAST(cohort AS INTEGER) AS cohort, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(v[a.i + 1]), 8) AS mean_i, round(avg(v[b.i + 1]), 8) AS mean_j, round(avg(v[a.i + 1] * v[b.i + 1]), 8) AS m FROM v, i a, i b WHERE a.i <= b.i GROUP BY 1, 2, 3")
+def second_moments(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("label") % 2).alias("cohort"), F.slice("embedding", 1, 6).alias("v"))
+    return _rounded(U.second_moments(e, ["cohort"], "v", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_quantity DESC, l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def lexicographic_best(spark, d):
+    return U.first_best(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", ["l_discount"], ["l_quantity", "l_extendedprice"])
+
+
+@query("SELECT manifest_id, schema_name, array_to_string(list_filter([CASE WHEN file_count < 0 OR file_count IS NULL THEN 'file_count' END, CASE WHEN exported_file_count > file_count THEN 'exported' END, CASE WHEN processed_file_count + skipped_existing_file_count <> file_count THEN 'processed' END, CASE WHEN len(files) <> file_count THEN 'files' END], lambda x: x IS NOT NULL), ',') AS reasons FROM export_manifests")
+def manifest_reasons(spark, d):
+    c = F.col
+    rules = {"file_count": c("file_count").isNull() | (c("file_count") < 0), "exported": c("exported_file_count") > c("file_count"), "processed": c("processed_file_count") + c("skipped_existing_file_count") != c("file_count"), "files": c("files").isNotNull() & (F.size("files") != c("file_count"))}
+    return U.reasons(table(spark, d, "export_manifests"), rules).select("manifest_id", "schema_name", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {SEATS}, r AS (SELECT game, seat % 2 AS side, row_number() OVER (PARTITION BY game ORDER BY score DESC, seat) AS rank FROM g) SELECT rank, round(100 * (sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) / (SELECT count(*) FROM r WHERE side = 1) - sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) / (SELECT count(*) FROM r WHERE side = 0)), 8) AS difference_pp FROM r GROUP BY 1")
+def rank_rate_differences(spark, d):
+    r = W.ranks(seat_scores(spark, d), ["game"], "score", "seat").withColumn("side", F.when(F.col("seat") % 2 == 0, "even").otherwise("odd"))
+    return _rounded(U.rate_differences(r, "game", "side", "rank", "even", "odd"))
+
+
+@query(f"WITH b AS (SELECT route, action, list_filter({LEGAL}, lambda x: x.a <> action) AS l FROM decisions WHERE q IS NOT NULL AND mask IS NOT NULL AND action IS NOT NULL), c AS (SELECT route, l, list_max(list_transform(l, lambda x: x.q)) AS top FROM b WHERE len(l) > 0) SELECT route, count(*) AS n, round(avg(top), 8) AS mean_q, round(avg(list_min(list_transform(list_filter(l, lambda x: x.q = top), lambda x: x.a))), 8) AS mean_action FROM c GROUP BY 1")
+def best_alternatives(spark, d):
+    t = table(spark, d, "decisions").where("q is not null and mask is not null and action is not null").select("route", V.best_alternative(V.legal(), "action").alias("b")).where("b is not null")
+    return _rounded(t.groupBy("route").agg(F.count("*").alias("n"), F.avg("b.q").alias("mean_q"), F.avg("b.action").alias("mean_action")))

@@ -200,3 +200,36 @@ def test_ledger_and_remap(spark):
     assert [tuple(r) for r in readers.latest_pass(led, "shard", "status", "line").collect()] == [("a", "PASS", 2, "z")]
     p = spark.createDataFrame([("C:\\data\\x",), ("/mnt/y",), (None,)], "p string")
     assert [r.p for r in readers.remapped(p, "p", {"C:/data": "/lake", "/mnt": "/m"}).collect()] == ["/lake/x", "/m/y", None]
+
+
+def test_action_spaces(spark):
+    from foldspan.operators import audits as U
+
+    act = lambda k, p, *c: A.index45(F.lit(k), F.lit(p), F.array(*map(F.lit, c)) if c else F.lit(None).cast("array<string>"))
+    assert one(spark, a=act("dahai", "5mr"), b=act("dahai", "?"), c=act("chi", "3m", "4m", "5mr"), d=act("chi", "4m", "3m", "5m"), e=act("chi", "6s", "4s", "5s"), f=act("hora", None), g=act("what", None))[:] == (4, None, 35, 36, 37, 42, 44)
+    w = one(spark, e=A.wire_events(F.lit("reach"), F.lit(1), F.lit("3p"), F.lit(None).cast("array<string>"), F.lit(None).cast("int")))
+    assert [x.type for x in w.e] == ["reach", "dahai"] and w.e[1].pai == "3p"
+    for seed, key in ((5, 1 << 52), (7, 3), (1000, (1 << 63) - 1)):
+        turned = ((key << 13) & (2**64 - 1)) | (key >> 51)
+        assert one(spark, s=A.train_seat(F.lit(seed), F.lit(key).cast("bigint"))).s == (seed ^ turned) % 4
+    bag = lambda *t: F.array(*map(F.lit, t))
+    assert one(spark, a=A.sub_multiset(bag("1m", "1m"), bag("1m", "2m", "1m")), b=A.sub_multiset(bag("1m", "1m"), bag("1m", "2m")))[:] == (True, False)
+    flags = U.primary_flags(spark.createDataFrame([(1, i, a) for i, a in enumerate([0, 42, 5, 1, 42, 9, 2])] + [(2, 0, 42), (3, 0, 42), (3, 1, 43)], "k int, i int, a int"), ["k"], "i", "a").collect()
+    assert [r.primary for r in sorted(flags) if r.k == 1] == [True, True, False, True, True, False, True] and [any(r.fault for r in flags if r.k == k) for k in (1, 2, 3)] == [False, True, True]
+
+
+def test_centred_readouts_and_bootstraps(spark):
+    from foldspan.operators import audits as U
+
+    g = one(spark, c=V.centred(F.array(F.lit(1.0), F.lit(3.0)))).c
+    assert g.common == pytest.approx(2 * math.sqrt(2)) and g.centred_norm == pytest.approx(math.sqrt(2))
+    assert U.coverage_readout(3, 4, {"D1": 0.05, "D2": 0.0}, True) == "A_coverage_priority"
+    assert [U.coverage_readout(*a) for a in ((2, 4, {"a": 1}, True), (3, 4, {"a": 0}, True), (4, 4, {"a": 1}, False))] == ["inconclusive", "inconclusive", "no_verdict_gates_failed"]
+    e = U.exposed_counts(spark.createDataFrame([(0, "a", 1), (1, "b", 1), (2, "a", 3)], "c int, k string, n int"), spark.createDataFrame([(0, 2), (2, 1)], "c int, t int"), "c", "k", "n", "t")
+    assert {r.k: r.exposed for r in e.collect()} == {"a": 5, "b": 0}
+    p = S.paired_hierarchical_bootstrap({1: [(2.0, 1.0)] * 20, 2: [(4.0, 3.0)] * 20, 3: [(6.0, 5.0)] * 20}, reps=200)
+    assert p["mean"].tolist() == [4, 3] and ((p.hi - p.lo)[0] == pytest.approx((p.hi - p.lo)[1])) and 2 <= p.lo[0] <= p.hi[0] <= 6
+    sums = spark.createDataFrame([(0, "a", 2, [2.0, 0.0]), (0, "b", 1, [0.0, 1.0]), (1, "a", 1, [3.0, 0.0]), (1, "b", 1, [0.0, 5.0])], "place int, co string, n int, s array<double>")
+    times = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 0, 2)], "rep int, place int, times int")
+    got = {r.rep: r.mmd2 for r in S.mmd_bootstrap(sums, times, "co", "a", "b").collect()}
+    assert got[0] == pytest.approx((5 / 3) ** 2 + 9) and got[1] == pytest.approx(2.0)
