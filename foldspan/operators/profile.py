@@ -106,12 +106,12 @@ def contribution(df: DataFrame, cluster: str, shares: Sequence[float] = (0.01, 0
     # sum of (2i - m - 1) over the places lo+1 .. lo+k
     spread_ = F.col("k") * (2 * F.col("lo") + F.col("k") - F.col("clusters"))
     top = [F.sum(F.col("n") * F.greatest(F.lit(0), F.least(F.col("k"), F.greatest(F.lit(1), F.ceil(F.col("clusters") * s)) - F.col("above")))) for s in shares]
+    at = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)])
     out = h.agg(
         F.max("clusters").alias("clusters"), F.sum(F.col("n") * F.col("k")).alias("rows"), F.sum(F.col("n") * F.col("n") * F.col("k")).alias("sq"), F.sum(spread_ * F.col("n")).alias("g"),
-        *[t.alias(f"top{i}") for i, t in enumerate(top)],
+        *[t.alias(f"top{i}") for i, t in enumerate(top)], F.percentile("n", at, F.col("k")).alias("ps"),
     )
-    ps = sizes.agg(F.percentile("n", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)])).alias("ps"))
-    return out.crossJoin(F.broadcast(ps)).select(
+    return out.select(
         "clusters", "rows", *[F.try_divide(F.col(f"top{i}"), F.col("rows")).alias(f"top_{round(100 * s)}pct_share") for i, s in enumerate(shares)],
         F.coalesce(F.try_divide(F.col("g"), F.col("clusters") * F.col("rows")), F.lit(0.0)).alias("gini"), F.coalesce(F.try_divide(F.col("rows") * F.col("rows"), F.col("sq")), F.lit(0.0)).alias("ess"),
         *[F.get("ps", F.lit(i)).alias(c) for i, c in enumerate(("p0", "p25", "p50", "p75", "p90", "p95", "p99", "p100"))],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import time
 import traceback
+from pathlib import Path
 
 import duckdb
 
@@ -52,7 +53,7 @@ def differences(spark, folder: str, name: str, query, sql: str | None) -> str |
 
 
 def main() -> int:
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     import __spark_entry__ as e
     from foldspan.runtime import session
 
