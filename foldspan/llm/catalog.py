@@ -22,6 +22,15 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.by_day_and_all(values)
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each file of decisions, every delivery counted in its file."""
+    t = table(spark, d, "decisions")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = t.select(F.lit("target").alias("metric"), quantiles.phase(F.col("phase")).alias("grp"), name.alias("file"), "target")
+    keys = ["metric", "grp", "file"]
+    return quantiles.percentiles(quantiles.combine(quantiles.build(rows, keys, "target"), keys), keys)
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     decisions, rows, probes = (table(spark, d, t).select("obs_id", "obs", "loaded_at") for t in ("decisions", "learnability_rows", "probe_states"))
     return decisions.unionByName(rows).unionByName(probes)
@@ -60,7 +69,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 8) for c in ("hazard", "near_hazard")})
 
 
-QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p4_files, p5_found, p5_nearest, p6_ids, p7_taken, p7_shares, p8_found, p8_sources, p8_limits)}
 _TOKEN = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
 _UNITS = "v AS (SELECT obs_id, obs, loaded_at FROM decisions UNION ALL SELECT obs_id, obs, loaded_at FROM learnability_rows UNION ALL SELECT obs_id, obs, loaded_at FROM probe_states), l AS (SELECT * FROM v WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1), f AS (SELECT obs_id, CAST(obs AS DOUBLE[]) AS o FROM l WHERE len(obs) = 64 AND len(list_filter(obs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(obs, lambda x: x <> 0)) > 0), u AS (SELECT obs_id, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS o FROM f)"
 ORACLE: dict[str, str] = {

@@ -64,3 +64,16 @@ def test_tables(spark):
     assert by["all", "early", "None"] == (-2.0, 2, 0, 0) and by["day", "early", "2025-01-01"] == (5.0, 1, 0, 0)
     assert by["all", "middle", "None"] == (None, 0, 1, 0) and by["all", "unknown", "None"] == (None, 0, 0, 1)
     assert Q.by_day_and_all(Q.values(d.limit(0), s, r)).count() == 0
+
+
+def test_files_combine_to_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.lognormal(0, 2, 30_000)
+    for i, part in enumerate(np.array_split(v, 3)):
+        spark.createDataFrame([("m", "g", f"f{i}", float(x)) for x in part], "metric string, grp string, file string, target double").write.parquet(str(tmp_path / f"p{i}"))
+    files = Q.build(spark.read.parquet(*[str(tmp_path / f"p{i}") for i in range(3)]), ["metric", "grp", "file"], "target")
+    one = Q.combine(files, ["metric", "grp", "file"])
+    assert Q.percentiles(one, ["metric", "grp", "file"]).where("p = 0.5").count() == 3
+    whole = {r.p: r.value for r in Q.percentiles(Q.combine(one, ["metric", "grp"]), ["metric", "grp"]).collect()}
+    for p, e in rank_errors(v, [whole[p] for p in Q.PERCENTS], Q.PERCENTS):
+        assert e <= 4 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v)
