@@ -1,7 +1,7 @@
 """Most similar vectors for every vector, by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``FIT_ROWS``) and broadcast; every row
-is indexed.  A row descends to one leaf.  As a query it walks the tree best bin
+The tree is fitted on a bounded sample (``FIT_ROWS`` to ``MOST_FIT_ROWS``) and
+broadcast; every row is indexed.  A row descends to one leaf.  As a query it walks the tree best bin
 first: a priority queue of unopened nodes, keyed by distance to their centre,
 is popped until the calibrated number of leaves was reached.  The number is the
 smallest that finds the wanted share of known neighbours of held-out sample
@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from foldspan.runtime import cut
 
-#: rows the tree is fitted on at most; the index holds all rows
-FIT_ROWS = 24_000
+#: rows the tree is fitted on: one in 20, but no fewer than the first and no more
+#: than the second number; the index holds all rows
+FIT_ROWS, MOST_FIT_ROWS = 24_000, 400_000
+#: numbers held at once while a queue is walked
+WALK = 1 << 23
 LEAF_ROWS = 1_500
 BRANCH = 16
 #: largest subtree, in expected rows
@@ -63,6 +66,9 @@ class Tree:
     def visits(self, x: np.ndarray, leaves: int) -> np.ndarray:
         """The first ``leaves`` leaves of each row, in the order of its queue."""
         leaves = min(leaves, int((self.leaf >= 0).sum()))
+        step = max(64, WALK // len(self.centres))
+        if len(x) > step:
+            return np.vstack([self.visits(x[s : s + step], leaves) for s in range(0, len(x), step)])
         near = x @ self.centres.T
         queue = np.full(near.shape, -np.inf, np.float32)
         queue[:, : self.roots] = near[:, : self.roots]
@@ -159,7 +165,7 @@ def calibrate_similar(tree: Tree, sample: np.ndarray, floor: float, recall: floa
     hardest pair that still counts.
     """
     rng = np.random.default_rng(seed)
-    a = sample[rng.choice(len(sample), min(len(sample), 3_000), replace=False)]
+    a = sample[rng.choice(len(sample), min(len(sample), max(200, min(3_000, 2 * WALK // len(tree.centres)))), replace=False)]
     turn = rng.standard_normal(a.shape).astype(np.float32)
     turn -= (turn * a).sum(1, keepdims=True) * a
     turn /= np.linalg.norm(turn, axis=1, keepdims=True)
@@ -177,7 +183,7 @@ def calibrate_nearest(tree: Tree, sample: np.ndarray, k: int, recall: float, see
     so the number errs on the wide side.
     """
     rng = np.random.default_rng(seed)
-    pick = rng.choice(len(sample), min(len(sample), 600), replace=False)
+    pick = rng.choice(len(sample), min(len(sample), max(100, min(600, 2 * WALK // len(tree.centres)))), replace=False)
     near = sample[pick] @ sample.T
     near[np.arange(len(pick)), pick] = -2
     k = min(k, len(sample) - 1)
@@ -432,15 +438,16 @@ def found_edges(vectors: DataFrame, k: int = 5, floor: float | None = None, reca
         base = base.join(stale, "id", "left").where(F.col("keep").isNull() | (F.col("keep") == h)).drop("keep")
     good = base.where(usable(F.col("vec"))).select("id", "vec")
     rows = base.count()
-    share = min(1.0, FIT_ROWS / max(1, rows))
-    sample = good.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * FIT_ROWS).toArrow()
+    fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, rows // 20))
+    share = min(1.0, fit_rows / max(1, rows))
+    sample = good.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * fit_rows).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "a bigint, b bigint, similarity double")
     sample = _unit(sample.column("vec").combine_chunks())
     sample = sample[np.lexsort(sample.T[::-1])]
     tree = fit(sample, rows)
     visits = calibrate_similar(tree, sample, floor, recall) if floor is not None else calibrate_nearest(tree, sample, k, recall)
-    tree_b = spark.sparkContext.broadcast(tree)  # bounded by FIT_ROWS / 10 centres
+    tree_b = spark.sparkContext.broadcast(tree)  # bounded by MOST_FIT_ROWS / 10 centres
     moved = good.mapInArrow(_send(tree_b, visits, k, every), _MOVED)
     groups = int(tree.group.max()) + 1
     placed = moved.repartitionById(groups + 8, F.when(F.col("g") >= 0, F.col("g")).otherwise(groups + F.pmod(F.col("g"), F.lit(8)))).sortWithinPartitions("g", "kind")
