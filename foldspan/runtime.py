@@ -30,7 +30,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"  # shared, unlike a temporary folder
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="foldspan-ckpt-"))
 
 
