@@ -61,18 +61,18 @@ _ITEMS = " UNION ALL ".join(
 _STATES = " UNION ALL ".join(
     f"SELECT 'state' AS rec, state_id AS rec_id, seat, '{name}' AS kind, CAST(x.k AS INTEGER) AS item_no FROM (SELECT state_id, seat, unnest({_ENTRIES.format('v')}) AS x FROM (SELECT state_id, seat, {_FIX.format(name + 's')} AS v FROM p)) WHERE x.v IS NOT NULL AND json_type(x.v) <> 'NULL'" for name in ("discard", "meld")
 )
-ORACLE: dict[str, str] = {
-    "p2_found": f"""WITH s AS (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+_BASE = f"""s AS (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 g AS (SELECT state_id, CAST(payload AS JSON) AS j FROM game_states WHERE json_valid(payload) QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 u AS (SELECT state_id, json_extract(coalesce(json_extract(j, '$.data.state'), json_extract(j, '$.state'), j), '$.players') AS pl FROM g),
 q AS (SELECT state_id, unnest({_ENTRIES.format("pl")}) AS x FROM u),
-p AS (SELECT state_id, CAST(coalesce(try_cast(json_extract_string(x.v, '$.seat') AS BIGINT), x.k) AS INTEGER) AS seat, json_extract(x.v, '$.discards') AS discards, json_extract(x.v, '$.melds') AS melds FROM q WHERE json_type(x.v) = 'OBJECT')
-{_STATES} UNION ALL {_ITEMS}""",
+p AS (SELECT state_id, x.k AS place, CAST(coalesce(try_cast(json_extract_string(x.v, '$.seat') AS BIGINT), x.k) AS INTEGER) AS seat, json_extract(x.v, '$.discards') AS discards, json_extract(x.v, '$.melds') AS melds FROM q WHERE json_type(x.v) = 'OBJECT')"""
+ORACLE: dict[str, str] = {
+    "p2_found": f"WITH {_BASE} {_STATES} UNION ALL {_ITEMS}",
+    "p2_records": f"WITH {_BASE} SELECT 'state' AS rec, state_id AS rec_id, CAST(state_id AS VARCHAR) AS label FROM g UNION ALL SELECT 'snapshot', snapshot_id, CAST(snapshot_id AS VARCHAR) FROM s",
+    "p2_seats": f"WITH {_BASE} SELECT 'state' AS rec, state_id AS rec_id, state_id || '.' || place AS label, CAST(state_id AS VARCHAR) AS record_label, seat, CAST(place AS INTEGER) AS place FROM p WHERE seat BETWEEN 0 AND 3 UNION ALL SELECT 'snapshot', snapshot_id, snapshot_id || '.' || i.i, CAST(snapshot_id AS VARCHAR), CAST(i.i AS INTEGER), CAST(i.i AS INTEGER) FROM s, range(4) i(i)",
     "p3_found": f"WITH {_LINES} SELECT file_id, line_no FROM r WHERE n > 1",
     "p3_records": f"WITH {_LINES} SELECT log, event_index, file_id, line_no, line FROM r WHERE n = 1",
     "p3_manifest_check": f"""WITH m AS (SELECT manifest_id, unnest(files) AS src_path FROM export_manifests), a AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM m WHERE src_path IS NOT NULL), b AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM export_jobs WHERE src_path IS NOT NULL AND manifest_id IS NOT NULL),
 g AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, sum(CASE WHEN b.log IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN a.log IS NULL THEN 1 ELSE 0 END) AS unlisted FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.log = b.log GROUP BY 1), h AS (SELECT manifest_id, count(*) AS held FROM export_jobs GROUP BY 1)
 SELECT x.manifest_id, CAST(len(files) AS BIGINT) AS listed, CAST(list_sum(map_values(shard_file_counts)) AS BIGINT) AS shard_total, coalesce(held, 0) AS held, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(unlisted, 0) AS BIGINT) AS unlisted FROM export_manifests x LEFT JOIN g ON x.manifest_id = g.manifest_id LEFT JOIN h ON x.manifest_id = h.manifest_id""",
-    "p2_seats": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
