@@ -24,7 +24,7 @@ _BLANK = r"[\s\x00 ​⁠﻿�]+$"
 _MARK = r"(?:\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…))+$"
 #: closing quotes, brackets and emphasis that may follow a sentence
 _CLOSE = r"[\p{Pe}\p{Pf}\p{Pi}\"']*"
-_SENTENCE = r"[.!?。！？।]" + _CLOSE + r"(?:\s*<ref[^<>]*/>|\s*</ref>|\s*\{\{[^{}]*\}\})*$"
+_SENTENCE = r"(?i)[.!?。！？।]" + _CLOSE + r"(?:\s*<ref[^<>]*/>|\s*</ref>|\s*\{\{[^{}]*\}\})*$"
 
 
 def lengths(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -89,13 +89,14 @@ def ended(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("core_", F.when(F.col("marked_"), F.regexp_replace("bare_", _MARK, "")).otherwise(F.col("bare_")))
     out = out.withColumn("line_", F.substring_index("core_", "\n", -1))
     out = out.withColumn("tail_", F.right("line_", F.lit(240)))
-    core, line, tail = F.col("core_"), F.col("line_"), F.col("tail_")
+    out = out.withColumn("low_", F.lower("tail_"))
+    core, line, tail, low = F.col("core_"), F.col("line_"), F.col("tail_"), F.col("low_")
     end_char = F.regexp_replace(F.right(text, F.lit(8)), r"[\s\x00]+$", "").endswith("\ufffd")
-    close_after = lambda opening, closing: F.length(F.substring_index(tail, opening, -1)) < F.length(F.substring_index(tail, closing, -1))
+    close_after = lambda opening, closing: F.length(F.substring_index(low, opening, -1)) < F.length(F.substring_index(low, closing, -1))
     unclosed = (
         (tail.contains("[[") & close_after("[[", "]]"))
         | (tail.contains("{{") & close_after("{{", "}}"))
-        | (tail.contains("<ref") & close_after("<ref", "</ref>") & close_after("<ref", "/>"))
+        | (low.contains("<ref") & close_after("<ref", "</ref>") & close_after("<ref", "/>"))
         | tail.rlike(r"<[/a-zA-Z!][^<>]{0,60}$|(?:^|[^{])\{$|(?:^|[^\[])\[$|(?:^|[^=])<$")
         | (tail.rlike(r"^=") & ~tail.rlike(r"=\s*$"))
     )

@@ -21,7 +21,7 @@ def prose(rnd, n):
     ("text", "ending"),
     [
         ("A sentence ends. Another one goes on and sto", "broken"), ("A sentence ends. It ends too.", "complete"), ("It was „so“, he said. „Wir haben 3.“", "complete"), ("Text.\n\n[[Category:Abc", "broken"), ("Text.\n\n[[Category:Abc]]", "complete"),
-        ("Text here. More{{convert|3|km", "broken"), ("Text.<ref>Some Book, p. 3.</ref>", "complete"), ("Text.<ref>Some Book, p. 3", "broken"), ("One. Two is here...", "marked"), ("One. Two is [...]", "marked"), ("Intro.\n\n* [[A]]\n* Bc Def", "item"), ("Intro.\n\n* [[A]]\n* Bc (17", "broken"),
+        ("Text here. More{{convert|3|km", "broken"), ("Text.<ref>Some Book, p. 3.</ref>", "complete"), ("Text.<ref>Some Book, p. 3", "broken"), ("TEXT.<REF>SOME BOOK, P. 3.</REF>", "complete"), ("TEXT.<REF>SOME BOOK, P. 3", "broken"), ("One. Two is here...", "marked"), ("One. Two is [...]", "marked"), ("Intro.\n\n* [[A]]\n* Bc Def", "item"), ("Intro.\n\n* [[A]]\n* Bc (17", "broken"),
         ("hahahahahahahaha", "complete"), ("my goat wrote this", "complete"), ("name: Abc\nid: 55", "complete"), ("#REDIRECT [[Abc]]", "complete"), ("{{Infobox\n| a = 1\n| b = ", "broken"), ("{|\n|-\n| 1 || 2", "broken"), ("{|\n|-\n| 1 || 2\n|}", "complete"),
         ("Text is here. And th \r\n ", "broken"), ("Das ist so. Und w�", "broken"), ("これは文です。次の文はここで切", "broken"), ("これは文です。", "complete"), ("", "complete"), (None, "complete"), ("  \n", "complete"), ("== Head", "broken"), ("Text.\n\n== Head ==", "complete"), ("Talk here. [[User:X]] 03:20 (UTC)", "complete"),
     ],
