@@ -147,3 +147,22 @@ def mmd_bootstrap(cluster_sums: DataFrame, times: DataFrame, cohort: str, a, b)
     per = j.groupBy("rep", "c", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
     gap = F.max(F.when(F.col("c") == a, F.col("m"))) - F.max(F.when(F.col("c") == b, F.col("m")))
     return per.groupBy("rep", "i").agg(gap.alias("d")).groupBy("rep").agg(F.sum(F.col("d") * F.col("d")).alias("mmd2"))
+
+
+def hierarchical_means(units: DataFrame, stratum: str, order: str, value: str, reps: int, name: str) -> DataFrame:
+    """``rep, mean``: strata drawn with replacement, then units within each; mean of means.
+
+    Hash-driven and distributed: a replicate's draws are made row by row and meet
+    their unit by place.  Units are few per stratum (games, clusters), not rows.
+    """
+    from pyspark.sql import Window
+
+    placed = units.where(F.col(value).isNotNull()).select(F.col(stratum).alias("s"), F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1).cast("bigint").alias("place"))
+    sizes = placed.groupBy("s").agg(F.count("*").alias("n"))
+    numbered = sizes.select("s", "n", (F.row_number().over(Window.orderBy("s")) - 1).cast("bigint").alias("k"))  # one row per stratum
+    count = numbered.agg(F.count("*").alias("m"))
+    outer = units.sparkSession.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(count)).select("rep", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("slot"))
+    outer = outer.select("rep", "slot", draw(F.col("m"), name, "outer", F.col("rep"), F.col("slot")).alias("k")).join(F.broadcast(numbered), "k")
+    inner = outer.select("rep", "slot", "s", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i")).select("rep", "slot", "s", draw(F.col("n"), name, "inner", F.col("rep"), F.col("slot"), F.col("i")).alias("place"))
+    per = inner.join(placed, ["s", "place"]).groupBy("rep", "slot").agg(F.avg("v").alias("v"))
+    return per.groupBy("rep").agg(F.avg("v").alias("mean"))

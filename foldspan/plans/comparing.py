@@ -230,6 +230,20 @@ def cluster_bootstrap_tv(spark, d):
     return _rounded(s.agg(F.count("*").alias("reps"), F.avg("tv").alias("mean_tv"), S.index_quantile(s, [], "tv", 0.025).alias("lo"), S.index_quantile(s, [], "tv", 0.975).alias("hi")))
 
 
+_H = "('0x' || substr(sha256('hb|{0}), 1, 8))::UBIGINT"
+
+
+@query(f"""WITH u AS (SELECT c_nationkey % 3 AS s, c_nationkey, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2), p AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY c_nationkey) - 1 AS place FROM u), z AS (SELECT s, count(*) AS n, row_number() OVER (ORDER BY s) - 1 AS k FROM p GROUP BY 1),
+o AS (SELECT r.r AS rep, t.t AS slot, CAST({_H.format("outer|' || r.r || '|' || t.t")} % (SELECT count(*) FROM z) AS BIGINT) AS k FROM unnest(range(300)) r(r), unnest(range(3)) t(t)), i AS (SELECT rep, slot, z.s, z.n, unnest(range(z.n)) AS i FROM o JOIN z ON o.k = z.k), d AS (SELECT rep, slot, s, CAST({_H.format("inner|' || rep || '|' || slot || '|' || i")} % n AS BIGINT) AS place FROM i),
+m AS (SELECT rep, slot, avg(v) AS v FROM d JOIN p ON d.s = p.s AND d.place = p.place GROUP BY 1, 2), q AS (SELECT rep, avg(v) AS mean FROM m GROUP BY 1) SELECT count(*) AS reps, round((SELECT avg(sm) FROM (SELECT avg(v) AS sm FROM p GROUP BY s)), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM q""")
+def hier_bootstrap_ci(spark, d):
+    u = table(spark, d, "customer").groupBy((F.col("c_nationkey") % 3).alias("s"), "c_nationkey").agg(F.avg("c_acctbal").alias("v"))
+    reps = S.hierarchical_means(u, "s", "c_nationkey", "v", 300, "hb")
+    mean = u.groupBy("s").agg(F.avg("v").alias("v")).agg(F.avg("v").alias("mean"))  # one row
+    ci = reps.agg(F.count("*").alias("reps"), F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    return _rounded(ci.join(F.broadcast(mean)).select("reps", "mean", "lo", "hi"), 6)
+
+
 @query("WITH o AS (SELECT c_mktsegment, avg(CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal END) - avg(CASE WHEN c_nationkey % 2 = 1 THEN c_acctbal END) AS v FROM customer GROUP BY 1), x AS (SELECT c_mktsegment, c_acctbal, r.r AS rep, ('0x' || substr(sha256('perm|' || r.r || '|' || c_nationkey), 1, 8))::UBIGINT % 2 AS arm FROM customer, unnest(range(99)) r(r)), n AS (SELECT c_mktsegment, rep, avg(CASE WHEN arm = 0 THEN c_acctbal END) - avg(CASE WHEN arm = 1 THEN c_acctbal END) AS nv FROM x GROUP BY 1, 2) SELECT o.c_mktsegment, round((1 + sum(CASE WHEN nv >= v THEN 1 ELSE 0 END)) / (count(*) + 1), 8) AS p, (1 + sum(CASE WHEN nv >= v THEN 1 ELSE 0 END)) / (count(*) + 1) > 0.05 AS vote FROM o JOIN n ON o.c_mktsegment = n.c_mktsegment GROUP BY 1")
 def permutation_p(spark, d):
     c = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("n"))
