@@ -98,3 +98,24 @@ def remapped(df: DataFrame, column: str, prefixes: dict[str, str]) -> DataFrame:
         new = F.concat(F.lit(b), F.expr(f"substring(translate(`{column}`, '\\\\', '/'), {len(a) + 1})"))
         out = F.when(p.startswith(a), new) if out is None else out.when(p.startswith(a), new)
     return df.withColumn(column, p if out is None else out.otherwise(p))
+
+
+def shard_reports(spark: SparkSession, paths: str | list[str], schema: str, expected: int, rules: dict[str, str] | None = None) -> DataFrame:
+    """One JSON report per shard; exactly ``expected`` of them, each meeting every rule.
+
+    ``rules`` are SQL conditions by name; a report that breaks one raises when read.
+    """
+    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(paths).withColumn("shard_path", F.col("_metadata.file_path"))
+    if (n := df.select("shard_path").distinct().count()) != expected:
+        raise ValueError(f"expected {expected} shard reports, found {n}")
+    for name, rule in (rules or {}).items():
+        ok = F.coalesce(F.expr(rule), F.lit(False))
+        df = df.withColumn("shard_path", F.when(ok, F.col("shard_path")).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), "shard_path"))))
+    return df
+
+
+def renamed(events_: DataFrame, names: DataFrame) -> DataFrame:
+    """Logs with the names of their start record replaced: ``names`` has ``log_id, new_names``."""
+    j = events_.join(names.select("log_id", "new_names"), "log_id", "left")
+    new = F.when((F.col("type") == "start_game") & F.col("new_names").isNotNull(), F.col("new_names")).otherwise(F.col("names"))
+    return j.withColumn("names", new).drop("new_names")

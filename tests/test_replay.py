@@ -96,3 +96,18 @@ def test_gzip_and_bad_lines(spark, tmp_path):
     checks = readers.strict_logs(good).collect()
     assert all(r.ok for r in checks) and len(checks) == 2
     assert R.decisions(good.limit(0)).count() == 0
+
+
+def test_shard_reports_and_names(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"shard_{i}").mkdir()
+        (tmp_path / f"shard_{i}/report.json").write_text(json.dumps({"shard": i, "games": 250, "ok": i != 2}, indent=1))
+    schema = "shard int, games int, ok boolean"
+    assert readers.shard_reports(spark, str(tmp_path), schema, 3, {"games": "games = 250"}).count() == 3
+    with pytest.raises(ValueError):
+        readers.shard_reports(spark, str(tmp_path), schema, 24)
+    with pytest.raises(Exception, match="passed"):
+        readers.shard_reports(spark, str(tmp_path), schema, 3, {"passed": "ok"}).collect()
+    names = spark.createDataFrame([("g", list("wxyz"))], "log_id string, new_names array<string>")
+    got = {(r.log_id, r.type): r.names for r in readers.renamed(frame(spark, {"g": GAME[:2], "h": GAME[:1]}), names).collect()}
+    assert got == {("g", "start_game"): list("wxyz"), ("g", "start_kyoku"): None, ("h", "start_game"): list("abcd")}
