@@ -4,14 +4,15 @@ Records are far apart when they differ in phase, action kind or shanten, with a
 small part for the angle between their observations.  Every partition reduces
 its rows to a core-set: of each combination of the three fields, the rows that
 lie farthest apart.  Core-sets of core-sets are core-sets, so they are folded
-level by level, and the last one, bounded by the number of combinations and not
-by the rows, is searched in one task: selected and unselected candidates are
+level by level, and the last one, bounded by the asked size and the number of
+combinations and not by the rows, is searched in one task: selected and unselected candidates are
 swapped while the total pairwise distance grows and no covered combination is
 lost.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foldspan.runtime import partitions_for
 
-#: rows kept of a combination, per core-set
+#: rows kept of a combination, per core-set; more where the asked size needs them
 KEEP = 6
 #: weights of the distance; they add up to 1
 W_PHASE, W_KIND, W_SHANTEN, W_OBS = 0.25, 0.4, 0.25, 0.1
@@ -180,14 +181,27 @@ def _choose(size: int):
     return run
 
 
+def level(counts: list[int], size: int, keep: int = KEEP) -> int:
+    """Fewest rows per combination, ``keep`` at least, that add up to ``size`` or to all there are."""
+    want = min(size, sum(counts))
+    return max(keep, bisect_left(range(want), want, key=lambda k: sum(min(n, k) for n in counts)))
+
+
 def varied(decisions: DataFrame, size: int = 600, keep: int = KEEP) -> DataFrame:
     """``size`` decisions: ``obs_id, log_id, row_idx, phase, action_kind, shanten, rows_alike``.
 
     ``rows_alike`` is the number of decisions of the same combination.  All
     combinations come out while ``size`` is at least their number.  A table of
-    at most ``size`` decisions comes out whole up to ``keep`` of a combination;
-    an empty one gives no rows.  Null ids are left out, nulls elsewhere kept.
+    at most ``size`` decisions comes out whole, an empty one gives no rows.  Null
+    ids are left out, nulls elsewhere kept.
+
+    The combinations, of which there are a few hundred at most, are counted first:
+    where ``keep`` rows of each do not reach ``size``, core-sets keep evenly more.
+    The last task holds the distances among at most ``size`` rows and one per
+    combination, or ``keep`` per combination if that is more.
     """
+    counted = combinations(decisions.withColumn("obs", F.lit(None).cast("array<float>")))
+    keep = level([r.n for r in counted.collect()], size, keep)
     rows = canonical(decisions).withColumn("rows", F.lit(1).cast("bigint"))
     schema = rows.schema
     core = rows.mapInArrow(_reduce(keep), schema)

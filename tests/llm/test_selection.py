@@ -1,5 +1,6 @@
 """Varied subsets and mixes."""
 
+import collections
 import datetime
 import itertools
 
@@ -39,6 +40,17 @@ def test_small_empty_and_repeated(spark):
     assert D.varied(df.limit(0), 10).count() == 0
 
 
+def test_size_beyond_the_core_sets(spark):
+    rng = np.random.default_rng(4)
+    rows = [decision(i, obs=rng.normal(size=64).tolist()) for i in range(2000)] + [decision(5000 + i, "late", "kan", i % 3) for i in range(24)]
+    df = spark.createDataFrame(rows, DEC).repartition(5)
+    got = D.varied(df, 300).collect()
+    n = collections.Counter((r.phase, r.action_kind, r.shanten) for r in got)
+    assert len(got) == 300 == len({r.obs_id for r in got}) and len(n) == 4
+    assert len(D.varied(df.where("obs_id < 90"), 100).collect()) == 90
+    assert D.level([2000, 8, 8, 8], 300) == 276 and D.level([3, 9], 600) == 9 and D.level([90, 90], 5) == D.level([], 5) == D.KEEP
+
+
 def test_swaps_reach_a_local_maximum():
     rng = np.random.default_rng(2)
     code, x = rng.integers(0, 400, 40), np.zeros((40, 64))
