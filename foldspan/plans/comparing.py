@@ -56,6 +56,13 @@ def cohort_overlap_matrix(spark, d):
     return C.overlap(t.select("route", (F.col("obs_id") % 997).alias("k")), "route", "k")
 
 
+@query("WITH s AS (SELECT DISTINCT route, obs, mask FROM decisions WHERE route IS NOT NULL AND obs IS NOT NULL AND mask IS NOT NULL), k AS (SELECT obs, mask, list(route) AS l FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT route FROM s), x AS (SELECT a.route AS a, b.route AS b, list_contains(l, a.route) AS ia, list_contains(l, b.route) AS ib FROM r a JOIN r b ON a.route < b.route CROSS JOIN k) SELECT a, b, count(*) FILTER (ia AND ib) AS \"both\", count(*) FILTER (ia AND NOT ib) AS a_only, count(*) FILTER (ib AND NOT ia) AS b_only FROM x GROUP BY 1, 2")
+def cohort_overlap_states(spark, d):
+    """Whole states; ``cohort_overlap_matrix`` and its SQL fold ids to 997 keys."""
+    t = table(spark, d, "decisions").where("route is not null and obs is not null and mask is not null")
+    return C.overlap(t.select("route", F.struct("obs", "mask").alias("k")), "route", "k")
+
+
 @query()
 def sliced_wasserstein(spark, d):
     return _rounded(C.sliced_wasserstein(table(spark, d, "embeddings").withColumn("cohort", F.col("label") % 3), "cohort", "embedding", 64), 6)

@@ -18,6 +18,7 @@ from foldspan.operators import profile as P
 from foldspan.operators import ranking as R
 from foldspan.operators import resample as S
 from foldspan.operators import windows as W
+from foldspan.plans import comparing
 from foldspan.sources import readers, sinks
 from foldspan.streaming import logs as L
 
@@ -233,3 +234,10 @@ def test_centred_readouts_and_bootstraps(spark):
     times = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 0, 2)], "rep int, place int, times int")
     got = {r.rep: r.mmd2 for r in S.mmd_bootstrap(sums, times, "co", "a", "b").collect()}
     assert got[0] == pytest.approx((5 / 3) ** 2 + 9) and got[1] == pytest.approx(2.0)
+
+
+def test_overlap_of_whole_states(spark, tmp_path):
+    state = lambda k, routes: [(r, [float(k)], [True], k) for r in routes]
+    rows = [x for k in range(3000) for x in state(k, ("M0", "D1")[: 1 + (k < 40)])] + [x for k in range(5000, 7500) for x in state(k, ("D1",))] + [("D1", None, [True], 1), (None, [1.0], [True], 2)]
+    spark.createDataFrame(rows + rows[:5], "route string, obs array<float>, mask array<boolean>, obs_id bigint").write.parquet(f"{tmp_path}/decisions.parquet")
+    assert [tuple(r) for r in comparing.QUERIES["cohort_overlap_states"](spark, str(tmp_path)).collect()] == [("D1", "M0", 40, 2500, 2960)]
