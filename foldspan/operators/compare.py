@@ -75,7 +75,7 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sliced_wasserstein(df: DataFrame, cohort: str, vec: str, dim: int, n_directions: int = 32, n_quantiles: int = 64, seed: int = 3) -> DataFrame:
+def sliced_wasserstein(df: DataFrame, cohort: str, vec: str, dim: int, n_directions: int = 256, n_quantiles: int = 4096, seed: int = 3) -> DataFrame:
     """``a, b, distance``: mean over directions of the 1-D distance of quantiles.
 
     Vectors are projected in Arrow batches; the quantiles come from Spark's
@@ -92,14 +92,14 @@ def sliced_wasserstein(df: DataFrame, cohort: str, vec: str, dim: int, n_directi
     p = df.where(F.size(vec) == dim).select(F.col(cohort).alias("cohort"), vec).mapInArrow(run, f"cohort {df.schema[cohort].dataType.simpleString()}, x array<double>")
     flat = p.select("cohort", F.posexplode("x").alias("dir", "v"))
     at = F.array(*[F.lit((i + 0.5) / n_quantiles) for i in range(n_quantiles)])
-    q = flat.groupBy("cohort", "dir").agg(F.percentile_approx("v", at, 10_000).alias("q"))
+    q = flat.groupBy("cohort", "dir").agg(F.percentile_approx("v", at, max(10_000, 4 * n_quantiles)).alias("q"))
     by_dir = q.groupBy("dir").agg(F.collect_list(F.struct("cohort", "q")).alias("l"))
     two = by_dir.select("dir", F.explode("l").alias("a"), "l").select("dir", "a", F.explode("l").alias("b")).where("a.cohort < b.cohort")
     gap = F.aggregate(F.zip_with("a.q", "b.q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / n_quantiles
     return two.groupBy(F.col("a.cohort").alias("a"), F.col("b.cohort").alias("b")).agg(F.avg(gap).alias("distance"))
 
 
-def rff_mmd(df: DataFrame, cohort: str, vec: str, dim: int, sigma: float, n_features: int = 128, seed: int = 5) -> DataFrame:
+def rff_mmd(df: DataFrame, cohort: str, vec: str, dim: int, sigma: float, n_features: int = 2048, seed: int = 5) -> DataFrame:
     """``a, b, mmd2`` by random Fourier features: squared gap of mean features."""
     rng = np.random.default_rng(seed)
     w, shift = rng.standard_normal((dim, n_features)) / sigma, rng.uniform(0, 2 * np.pi, n_features)
@@ -107,10 +107,11 @@ def rff_mmd(df: DataFrame, cohort: str, vec: str, dim: int, sigma: float, n_feat
     def run(batches):
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            f = np.sqrt(2 / n_features) * np.cos(x @ w + shift)
             names, at = np.unique(np.array(b.column(0).to_pylist()), return_inverse=True)
             sums = np.zeros((len(names), n_features))
-            np.add.at(sums, at, f)
+            for k in range(0, len(x), 1024):  # few rows at once, as features are many times their size
+                f = np.sqrt(2 / n_features) * np.cos(x[k : k + 1024] @ w + shift)
+                sums += (at[k : k + 1024] == np.arange(len(names))[:, None]).astype(np.float64) @ f
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * n_features, pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(names).cast(b.column(0).type), pa.array(np.bincount(at, minlength=len(names)), pa.int64()), lists], names=["cohort", "n", "s"])
 

@@ -9,7 +9,7 @@ from foldspan.functions import vectors as V
 from foldspan.operators import audits as U
 from foldspan.operators import resample as S
 from foldspan.operators import windows as W
-from foldspan.plans.common import EV, LEGAL, POINTS, SEATS, SEG, event_log, seat_scores
+from foldspan.plans.common import EV, LEGAL, POINTS, SEATS, SEG, at_reps, event_log, seat_scores
 from foldspan.plans.comparing import KNN, _knn
 from foldspan.sources.tables import table
 
@@ -124,9 +124,12 @@ def suit_permutations(spark, d):
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM v), i AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM v), d AS (SELECT r.k AS k, CAST(('0x' || substr(sha256('pair|a|' || r.k), 1, 8))::UBIGINT % n.n AS BIGINT) AS a, CAST(('0x' || substr(sha256('pair|b|' || r.k), 1, 8))::UBIGINT % n.n AS BIGINT) AS b FROM n, unnest(range(400)) r(k)) SELECT count(*) AS pairs, round(median(sqrt(list_sum(list_transform(range(64), lambda t: (x.v[t + 1] - y.v[t + 1]) * (x.v[t + 1] - y.v[t + 1]))))), 8) AS sigma FROM d JOIN i x ON d.a = x.place JOIN i y ON d.b = y.place WHERE d.a <> d.b")
-def median_distance(spark, d):
+def median_distance(spark, d, reps=400):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return _rounded(U.median_distance(e, "vec_id", "v", 400, "pair"))
+    return _rounded(U.median_distance(e, "vec_id", "v", reps, "pair"))
+
+
+at_reps(QUERIES, ORACLE, "median_distance", 65536, ("range(400)", "range(65536)"))
 
 
 @query(f"WITH {KNN}, j AS (SELECT k.q, e.label % 3 AS y FROM k JOIN e ON k.r = e.vec_id WHERE place <= 16), c AS (SELECT q, y, count(*) AS c FROM j GROUP BY 1, 2), h AS (SELECT q, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM c GROUP BY 1), g AS (SELECT ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM (SELECT label % 3 AS y, count(*) AS c FROM embeddings GROUP BY 1)) SELECT h.q, round(h.h, 8) AS h_local, round(1 - h.h / g.h, 8) AS predictability FROM h, g")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value", (F.row_number().over(w) - 1).alias("idx"))
 
 
+def at_reps(queries: dict, oracle: dict, name: str, reps: int, *swaps: tuple[str, str]) -> None:
+    """Registers a query once more with the reference's number of draws, with its SQL so changed."""
+    query, sql = queries[name], oracle[name]
+    for old, new in swaps:
+        if old not in sql:
+            raise ValueError(f"{name}: its SQL lacks {old}")
+        sql = sql.replace(old, new)
+    queries[f"{name}_{reps}"], oracle[f"{name}_{reps}"] = functools.partial(query, reps=reps), sql
+
+
 EV = "ev AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"
 SEG = EV + ", seg AS (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY idx) - 1 AS BIGINT) AS segment FROM ev)"
 

@@ -10,7 +10,7 @@ from foldspan.operators import compare as C
 from foldspan.operators import gates as G
 from foldspan.operators import nearest as N
 from foldspan.operators import resample as S
-from foldspan.plans.common import FINITE, LEGAL
+from foldspan.plans.common import FINITE, LEGAL, at_reps
 from foldspan.sources.tables import table
 
 QUERIES: dict = {}
@@ -222,16 +222,16 @@ DRAWS = """ids AS (SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey)
 
 
 @query(f"WITH {DRAWS}, p AS (SELECT c_mktsegment, c_nationkey, sum(c_acctbal) AS s, count(*) AS c FROM customer GROUP BY 1, 2), r AS (SELECT c_mktsegment, rep, sum(s * times) / sum(c * times) AS v FROM m JOIN ids USING (place) JOIN p USING (c_nationkey) GROUP BY 1, 2), ci AS (SELECT c_mktsegment, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM r GROUP BY 1) SELECT ci.c_mktsegment, round(sum(s) / sum(c), 6) AS mean, round(max(lo), 6) AS lo, round(max(hi), 6) AS hi FROM ci JOIN p ON ci.c_mktsegment = p.c_mktsegment GROUP BY 1")
-def cluster_bootstrap_ci(spark, d):
-    return _rounded(S.cluster_bootstrap_mean(table(spark, d, "customer"), ["c_mktsegment"], "c_nationkey", "c_acctbal", 200, "boot"), 6)
+def cluster_bootstrap_ci(spark, d, reps=200):
+    return _rounded(S.cluster_bootstrap_mean(table(spark, d, "customer"), ["c_mktsegment"], "c_nationkey", "c_acctbal", reps, "boot"), 6)
 
 
 @query(f"WITH {DRAWS}, p AS (SELECT c_nationkey, c_mktsegment AS k, CAST(sum(CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN c_acctbal <= 4500 THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM customer GROUP BY 1, 2), r AS (SELECT rep, k, sum(a * times) AS a, sum(b * times) AS b FROM m JOIN ids USING (place) JOIN p USING (c_nationkey) GROUP BY 1, 2), s AS (SELECT rep, a / sum(a) OVER (PARTITION BY rep) AS p, b / sum(b) OVER (PARTITION BY rep) AS q FROM r), t AS (SELECT rep, 0.5 * sum(abs(p - q)) AS tv FROM s GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS reps, round(avg(tv), 8) AS mean_tv, round(max(CASE WHEN i = floor(200 * 0.025) THEN tv END), 8) AS lo, round(max(CASE WHEN i = floor(200 * 0.975) THEN tv END), 8) AS hi FROM (SELECT *, row_number() OVER (ORDER BY tv) - 1 AS i FROM t)")
-def cluster_bootstrap_tv(spark, d):
+def cluster_bootstrap_tv(spark, d, reps=200):
     c = table(spark, d, "customer")
     per = c.groupBy("c_nationkey", F.col("c_mktsegment").alias("k")).agg(F.count_if(F.col("c_acctbal") > 4500).alias("a"), F.count_if(F.col("c_acctbal") <= 4500).alias("b"))
     ids = S.dense_ids(c.select("c_nationkey").distinct(), "c_nationkey", "place")
-    times = S.multiplicities(ids.agg(F.count("*").alias("n")), 200, "boot")
+    times = S.multiplicities(ids.agg(F.count("*").alias("n")), reps, "boot")
     r = times.join(ids, "place").join(per, "c_nationkey").groupBy("rep", "k").agg(F.sum(F.col("a") * F.col("times")).alias("a"), F.sum(F.col("b") * F.col("times")).alias("b"))
     s = r.join(r.groupBy("rep").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")), "rep").groupBy("rep").agg((0.5 * F.sum(F.abs(F.col("a") / F.col("ta") - F.col("b") / F.col("tb")))).alias("tv"))
     return _rounded(s.agg(F.count("*").alias("reps"), F.avg("tv").alias("mean_tv"), S.index_quantile(s, [], "tv", 0.025).alias("lo"), S.index_quantile(s, [], "tv", 0.975).alias("hi")))
@@ -243,21 +243,27 @@ _H = "('0x' || substr(sha256('hb|{0}), 1, 8))::UBIGINT"
 @query(f"""WITH u AS (SELECT c_nationkey % 3 AS s, c_nationkey, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2), p AS (SELECT s, v, row_number() OVER (PARTITION BY s ORDER BY c_nationkey) - 1 AS place FROM u), z AS (SELECT s, count(*) AS n, row_number() OVER (ORDER BY s) - 1 AS k FROM p GROUP BY 1),
 o AS (SELECT r.r AS rep, t.t AS slot, CAST({_H.format("outer|' || r.r || '|' || t.t")} % (SELECT count(*) FROM z) AS BIGINT) AS k FROM unnest(range(300)) r(r), unnest(range(3)) t(t)), i AS (SELECT rep, slot, z.s, z.n, unnest(range(z.n)) AS i FROM o JOIN z ON o.k = z.k), d AS (SELECT rep, slot, s, CAST({_H.format("inner|' || rep || '|' || slot || '|' || i")} % n AS BIGINT) AS place FROM i),
 m AS (SELECT rep, slot, avg(v) AS v FROM d JOIN p ON d.s = p.s AND d.place = p.place GROUP BY 1, 2), q AS (SELECT rep, avg(v) AS mean FROM m GROUP BY 1) SELECT count(*) AS reps, round((SELECT avg(sm) FROM (SELECT avg(v) AS sm FROM p GROUP BY s)), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM q""")
-def hier_bootstrap_ci(spark, d):
+def hier_bootstrap_ci(spark, d, reps=300):
     u = table(spark, d, "customer").groupBy((F.col("c_nationkey") % 3).alias("s"), "c_nationkey").agg(F.avg("c_acctbal").alias("v"))
-    reps = S.hierarchical_means(u, "s", "c_nationkey", "v", 300, "hb")
+    means = S.hierarchical_means(u, "s", "c_nationkey", "v", reps, "hb")
     mean = u.groupBy("s").agg(F.avg("v").alias("v")).agg(F.avg("v").alias("mean"))  # one row
-    ci = reps.agg(F.count("*").alias("reps"), F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
+    ci = means.agg(F.count("*").alias("reps"), F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
     return _rounded(ci.join(F.broadcast(mean)).select("reps", "mean", "lo", "hi"), 6)
 
 
 @query("WITH o AS (SELECT c_mktsegment, avg(CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal END) - avg(CASE WHEN c_nationkey % 2 = 1 THEN c_acctbal END) AS v FROM customer GROUP BY 1), x AS (SELECT c_mktsegment, c_acctbal, r.r AS rep, ('0x' || substr(sha256('perm|' || r.r || '|' || c_nationkey), 1, 8))::UBIGINT % 2 AS arm FROM customer, unnest(range(99)) r(r)), n AS (SELECT c_mktsegment, rep, avg(CASE WHEN arm = 0 THEN c_acctbal END) - avg(CASE WHEN arm = 1 THEN c_acctbal END) AS nv FROM x GROUP BY 1, 2) SELECT o.c_mktsegment, round((1 + sum(CASE WHEN nv >= v THEN 1 ELSE 0 END)) / (count(*) + 1), 8) AS p, (1 + sum(CASE WHEN nv >= v THEN 1 ELSE 0 END)) / (count(*) + 1) > 0.05 AS vote FROM o JOIN n ON o.c_mktsegment = n.c_mktsegment GROUP BY 1")
-def permutation_p(spark, d):
+def permutation_p(spark, d, reps=99):
     c = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("n"))
     gap = lambda arm: (F.sum(F.when(arm == 0, F.col("s"))) / F.sum(F.when(arm == 0, F.col("n")))) - (F.sum(F.when(arm == 1, F.col("s"))) / F.sum(F.when(arm == 1, F.col("n"))))
     observed = c.groupBy("c_mktsegment").agg(gap(F.col("c_nationkey") % 2).alias("value"))
-    reps = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(98)))).withColumn("arm", S.draw(F.lit(2).cast("bigint"), "perm", F.col("rep"), F.col("c_nationkey")))
-    return _rounded(S.permutation_p(observed, reps.groupBy("c_mktsegment", "rep").agg(gap(F.col("arm")).alias("null_value")), ["c_mktsegment"]))
+    drawn = c.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("arm", S.draw(F.lit(2).cast("bigint"), "perm", F.col("rep"), F.col("c_nationkey")))
+    return _rounded(S.permutation_p(observed, drawn.groupBy("c_mktsegment", "rep").agg(gap(F.col("arm")).alias("null_value")), ["c_mktsegment"]))
+
+
+at_reps(QUERIES, ORACLE, "cluster_bootstrap_ci", 1000, ("range(200)", "range(1000)"))
+at_reps(QUERIES, ORACLE, "cluster_bootstrap_tv", 1000, ("range(200)", "range(1000)"), ("floor(200 *", "floor(1000 *"))
+at_reps(QUERIES, ORACLE, "hier_bootstrap_ci", 5000, ("range(300)", "range(5000)"))
+at_reps(QUERIES, ORACLE, "permutation_p", 999, ("range(99)", "range(999)"))
 
 
 @query("WITH c AS (SELECT route, CAST(own_riichi AS INTEGER) AS a, CASE WHEN kyoku >= 4 THEN 1 ELSE 0 END AS b, avg(target) AS y FROM decisions WHERE target IS NOT NULL AND isfinite(target) AND own_riichi IS NOT NULL AND kyoku IS NOT NULL GROUP BY 1, 2, 3) SELECT route, round((avg(CASE WHEN a = 1 AND b = 1 THEN y END) - avg(CASE WHEN a = 1 AND b = 0 THEN y END)) - (avg(CASE WHEN a = 0 AND b = 1 THEN y END) - avg(CASE WHEN a = 0 AND b = 0 THEN y END)), 8) AS interaction FROM c GROUP BY 1")

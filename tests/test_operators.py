@@ -18,7 +18,7 @@ from foldspan.operators import profile as P
 from foldspan.operators import ranking as R
 from foldspan.operators import resample as S
 from foldspan.operators import windows as W
-from foldspan.plans import comparing
+from foldspan.plans import audits, comparing
 from foldspan.sources import readers, sinks
 from foldspan.streaming import logs as L
 
@@ -241,3 +241,23 @@ def test_overlap_of_whole_states(spark, tmp_path):
     rows = [x for k in range(3000) for x in state(k, ("M0", "D1")[: 1 + (k < 40)])] + [x for k in range(5000, 7500) for x in state(k, ("D1",))] + [("D1", None, [True], 1), (None, [1.0], [True], 2)]
     spark.createDataFrame(rows + rows[:5], "route string, obs array<float>, mask array<boolean>, obs_id bigint").write.parquet(f"{tmp_path}/decisions.parquet")
     assert [tuple(r) for r in comparing.QUERIES["cohort_overlap_states"](spark, str(tmp_path)).collect()] == [("D1", "M0", 40, 2500, 2960)]
+
+
+def test_distances_at_reference_size(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 4))
+    x[2000:2008] += 1000  # 0.4 % of the second cohort
+    df = spark.createDataFrame([(int(i >= 2000), [float(v) for v in r]) for i, r in enumerate(x)], "c int, v array<float>")
+    assert C.sliced_wasserstein(df, "c", "v", 4).first().distance > 1
+    y = np.vstack([rng.normal(size=(300, 4)), rng.normal(0.3, 1, (300, 4))])
+    k = np.exp(-((y[:, None] - y[None]) ** 2).sum(-1) / 2 / 0.7**2)
+    exact = k[:300, :300].mean() + k[300:, 300:].mean() - 2 * k[:300, 300:].mean()
+    df = spark.createDataFrame([(int(i >= 300), [float(v) for v in r]) for i, r in enumerate(y)], "c int, v array<float>")
+    assert C.rff_mmd(df, "c", "v", 4, 0.7).first().mmd2 == pytest.approx(exact, rel=0.05)  # 128 features: 18 % off
+
+
+def test_draws_at_reference_size(spark, tiny):
+    q = {**comparing.QUERIES, **audits.QUERIES}
+    assert q["cluster_bootstrap_tv_1000"](spark, tiny).first().reps == 1000 and q["hier_bootstrap_ci_5000"](spark, tiny).first().reps == 5000
+    assert q["median_distance_65536"](spark, tiny).first().pairs > 60_000
+    assert all((r.p * 1000) % 1 == pytest.approx(0, abs=1e-6) for r in q["permutation_p_999"](spark, tiny).collect())
