@@ -88,21 +88,28 @@ def ended(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("marked_", F.right("bare_", F.lit(16)).rlike(_MARK))
     out = out.withColumn("core_", F.when(F.col("marked_"), F.regexp_replace("bare_", _MARK, "")).otherwise(F.col("bare_")))
     out = out.withColumn("line_", F.substring_index("core_", "\n", -1))
-    out = out.withColumn("tail_", F.right("line_", F.lit(240)))
-    out = out.withColumn("low_", F.lower("tail_"))
-    core, line, tail, low = F.col("core_"), F.col("line_"), F.col("tail_"), F.col("low_")
+    out = out.withColumn("low_", F.lower("line_"))
+    core, line, low = F.col("core_"), F.col("line_"), F.col("low_")
     end_char = F.regexp_replace(F.right(text, F.lit(8)), r"[\s\x00]+$", "").endswith("\ufffd")
     close_after = lambda opening, closing: F.length(F.substring_index(low, opening, -1)) < F.length(F.substring_index(low, closing, -1))
+
+    def still_open(opening, closing):
+        # a blank line or a heading after the opening: its closing mark is lost, but the page goes on
+        rest = F.substring_index(core, opening, -1)
+        return core.contains(opening) & (F.length(rest) < F.length(F.substring_index(core, closing, -1))) & ~rest.rlike(r"\n\s*\n|\n=")
+
     unclosed = (
-        (tail.contains("[[") & close_after("[[", "]]"))
-        | (tail.contains("{{") & close_after("{{", "}}"))
+        (line.contains("[[") & close_after("[[", "]]"))
+        | (line.contains("{{") & close_after("{{", "}}"))
+        | still_open("{{", "}}")
+        | still_open("{|", "|}")
         | (low.contains("<ref") & close_after("<ref", "</ref>") & close_after("<ref", "/>"))
-        | tail.rlike(r"<[/a-zA-Z!][^<>]{0,60}$|(?:^|[^{])\{$|(?:^|[^\[])\[$|(?:^|[^=])<$")
-        | (tail.rlike(r"^=") & ~tail.rlike(r"=\s*$"))
+        | line.rlike(r"<[/a-zA-Z!][^<>]{0,60}$|(?:^|[^{])\{$|(?:^|[^\[])\[$|(?:^|[^=])<$")
+        | (line.rlike(r"^=") & ~line.rlike(r"=\s*$") & (F.length(line) <= 240))  # no heading is longer
     )
     is_row = line.rlike(r"^\s*[|!]") & ~core.endswith("|}") & ~core.endswith("}}")
     is_list = line.rlike(r"^[*#:;]")
-    cut_item = is_list & ((F.size(F.split(line, "''")) % 2 == 0) | tail.rlike(r"\([^()]*$"))
+    cut_item = is_list & ((F.size(F.split(line, "''")) % 2 == 0) | line.rlike(r"\([^()]*$"))
     noise = line.rlike(r"^[\p{Ll}_]+:\s") | ~core.rlike(r"\p{L}") | line.rlike(r"^(.{1,5}?)\1{4,}")
     markup_line = line.rlike(r"^\s*(?:\{\{.*\}\}|<[^<>]+>|\|\}|=+.*=+|<!--.*-->|__[A-Z]+__|(?:\[\[[^\[\]]*\]\]\s*)+)\s*$")
     stamped = line.rlike(r"\(UTC\)$")
@@ -116,9 +123,9 @@ def ended(docs: DataFrame, text: str = "text") -> DataFrame:
         .when(F.col("marked_"), "marked")
         .when(F.length(F.trim(core)) == 0, "complete")
         .when(unclosed | is_row | cut_item, "broken")
-        .when(tail.rlike(_SENTENCE) | markup_line | stamped | noise, "complete")
+        .when(line.rlike(_SENTENCE) | markup_line | stamped | noise, "complete")
         .when(is_list & after, "broken")
-        .when(is_list & ~tail.rlike(r"(?:\]\]|\)|\}\})$"), "item")
+        .when(is_list & ~line.rlike(r"(?:\]\]|\)|\}\})$"), "item")
         .when(~is_list & prose, "broken")
         .otherwise("complete")
     )

@@ -64,3 +64,16 @@ def test_planted(spark):
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "One is here. Two is he", "a")] * 4, "doc_id bigint, text string, source string")
     assert T.found(df.limit(0)).count() == 0 and T.found(df).count() == 4
+
+
+@pytest.mark.parametrize(
+    ("text", "ending"),
+    [
+        ("Text.<ref>" + "Some Book, and more of it. " * 20 + "It ends.", "broken"), ("Text.<ref>" + "Some Book, and more of it. " * 20 + "It ends.</ref>", "complete"),
+        ("Text.\n[[File:A.jpg|thumb|" + "A caption of the picture. " * 20 + "It ends.", "broken"), ("Text {{quote|" + "Something was said. " * 20 + "It ends.", "broken"),
+        ("Text.\n{{quote|\nSomething was said.\nIt ends.", "broken"), ("Text.\n{{quote|\nSomething was said.\n}}\nIt ends.", "complete"),
+        ("{|\n|-\n| 1\nA cell goes on. It ends.", "broken"), ("{|\n|-\n| 1\n\nThe page goes on. It ends.", "complete"), ("{|\n|-\n| 1\n== More ==\nIt goes on. It ends.", "complete"),
+    ],
+)
+def test_markup_opened_far_before_the_end(spark, text, ending):
+    assert T.ended(spark.createDataFrame([(text,)], "text string")).first().ending == ending
