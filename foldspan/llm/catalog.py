@@ -23,12 +23,14 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each file of decisions, every delivery counted in its file."""
-    t = table(spark, d, "decisions")
+    """Percentiles of each file and of all files together, every delivery counted in its file."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = t.select(F.lit("target").alias("metric"), quantiles.phase(F.col("phase")).alias("grp"), name.alias("file"), "target")
-    keys = ["metric", "grp", "file"]
-    return quantiles.percentiles(quantiles.combine(quantiles.build(rows, keys, "target"), keys), keys)
+
+    def rows(t: str, value: str) -> DataFrame:
+        return table(spark, d, t).select(F.lit(value).alias("metric"), quantiles.phase(F.col("phase")).alias("grp"), name.alias("file"), F.col(value).cast("double").alias("value"))
+
+    values = rows("decisions", "target").unionByName(rows("decision_snapshots", "margin")).unionByName(rows("learnability_rows", "q_target"))
+    return quantiles.by_part_and_all(values, "file")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -269,10 +269,16 @@ def by_day_and_all(values_: DataFrame) -> DataFrame:
     ``level`` is ``day`` or ``all`` (``day`` null).  The sketches of all days are
     merged from those of the single days; no value is read for them again.
     """
-    days = cut(combine(build(values_, ["metric", "grp", "day"], "value"), ["metric", "grp", "day"]))
-    one = percentiles(days, ["metric", "grp", "day"]).withColumn("level", F.lit("day"))
-    total = percentiles(combine(days, ["metric", "grp"]), ["metric", "grp"]).withColumn("level", F.lit("all")).withColumn("day", F.lit(None).cast("date"))
-    return one.unionByName(total).select("level", "metric", "grp", "day", "p", "value", "n", "nulls", "odd", "lo", "hi", "max_rank_error")
+    return by_part_and_all(values_, "day")
+
+
+def by_part_and_all(values_: DataFrame, part: str) -> DataFrame:
+    """The same for any column ``part`` that splits the values, such as files."""
+    keys = ["metric", "grp", part]
+    parts = cut(combine(build(values_, keys, "value"), keys))
+    one = percentiles(parts, keys).withColumn("level", F.lit(part))
+    total = percentiles(combine(parts, keys[:2]), keys[:2]).withColumn("level", F.lit("all")).withColumn(part, F.lit(None).cast(values_.schema[part].dataType))
+    return one.unionByName(total).select("level", *keys, "p", "value", "n", "nulls", "odd", "lo", "hi", "max_rank_error")
 
 
 def phase(column: Column) -> Column:

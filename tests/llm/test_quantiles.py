@@ -77,3 +77,14 @@ def test_files_combine_to_the_whole(spark, tmp_path):
     whole = {r.p: r.value for r in Q.percentiles(Q.combine(one, ["metric", "grp"]), ["metric", "grp"]).collect()}
     for p, e in rank_errors(v, [whole[p] for p in Q.PERCENTS], Q.PERCENTS):
         assert e <= 4 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v)
+
+
+def test_files_of_all_tables_and_their_total(spark, tmp_path):
+    from foldspan.llm import catalog
+
+    for t, value in (("decisions", "target"), ("decision_snapshots", "margin"), ("learnability_rows", "q_target")):
+        rows = spark.createDataFrame([("early", float(i)) for i in range(300)], f"phase string, {value} double")
+        rows.repartitionByRange(3, value).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = catalog.p4_files(spark, str(tmp_path)).where("p = 0.5").collect()
+    assert {(r.metric, r.level, r.n) for r in got} == {(m, *x) for m in ("target", "margin", "q_target") for x in (("file", 100), ("all", 300))}
+    assert sum(r.level == "file" for r in got) == 9 and all(abs(r.value - 149.5) < 5 and r.file is None for r in got if r.level == "all")
