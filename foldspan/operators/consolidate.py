@@ -181,14 +181,21 @@ def repeated_lines(jobs: DataFrame, ranges: int | None = None) -> DataFrame:
     return marked.where("kind = 'copy'").select("file_id", "line_no").unionByName(edge_copies(marked).select("file_id", "line_no"))
 
 
+def ranges_for(jobs: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
+    """Key ranges that hold about ``target_bytes`` each, at least one."""
+    return max(1, -(-(jobs.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0) // target_bytes))
+
+
 def consolidated(jobs: DataFrame, target_bytes: int = TARGET_BYTES, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Kept records with their output file, and the range metadata per file.
 
     Returns ``(records, files)``: records carry ``range_no, out_no, log,
     event_index, file_id, line_no, line``; files carry the first and last key,
     record, copy and byte counts of each output file.  Every event record is
-    present once; a source file is never needed again.
+    present once; a source file is never needed again.  Unless given, key ranges
+    are as many as the bodies have ``target_bytes``, and files are rolled in each.
     """
+    ranges = ranges or ranges_for(jobs, target_bytes)
     marked = merge_runs(event_lines(jobs), target_bytes, keep_lines=True, ranges=ranges)
     edges = edge_copies(marked)
     records = (

@@ -99,3 +99,13 @@ def test_manifest_check(spark):
     got = {r.manifest_id: r for r in C.manifest_check(m, j).collect()}
     assert (got[0].listed, got[0].shard_total, got[0].held, got[0].missing, got[0].unlisted) == (3, 3, 2, 1, 1)
     assert (got[1].listed, got[1].shard_total, got[1].held) == (None, None, 0)
+
+
+def test_files_follow_the_bytes(spark):
+    body = lambda i: "".join(f'{{"event_index": {k}, "type": "x{i:04d}"}}\n' for k in range(10))
+    jobs = spark.createDataFrame([(i, f"logs/{i:04d}.json", body(i)) for i in range(200)], "file_id bigint, src_path string, body string")
+    assert [r.n_records for r in C.consolidated(jobs)[1].collect()] == [2000]
+    total = sum(len(body(i)) for i in range(200))
+    files = C.consolidated(jobs, target_bytes=total // 20)[1].collect()
+    assert sum(r.n_records for r in files) == 2000 and 20 <= len(files) <= 42
+    assert C.consolidated(jobs.limit(0))[0].count() == 0
