@@ -261,3 +261,11 @@ def test_draws_at_reference_size(spark, tiny):
     assert q["cluster_bootstrap_tv_1000"](spark, tiny).first().reps == 1000 and q["hier_bootstrap_ci_5000"](spark, tiny).first().reps == 5000
     assert q["median_distance_65536"](spark, tiny).first().pairs > 60_000
     assert all((r.p * 1000) % 1 == pytest.approx(0, abs=1e-6) for r in q["permutation_p_999"](spark, tiny).collect())
+
+
+def test_set_differences_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(5, "a"), (6, "b"), (7, "b"), (None, None)], "manifest_id bigint, src_path string").write.parquet(f"{tmp_path}/export_jobs.parquet")
+    spark.createDataFrame([(5, ["a", "c", None]), (6, None), (10, [])], "manifest_id bigint, files array<string>").write.parquet(f"{tmp_path}/export_manifests.parquet")
+    got = lambda name: {tuple(r) for r in comparing.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("set_differences_manifests") == {("unexpected", 7), ("missing", 10)}
+    assert got("set_differences_paths") == {("unexpected", "b"), ("missing", "c")}
