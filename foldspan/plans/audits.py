@@ -225,6 +225,13 @@ def second_moments(spark, d):
     return _rounded(U.second_moments(e, ["cohort"], "v", 6))
 
 
+@query("WITH v AS (SELECT label % 2 AS cohort, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64), i AS (SELECT unnest(range(64)) AS i) SELECT CAST(cohort AS INTEGER) AS cohort, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(v[a.i + 1]), 8) AS mean_i, round(avg(v[b.i + 1]), 8) AS mean_j, round(avg(v[a.i + 1] * v[b.i + 1]), 8) AS m FROM v, i a, i b WHERE a.i <= b.i GROUP BY 1, 2, 3")
+def second_moments_64(spark, d):
+    """Whole vectors; ``second_moments`` and its SQL take the first six entries."""
+    e = table(spark, d, "embeddings").where(F.size("embedding") == 64).select((F.col("label") % 2).alias("cohort"), F.col("embedding").alias("v"))
+    return _rounded(U.second_moments(e, ["cohort"], "v", 64))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_quantity DESC, l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def lexicographic_best(spark, d):
     return U.first_best(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", ["l_discount"], ["l_quantity", "l_extendedprice"])

@@ -269,3 +269,8 @@ def test_set_differences_of_whole_tables(spark, tmp_path):
     got = lambda name: {tuple(r) for r in comparing.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got("set_differences_manifests") == {("unexpected", 7), ("missing", 10)}
     assert got("set_differences_paths") == {("unexpected", "b"), ("missing", "c")}
+
+
+def test_second_moments_of_whole_vectors(spark, tiny):
+    got = audits.QUERIES["second_moments_64"](spark, tiny).where("cohort = 0").collect()
+    assert len(got) == 64 * 65 // 2 and max(r.j for r in got) == 63
