@@ -53,6 +53,7 @@ def positions(docs: DataFrame, folder: str = tokens.TOKENIZERS, name: str = "byt
     keyed = sized.select("source", F.col("doc_id").cast("bigint").alias("doc_id"), "tokens", F.xxhash64("doc_id", F.lit(17)).alias("h"))
     order = ["source", "tokens", "h"]
     n = partitions_for(docs.sparkSession)
+    keyed = cut(keyed)  # the range partitioner reads its input twice; texts are to be encoded once
     ranges = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("source", "doc_id", "tokens")
     local = cut(ranges.mapInArrow(_number, "source string, doc_id bigint, tokens bigint, part int, place bigint"))
     held = local.groupBy("source", "part").agg(F.count("*").alias("held"))  # ranges x sources
@@ -91,7 +92,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
     the documents and tokens at hand and emitted, and the most copies of one
     document; sources without documents are listed with nothing reached.
     """
-    placed = cut(positions(docs))
+    placed = positions(docs)
     sizes = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
     wanted = plan(targets, sizes, total, seed)
     rates = F.broadcast(wanted.where("rate > 0").select("mix", "source", "rate", "offset"))  # as many rows as mix_targets has

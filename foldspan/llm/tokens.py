@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 TOKENIZERS = os.environ.get("FOLDSPAN_TOKENIZERS", "/opt/tokenizers")
@@ -216,6 +217,13 @@ def encoder(folder: str, name: str) -> Encoder:
     return _ENCODERS[folder, name]
 
 
+def _steps(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text each, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    edges = np.flatnonzero(np.diff(upto // most)) + 1
+    return list(zip([0, *edges], [*edges, len(texts)])) if len(texts) else []
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chars_a_step: int = 4 << 20) -> DataFrame:
     """``id_col, ids`` of every row: token ids of the text, no special tokens.
 
@@ -227,19 +235,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
         for batch in batches:
-            texts, start, held = batch.column(1).to_pylist(), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or "")
-                if held >= chars_a_step or i == len(texts) - 1:
-                    offsets, ids = enc.encode(texts[start : i + 1])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[start : i + 1], lists], names=[id_col, "ids"])
-                    start, held = i + 1, 0
+            for start, stop in _steps(batch.column(1), chars_a_step):
+                offsets, ids = enc.encode(batch.column(1)[start:stop].to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], lists], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, ids array<int>")
 
 
-def count_tokens(docs: DataFrame, id_cols: list[str], text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+def count_tokens(docs: DataFrame, id_cols: list[str], text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chars_a_step: int = 1 << 20) -> DataFrame:
     """``id_cols`` and ``tokens``, the number of token ids of each text."""
     fields = [docs.schema[c] for c in id_cols]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", tokens bigint"
@@ -247,7 +251,9 @@ def count_tokens(docs: DataFrame, id_cols: list[str], text_col: str = "text", fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
         for batch in batches:
-            offsets, _ = enc.encode(batch.column(len(id_cols)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(np.diff(offsets), pa.int64())], names=[*id_cols, "tokens"])
+            text = batch.column(len(id_cols))
+            for start, stop in _steps(text, chars_a_step):
+                offsets, _ = enc.encode(text[start:stop].to_pylist())
+                yield pa.RecordBatch.from_arrays([*[c[start:stop] for c in batch.columns[: len(id_cols)]], pa.array(np.diff(offsets), pa.int64())], names=[*id_cols, "tokens"])
 
     return docs.select(*id_cols, text_col).mapInArrow(run, schema)
