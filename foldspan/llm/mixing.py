@@ -106,3 +106,26 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
         F.col("cap").alias("max_repeats"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs_taken", F.lit(0)).alias("docs_taken"), F.coalesce("tokens", F.lit(0)).alias("tokens"), emitted.alias("emitted"),
     )
     return taken, shares
+
+
+def conserved(taken: DataFrame, shares: DataFrame, off: float = 0.02) -> DataFrame:
+    """``mix, source, usable, cap_kept, sums_agree, share_reached`` of every wanted mix and source.
+
+    ``sums_agree`` adds the copies up anew; ``share_reached`` allows ``off``, or one
+    document more or less where a source is that small.
+    """
+    sums = taken.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("again"), F.count("*").alias("rows"), F.max("copies").alias("most"), F.max("tokens").alias("longest"))
+    all_ = F.sum(F.coalesce("again", F.lit(0))).over(Window.partitionBy("mix"))
+    near = F.greatest(F.lit(off), F.try_divide(F.coalesce("longest", F.lit(0)), all_))
+    return shares.join(sums, ["mix", "source"], "left").select(
+        "mix", "source", F.col("wanted_share").isNotNull().alias("usable"),
+        (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(2**31 - 1))).alias("cap_kept"),
+        ((F.coalesce("again", F.lit(0)) == F.col("emitted")) & (F.coalesce("rows", F.lit(0)) == F.col("docs_taken")) & (F.coalesce("rows", F.lit(0)) <= F.col("n_docs"))).alias("sums_agree"),
+        (F.abs(F.coalesce("wanted_share", F.lit(0.0)) - F.col("reached_share")) <= F.coalesce(near, F.lit(off))).alias("share_reached"),
+    )
+
+
+def left_out(docs: DataFrame) -> DataFrame:
+    """``reason, docs``: documents no mix can take."""
+    reason = F.when(F.col("text").isNull(), "null text").when(F.col("text") == "", "empty text").when(F.col("source").isNull(), "no source")
+    return docs.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("docs"))

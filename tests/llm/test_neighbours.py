@@ -92,3 +92,67 @@ def test_small_and_empty(spark):
     assert N.similar_pairs(one).count() == 0
     three = frame(spark, [1, 2, 3], np.vstack([np.ones((2, 64)), -np.ones((1, 64))]))
     assert [tuple(r) for r in N.similar_pairs(three).collect()] == [(1, 2)]
+
+
+def test_walk_pops_the_best_open_node(planted):
+    import heapq
+
+    x = unit(planted[1]).astype(np.float32)
+    tree = N.fit(x, 300_000, leaf_rows=400)
+    assert len(tree.centres) > 300
+    walked = tree.visits(x[:50], 12)
+    for row, leaves in zip(x[:50], walked):
+        queue, out = [(-float(row @ tree.centres[n]), n) for n in range(tree.roots)], []
+        heapq.heapify(queue)
+        while len(out) < 12:
+            node = heapq.heappop(queue)[1]
+            if tree.leaf[node] >= 0:
+                out.append(tree.leaf[node])
+            for kid in range(tree.first[node], tree.first[node] + tree.count[node]):
+                heapq.heappush(queue, (-float(row @ tree.centres[kid]), kid))
+        assert out == list(leaves)
+
+
+@pytest.mark.parametrize("floor", [0.9, None])
+def test_dense_region_needs_little_memory(floor):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = unit(np.ones((8000, 64)) + 0.02 * rng.standard_normal((8000, 64))).astype(np.float16)
+    x[100:140] = x[0]
+    tree = N._Subtree(5, floor)
+    ids, leaf = rng.permutation(8000).astype(np.int64), np.repeat(np.arange(4), 2000)
+    tree.add(ids, np.zeros(8000, np.int64), leaf, x, np.tile(np.arange(4, dtype=np.uint32), 8000), np.full(8000, 4))
+    tracemalloc.start()
+    tree.build()
+    a, b, s = (np.concatenate(p) for p in list(zip(*tree.own()))[1:])
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert len(a) == 40_000
+    full, row = N._full(x), {int(i): r for r, i in enumerate(ids)}
+    for q in ids[[0, 1, 120, 139, 5000]]:
+        near = np.round((full @ full[row[int(q)]]).astype(np.float64), 6)
+        near[row[int(q)]] = -1
+        assert set(b[a == q]) == set(ids[np.lexsort((ids, -near))[:5]])
+
+
+def test_copies_are_folded_over_batches():
+    folder, rng = N._Copies(5), np.random.default_rng(3)
+    half = np.tile(rng.standard_normal((1, 64)).astype(np.float16), (4, 1))
+    kept, rest = [], []
+    for first in (40, 80, 20, 60, 20):
+        ids = np.arange(first, first + 4)
+        keep, klass = folder.fold(ids, half)
+        kept += list(ids[keep])
+        rest += list(ids[~keep & (klass != 0)])
+    assert kept == [40, 41, 42, 43, 80, 81, 20, 21, 22, 23] and rest == [82, 83, 60, 61, 62, 63]
+
+
+def test_subtrees_in_shards(spark, planted, monkeypatch):
+    ids, x = planted
+    monkeypatch.setattr(N, "GROUP_ROWS", 150)
+    tree = N.fit(unit(x).astype(np.float32), len(x), leaf_rows=1000, group_rows=3000)
+    assert tree.shards.max() > 1
+    got = {tuple(r) for r in N.similar_pairs(frame(spark, ids, x)).collect()}
+    want = truth(ids, x)
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
