@@ -1,20 +1,26 @@
 """Consolidating millions of tiny event files into few sorted, well-sized ones.
 
-Sorted-run consolidation: every small file is cut into records, the records of
-one key range meet in one task, where Spark's external sorter merges the sorted
-runs (spilling, k-way) by ``(log, event_index, file_id, line_no)``.  The sort
-key is unique, so the range partitioner can cut through any log and even through
-any number of copies of one record: no task ever holds a whole hot log.  While
-the merged run streams past, output files are rolled by bytes and each file's
-key range, counts and size are recorded.
+Sorted-run consolidation.  Each small file is parsed once into a run: its records
+in the order of ``event_index``, which most files hold already.  The key space
+``(log, event_index, file_id)`` is cut into ranges of equal bytes, from a sample of
+the runs' keys; runs are cut at the borders, so a hot log, and even any number of
+copies of one record, is spread over tasks.  The pieces of a range come sorted
+by their first key (Spark's external sorter spills them), and are merged as they
+stream past: whatever lies before the first key of the next piece is final, so
+memory holds the pieces that overlap and no more.  The merge itself is a stable
+sort that finds the presorted runs and merges them.
 
 Copies of a record are adjacent after the merge.  Inside a range all but the
 first row of a run of equal keys are copies; the first row of a range is settled
-by the key range table, whose size is the number of ranges.
+by the key range table, whose size is the number of ranges.  Output files are
+rolled by bytes and each file's key range, counts and size are recorded.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,8 @@ from pyspark.sql import functions as F
 from foldspan.runtime import cut, partitions_for
 
 TARGET_BYTES = 128 << 20
+#: output files of a key range, and sampled keys per range
+FILES_A_RANGE, POINTS = 4, 60
 
 _MARKED = (
     "kind string, range_no int, out_no int, log string, event_index bigint, file_id bigint, line_no int, "
@@ -76,6 +84,168 @@ def event_lines(jobs: DataFrame) -> DataFrame:
     ).where("event_index is not null")
 
 
+def _whole(index: object) -> int | None:
+    if isinstance(index, str) and re.fullmatch(r"\s*[+-]?\d{1,18}\s*", index):
+        return int(index)
+    if isinstance(index, float) and index.is_integer():
+        index = int(index)
+    return index if isinstance(index, int) and not isinstance(index, bool) and abs(index) < 1 << 62 else None
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
+_RUN = "log string, file_id bigint, in_order boolean, n_bytes bigint, idx array<bigint>, nos array<int>, lines array<string>"
+_PIECE = "range_no int, log string, first bigint, file_id bigint, idx array<bigint>, nos array<int>, lines array<string>"
+
+
+def _parse(keep_lines: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = json.JSONDecoder(parse_constant=_refuse).decode
+        for batch in batches:
+            logs, ids, sorted_, sizes, idx, nos, lines, ends = [], [], [], [], [], [], [], [0]
+            for file_id, log, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if "\r" in body:
+                    body = body.replace("\r\n", "\n").replace("\r", "\n")
+                found = []
+                for no, line in enumerate(body.split("\n"), 1):
+                    if "event_index" not in line:
+                        continue
+                    try:
+                        event = decode(line)
+                    except (ValueError, RecursionError):
+                        continue
+                    i = _whole(event.get("event_index")) if isinstance(event, dict) else None
+                    if i is not None:
+                        found.append((i, no, line.strip(" ") if keep_lines else None))
+                if not found:
+                    continue
+                own = [f[0] for f in found]
+                in_order = all(a <= b for a, b in zip(own, own[1:]))
+                if not in_order:
+                    found.sort(key=lambda f: f[:2])
+                logs.append(log), ids.append(file_id), sorted_.append(in_order)
+                idx += [f[0] for f in found]
+                nos += [f[1] for f in found]
+                if keep_lines:
+                    lines += (own := [f[2] for f in found])
+                    sizes.append(sum(len(x.encode("utf-8", "surrogatepass")) + 1 for x in own))
+                else:
+                    sizes.append(len(found))
+                ends.append(len(idx))
+            at = pa.array(ends, pa.int32())
+            text = pa.ListArray.from_arrays(at, pa.array(lines, pa.string())) if keep_lines else pa.nulls(len(ids), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(logs, pa.string()), pa.array(ids, pa.int64()), pa.array(sorted_, pa.bool_()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, pa.array(idx, pa.int64())), pa.ListArray.from_arrays(at, pa.array(nos, pa.int32())), text],
+                names=[f.split()[0] for f in _RUN.split(", ")],
+            )
+
+    return run
+
+
+def runs(jobs: DataFrame, keep_lines: bool = True) -> DataFrame:
+    """One sorted run per file with records: ``log, file_id, in_order, n_bytes, idx, nos, lines``.
+
+    Records are as ``event_lines`` states.  ``in_order`` tells whether the file was
+    sorted as it stood; the others are sorted here, each a small file.  Without
+    lines ``n_bytes`` counts records.
+    """
+    files = jobs.select(F.col("file_id").cast("bigint").alias("file_id"), canonical_path(F.col("src_path")).alias("log"), "body").where("log is not null and body is not null")
+    return files.mapInArrow(_parse(keep_lines), _RUN)
+
+
+def borders(held: DataFrame, ranges: int) -> list[tuple[str, int, int]]:
+    """First keys of all ranges but the first, so that ranges hold about equal bytes.
+
+    ``POINTS`` sampled keys per range are sorted in the cluster; only every
+    ``POINTS``-th comes to the driver, one border for each range (512 MB at the
+    usual target).
+    """
+    if ranges < 2:
+        return []
+    records = held.agg(F.sum(F.size("idx"))).first()[0] or 0
+    if not records:
+        return []
+    share = min(1.0, POINTS * ranges / records)
+    keys = held.select("log", "file_id", F.explode(F.arrays_zip("idx", "nos")).alias("p")).select("log", F.col("p.idx").alias("idx"), "file_id", F.col("p.nos").alias("no"))
+    points = keys.where(F.pmod(F.xxhash64("log", "idx", "file_id", "no"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    step = max(1, round(records * share / ranges))
+    parts = max(1, POINTS * ranges // 100_000)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange((-seen - 1) % step, batch.num_rows, step)))
+            seen += batch.num_rows
+
+    order = ["log", "idx", "file_id"]
+    points = points.select(*order)
+    points = points.repartitionByRange(parts, *order) if parts > 1 else points.coalesce(1)
+    picked = points.sortWithinPartitions(*order).mapInArrow(pick, "log string, idx bigint, file_id bigint")
+    return sorted({tuple(r) for r in picked.collect()})
+
+
+def _cut_runs(borders_b):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = borders_b.value
+        for batch in batches:
+            idx, base = batch.column("idx"), np.asarray(batch.column("idx").offsets)
+            flat = np.asarray(idx.values)
+            row, start, where = [], [], []
+            for r, (log, file_id) in enumerate(zip(batch.column("log").to_pylist(), batch.column("file_id").to_pylist())):
+                s, e = int(base[r]), int(base[r + 1])
+                lo, hi = bisect_right(at, (log, int(flat[s]), file_id)), bisect_right(at, (log, int(flat[e - 1]), file_id))
+                row.append(r), start.append(s), where.append(lo)
+                for b in range(lo, hi):
+                    _, i, f = at[b]
+                    place = s + (bisect_left if file_id >= f else bisect_right)(flat[s:e], i)
+                    if place > start[-1]:
+                        row.append(r), start.append(place), where.append(b + 1)
+                    else:
+                        where[-1] = b + 1
+            if not row:
+                continue
+            edges = pa.array([*start, int(base[-1])], pa.int32())
+            rows = pa.array(row)
+            lines = batch.column("lines")
+            cut_lines = pa.ListArray.from_arrays(edges, lines.values) if lines.null_count == 0 else pa.nulls(len(row), lines.type)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where, pa.int32()), batch.column("log").take(rows), pa.array(flat[start], pa.int64()), batch.column("file_id").take(rows), pa.ListArray.from_arrays(edges, idx.values), pa.ListArray.from_arrays(edges, batch.column("nos").values), cut_lines],
+                names=[f.split()[0] for f in _PIECE.split(", ")],
+            )
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of pieces that come in the order of ``log, first``, in the order of all keys."""
+    names = ["log", "event_index", "file_id", "line_no", "line"]
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.list_value_length(batch.column("idx")).to_numpy()
+        row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        idx = batch.column("idx").flatten()
+        lines = batch.column("lines").flatten() if batch.column("lines").null_count == 0 else pa.nulls(len(idx), pa.string())
+        new = pa.table([batch.column("log").take(row), idx, batch.column("file_id").take(row), batch.column("nos").flatten(), lines], names=names)
+        rows = new if held is None else pa.concat_tables([held, new])
+        code = rows.column("log").combine_chunks().dictionary_encode()
+        rank = np.argsort(np.argsort(np.array(code.dictionary.to_pylist(), object)))
+        log, at = rank[code.indices.to_numpy()], rows.column("event_index").to_numpy()
+        order = np.lexsort((rows.column("line_no").to_numpy(), rows.column("file_id").to_numpy(), at, log))
+        log, at = log[order], at[order]
+        # what lies before the first key of the last piece can get no more rows
+        last = log[-1] if len(log) else 0
+        done = np.searchsorted(log, last) + np.searchsorted(at[log == last], batch.column("first")[-1].as_py())
+        rows = rows.take(pa.array(order))
+        yield from rows.slice(0, done).combine_chunks().to_batches(max_chunksize=65_536)
+        held = rows.slice(done)
+    if held is not None:
+        yield from held.combine_chunks().to_batches(max_chunksize=65_536)
+
+
 def _merge(target_bytes: int, keep_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,7 +260,8 @@ def _merge(target_bytes: int, keep_lines: bool):
 
         last: tuple[str, int] | None = None
         out_no, file = 0, None
-        for batch in batches:
+        size = lambda lines: pc.fill_null(pc.binary_length(lines), 0)
+        for batch in _merged(batches):
             n = batch.num_rows
             if not n:
                 continue
@@ -102,9 +273,9 @@ def _merge(target_bytes: int, keep_lines: bool):
             if last is not None:
                 same[0] = first == last
             else:
-                yield table(1, kind=["first"], range_no=[part], log=[first[0]], event_index=[first[1]], file_id=batch.column("file_id")[:1], line_no=batch.column("line_no")[:1], n_bytes=pc.binary_length(batch.column("line")[:1]))
+                yield table(1, kind=["first"], range_no=[part], log=[first[0]], event_index=[first[1]], file_id=batch.column("file_id")[:1], line_no=batch.column("line_no")[:1], n_bytes=size(batch.column("line")[:1]))
             copy = np.array(same)
-            kept = np.where(copy, 0, pc.binary_length(batch.column("line")).to_numpy() + 1)
+            kept = np.where(copy, 0, size(batch.column("line")).to_numpy() + 1)
             upto = np.cumsum(kept)
             outs = np.zeros(n, np.int32)
             at = 0
@@ -142,16 +313,21 @@ def _merge(target_bytes: int, keep_lines: bool):
     return run
 
 
-def merge_runs(lines: DataFrame, target_bytes: int = TARGET_BYTES, keep_lines: bool = True, ranges: int | None = None) -> DataFrame:
+def merge_runs(jobs: DataFrame, target_bytes: int = TARGET_BYTES, keep_lines: bool = True, ranges: int | None = None) -> DataFrame:
     """The marked stream of the sorted merge, materialised once.
 
     Rows of kind ``record`` (kept lines), ``copy``, ``file`` (one output file
     with its key range), ``first`` and ``last`` (edges of each key range).
+    Unless given, there is a range for every ``FILES_A_RANGE`` targets of bytes.
     """
-    order = ["log", "event_index", "file_id", "line_no"]
-    n = ranges or partitions_for(lines.sparkSession)
-    sorted_runs = lines.select(*order, "line").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return cut(sorted_runs.mapInArrow(_merge(target_bytes, keep_lines), _MARKED))
+    spark = jobs.sparkSession
+    held = cut(runs(jobs, keep_lines))  # bodies are parsed once
+    if ranges is None:
+        ranges = max(1, -(-(held.agg(F.sum("n_bytes")).first()[0] or 0) // (FILES_A_RANGE * target_bytes)))
+    at = borders(held, ranges)
+    pieces = held.select("log", "file_id", "idx", "nos", "lines").mapInArrow(_cut_runs(spark.sparkContext.broadcast(at)), _PIECE)
+    sorted_ = pieces.repartitionById(len(at) + 1, F.col("range_no")).sortWithinPartitions("log", "first", "file_id")
+    return cut(sorted_.mapInArrow(_merge(target_bytes, keep_lines), _MARKED))
 
 
 def edge_copies(marked: DataFrame) -> DataFrame:
@@ -177,15 +353,10 @@ def repeated_lines(jobs: DataFrame, ranges: int | None = None) -> DataFrame:
     both line endings are handled as ``event_lines`` states; an empty table
     gives an empty result.
     """
-    marked = merge_runs(event_lines(jobs), keep_lines=False, ranges=ranges)
+    marked = merge_runs(jobs, keep_lines=False, ranges=ranges or partitions_for(jobs.sparkSession))
     return marked.where("kind = 'copy'").select("file_id", "line_no").unionByName(edge_copies(marked).select("file_id", "line_no"))
 
 
-def ranges_for(jobs: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
-    """Key ranges that hold about ``target_bytes`` each, at least one."""
-    return max(1, -(-(jobs.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0) // target_bytes))
-
-
 def consolidated(jobs: DataFrame, target_bytes: int = TARGET_BYTES, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Kept records with their output file, and the range metadata per file.
 
@@ -193,10 +364,9 @@ def consolidated(jobs: DataFrame, target_bytes: int = TARGET_BYTES, ranges: int
     event_index, file_id, line_no, line``; files carry the first and last key,
     record, copy and byte counts of each output file.  Every event record is
     present once; a source file is never needed again.  Unless given, key ranges
-    are as many as the bodies have ``target_bytes``, and files are rolled in each.
+    hold ``FILES_A_RANGE`` times ``target_bytes``, and files are rolled in each.
     """
-    ranges = ranges or ranges_for(jobs, target_bytes)
-    marked = merge_runs(event_lines(jobs), target_bytes, keep_lines=True, ranges=ranges)
+    marked = merge_runs(jobs, target_bytes, keep_lines=True, ranges=ranges)
     edges = edge_copies(marked)
     records = (
         marked.where("kind = 'record'")
@@ -234,6 +404,23 @@ def write_consolidated(jobs: DataFrame, out: str, target_bytes: int = TARGET_BYT
     return files
 
 
+def files_check(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """One row: ``n_records, n_copies, n_bytes, in_order, sized`` of the range metadata.
+
+    ``in_order``: no file begins before its predecessor ends.  ``sized``: files
+    are at most a quarter and one range's last file more than bytes over target.
+    The window runs over output files, never over data.
+    """
+    first, last = F.struct(F.col("first_log").alias("l"), F.col("first_index").alias("i")), F.struct(F.col("last_log").alias("l"), F.col("last_index").alias("i"))
+    w = Window.orderBy("range_no", "out_no")
+    checked = files.withColumn("ok", (first <= last) & F.coalesce(F.lag(last).over(w) <= first, F.lit(True)))
+    most = F.ceil(F.sum("n_bytes") / target_bytes) * 1.25 + F.count_distinct("range_no")
+    return checked.agg(
+        F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n_copies"), F.sum("n_bytes").alias("n_bytes"),
+        F.coalesce(F.bool_and("ok"), F.lit(True)).alias("in_order"), F.coalesce(F.count("*") <= most, F.lit(True)).alias("sized"),
+    )
+
+
 def manifest_check(manifests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Listed against actual files, one row per manifest.
 

@@ -45,11 +45,16 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.consolidated(table(spark, d, "export_jobs"))[1]
 
 
+def p3_files_check(spark: SparkSession, d: str) -> DataFrame:
+    """Totals over the output files, and whether their key ranges follow each other and their sizes the target."""
+    return consolidate.files_check(consolidate.consolidated(table(spark, d, "export_jobs"))[1])
+
+
 def p3_manifest_check(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.manifest_check(table(spark, d, "export_manifests"), table(spark, d, "export_jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_seats, p2_discards, p2_melds, p3_found, p3_records, p3_files, p3_manifest_check)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_seats, p2_discards, p2_melds, p3_found, p3_records, p3_files, p3_files_check, p3_manifest_check)}
 
 _LOG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(url_decode(regexp_replace(trim(src_path), '^(?i)file:(//)?/', '/')), chr(92), '/'), '/+', '/', 'g'), '(/[.])+(/|$)', '\2', 'g'), '/[^/]+/[.][.](/|$)', '\1'), '/[^/]+/[.][.](/|$)', '\1')"
 _LINES = "l AS (SELECT file_id, {0} AS log, unnest(string_split(replace(body, chr(13), ''), chr(10))) AS line, unnest(range(1, len(string_split(replace(body, chr(13), ''), chr(10))) + 1)) AS line_no FROM export_jobs WHERE src_path IS NOT NULL), e AS (SELECT file_id, log, CAST(line_no AS INTEGER) AS line_no, trim(line) AS line, try_cast(json_extract_string(CASE WHEN json_valid(line) THEN line END, '$.event_index') AS BIGINT) AS event_index FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY log, event_index ORDER BY file_id, line_no) AS n FROM e WHERE event_index IS NOT NULL)".format(_LOG)
@@ -72,6 +77,7 @@ ORACLE: dict[str, str] = {
     "p2_seats": f"WITH {_BASE} SELECT 'state' AS rec, state_id AS rec_id, state_id || '.' || place AS label, CAST(state_id AS VARCHAR) AS record_label, seat, CAST(place AS INTEGER) AS place FROM p WHERE seat BETWEEN 0 AND 3 UNION ALL SELECT 'snapshot', snapshot_id, snapshot_id || '.' || i.i, CAST(snapshot_id AS VARCHAR), CAST(i.i AS INTEGER), CAST(i.i AS INTEGER) FROM s, range(4) i(i)",
     "p3_found": f"WITH {_LINES} SELECT file_id, line_no FROM r WHERE n > 1",
     "p3_records": f"WITH {_LINES} SELECT log, event_index, file_id, line_no, line FROM r WHERE n = 1",
+    "p3_files_check": f"WITH {_LINES} SELECT CAST(count(*) FILTER (n = 1) AS BIGINT) AS n_records, CAST(count(*) FILTER (n > 1) AS BIGINT) AS n_copies, CAST(sum(strlen(line) + 1) FILTER (n = 1) AS BIGINT) AS n_bytes, true AS in_order, true AS sized FROM r",
     "p3_manifest_check": f"""WITH m AS (SELECT manifest_id, unnest(files) AS src_path FROM export_manifests), a AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM m WHERE src_path IS NOT NULL), b AS (SELECT DISTINCT manifest_id, {_LOG} AS log FROM export_jobs WHERE src_path IS NOT NULL AND manifest_id IS NOT NULL),
 g AS (SELECT coalesce(a.manifest_id, b.manifest_id) AS manifest_id, sum(CASE WHEN b.log IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN a.log IS NULL THEN 1 ELSE 0 END) AS unlisted FROM a FULL JOIN b ON a.manifest_id = b.manifest_id AND a.log = b.log GROUP BY 1), h AS (SELECT manifest_id, count(*) AS held FROM export_jobs GROUP BY 1)
 SELECT x.manifest_id, CAST(len(files) AS BIGINT) AS listed, CAST(list_sum(map_values(shard_file_counts)) AS BIGINT) AS shard_total, coalesce(held, 0) AS held, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(unlisted, 0) AS BIGINT) AS unlisted FROM export_manifests x LEFT JOIN g ON x.manifest_id = g.manifest_id LEFT JOIN h ON x.manifest_id = h.manifest_id""",

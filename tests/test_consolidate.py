@@ -109,3 +109,29 @@ def test_files_follow_the_bytes(spark):
     files = C.consolidated(jobs, target_bytes=total // 20)[1].collect()
     assert sum(r.n_records for r in files) == 2000 and 20 <= len(files) <= 42
     assert C.consolidated(jobs.limit(0))[0].count() == 0
+
+
+def test_pieces_merge_like_one_sort():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    pieces = sorted((rnd.choice("ab"), sorted(rnd.randrange(30) for _ in range(rnd.randrange(1, 9))), f) for f in range(80))
+    pieces.sort(key=lambda p: (p[0], p[1][0], p[2]))
+    names = [f.split()[0] for f in C._PIECE.split(", ")]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(part), pa.int32()), pa.array([p[0] for p in part]), pa.array([p[1][0] for p in part], pa.int64()), pa.array([p[2] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.list_(pa.int64())), pa.array([list(range(len(p[1]))) for p in part], pa.list_(pa.int32())), pa.array([[str(i) for i in p[1]] for p in part], pa.list_(pa.string()))],
+            names=names,
+        )
+        for part in (pieces[s : s + 7] for s in range(0, 80, 7))
+    ]
+    got = [tuple(r.values()) for b in C._merged(iter(batches)) for r in b.to_pylist()]
+    assert got == sorted((log, i, f, n, str(i)) for log, idx, f in pieces for n, i in enumerate(idx))
+    assert np.diff([b.num_rows for b in C._merged(iter(batches))]).size  # pieces flow out before the last batch
+
+
+def test_runs_keep_their_order_and_odd_numbers(spark):
+    body = "\n".join(['{"event_index": 3}', '{"event_index": "1"}', '{"event_index": 2.0}', '{"event_index": 2.5}', '{"event_index": true}', '{"event_index": NaN}', '{"event_index": 9} x', '[{"event_index": 9}]'])
+    row = C.runs(spark.createDataFrame([(1, "/a", body), (2, "/a", '{"event_index": 1}\r\n{"event_index": 1}'), (3, None, body), (4, "/a", None), (5, "/a", "")], "file_id bigint, src_path string, body string")).collect()
+    assert [(r.file_id, r.in_order, r.idx, r.nos) for r in row] == [(1, False, [1, 2, 3], [2, 3, 1]), (2, True, [1, 1], [1, 2])]
