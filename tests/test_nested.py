@@ -59,3 +59,24 @@ def test_repeated_rows_count_once(spark):
     row = (1, "g", ts(1), json.dumps(shapes()[0][1]), None, None, None)
     one = N.held_items(spark.createDataFrame([row], STATES), spark.createDataFrame([], SNAPS)).count()
     assert N.held_items(spark.createDataFrame([row] * 5, STATES), spark.createDataFrame([], SNAPS)).count() == one == 6
+
+
+def test_any_depth_and_labels(spark):
+    payload = {"scores": [1, None, 3], "last_discard": {"actor": 2}, "extra": [{"deep": [{"er": [7, 8]}]}], "players": [None, {"seat": 3, "hand": {"1m": 2}, "melds": [{"meld": {"type": "pon", "consumed": ["E", None, "E"]}, "src": "x"}]}]}
+    wrapped = {"payload": json.dumps({"data": {"state": {"data": payload}}})}
+    nodes = N.state_nodes(spark.createDataFrame([(1, "g", ts(1), json.dumps(wrapped), None, None, None)], STATES))
+    got = {(r.label, r.schema_path, r.o): dict(r.fields) for r in nodes.withColumn("o", N.owner(nodes)).collect()}
+    assert set(got) == {
+        ("1", "record", None), ("1.1", "players", "1"), ("1.1.1.0", "players.melds", "1.1"), ("1.1.1.0.0.0", "players.melds.consumed", "1.1.1.0"), ("1.1.1.0.0.2", "players.melds.consumed", "1.1.1.0"),
+        ("1.1.2", "players.hand", "1.1"), ("1.5.0", "scores", "1"), ("1.5.2", "scores", "1"), ("1.8", "last_discard", "1"),
+        ("1.12.0", "extra", "1"), ("1.12.0.0.0", "extra.deep", "1.12.0"), ("1.12.0.0.0.0.0", "extra.deep.er", "1.12.0.0.0"), ("1.12.0.0.0.0.1", "extra.deep.er", "1.12.0.0.0"),
+    }
+    assert got["1.1.1.0", "players.melds", "1.1"] == {"type": "pon", "src": "x", "consumed": '["E", null, "E"]'}
+    assert got["1.1.2", "players.hand", "1.1"] == {"1m": "2"} and got["1.8", "last_discard", "1"] == {"actor": "2"}
+
+
+def test_left_out(spark):
+    rows = [(1, "g", ts(1), json.dumps({"players": [{}] * 6 + [None]}), None, None, None), (None, None, None, None, None, None, None), (2, None, None, "{", None, None, None), (None, None, None, "{}", None, None, None)]
+    got = {r.reason: r.n for r in N.left_out(spark.createDataFrame(rows, STATES)).collect()}
+    assert got == {"null payload": 1, "unreadable payload": 1, "player beyond the seats": 2}
+    assert N.left_out(spark.createDataFrame([], STATES)).where("n <> 0").count() == 0
