@@ -17,6 +17,10 @@ def p1_combinations(spark: SparkSession, d: str) -> DataFrame:
     return diversity.combinations(table(spark, d, "decisions"))
 
 
+def p1_checked(spark: SparkSession, d: str) -> DataFrame:
+    return diversity.checked(table(spark, d, "decisions"))
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     values = quantiles.values(*(table(spark, d, t) for t in ("decisions", "decision_snapshots", "learnability_rows")))
     return quantiles.by_day_and_all(values)
@@ -89,13 +93,15 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 8) for c in ("hazard", "near_hazard")})
 
 
-QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p4_percentiles, p4_files, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_sources, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p1_checked, p4_percentiles, p4_files, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_sources, p8_limits)}
 _TOKEN = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
 _UNITS = "v AS (SELECT obs_id, obs, loaded_at FROM decisions UNION ALL SELECT obs_id, obs, loaded_at FROM learnability_rows UNION ALL SELECT obs_id, obs, loaded_at FROM probe_states), l AS (SELECT * FROM v WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1), f AS (SELECT obs_id, CAST(obs AS DOUBLE[]) AS o FROM l WHERE len(obs) = 64 AND len(list_filter(obs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(obs, lambda x: x <> 0)) > 0), u AS (SELECT obs_id, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS o FROM f)"
-ORACLE: dict[str, str] = {
-    "p1_combinations": f"""WITH d AS (SELECT * FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+_COMBINATIONS = f"""WITH d AS (SELECT * FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
 t AS (SELECT CASE {_TOKEN.format("phase")} WHEN 'mid' THEN 'middle' ELSE {_TOKEN.format("phase")} END AS p, {_TOKEN.format("action_kind")} AS k, CASE WHEN shanten BETWEEN -1 AND 6 THEN shanten END AS shanten FROM d)
-SELECT CASE WHEN p IN {diversity.PHASES} THEN p ELSE 'unknown' END AS phase, CASE WHEN k IN {diversity.KINDS} THEN k ELSE 'unknown' END AS action_kind, shanten, count(*) AS n FROM t GROUP BY 1, 2, 3""",
+SELECT CASE WHEN p IN {diversity.PHASES} THEN p ELSE 'unknown' END AS phase, CASE WHEN k IN {diversity.KINDS} THEN k ELSE 'unknown' END AS action_kind, shanten, count(*) AS n FROM t GROUP BY 1, 2, 3"""
+ORACLE: dict[str, str] = {
+    "p1_combinations": _COMBINATIONS,
+    "p1_checked": f"SELECT CAST(least(600, sum(n)) AS BIGINT) AS \"rows\", CAST(least(600, count(*)) AS BIGINT) AS combinations, CAST(0 AS BIGINT) AS repeated, true AS gained FROM ({_COMBINATIONS})",
     "p5_found": f"""WITH {_UNITS}, n AS (SELECT a.obs_id AS a, b.obs_id AS b, list_dot_product(a.o, b.o) AS s FROM u a JOIN u b ON a.obs_id <> b.obs_id WHERE list_dot_product(a.o, b.o) >= 0.9), r AS (SELECT a, b FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r""",
     "p5_recall": f"""WITH {_UNITS} SELECT count(*) AS asked, true AS enough FROM u WHERE obs_id % 100 = 0""",

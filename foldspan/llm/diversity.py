@@ -17,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspan.runtime import partitions_for
+from foldspan.runtime import cut, partitions_for
 
 #: rows kept of a combination, per core-set; more where the asked size needs them
 KEEP = 6
+#: replaced decisions that may be broadcast (16 bytes each); beyond, they are joined by a shuffle
+FEW = 500_000
 #: weights of the distance; they add up to 1
 W_PHASE, W_KIND, W_SHANTEN, W_OBS = 0.25, 0.4, 0.25, 0.1
 #: fixed values of the fields; anything else counts as unknown
@@ -33,24 +36,48 @@ SHANTEN = range(-1, 7)
 DIM = 64
 
 
+def _fields() -> list[Column]:
+    """The three categories in one spelling; null or unreadable ones are ``unknown`` (shanten: null)."""
+    named = lambda c, known, also: F.coalesce(F.when((t := _token(F.col(c))).isin(*known), t), *[F.when(t == a, b) for a, b in also.items()], F.lit("unknown"))
+    return [
+        named("phase", PHASES, {"mid": "middle"}).alias("phase"),
+        named("action_kind", KINDS, {}).alias("action_kind"),
+        F.when(F.col("shanten").between(min(SHANTEN), max(SHANTEN)), F.col("shanten")).cast("int").alias("shanten"),
+    ]
+
+
+def newest(decisions: DataFrame) -> DataFrame:
+    """``obs_id, loaded_at, h, n``: the delivery of each decision that counts, without its vector.
+
+    The latest one; of equally late ones that of the greater hash ``h`` of the
+    content.  Only ids, times and hashes are shuffled.
+    """
+    light = decisions.where(F.col("obs_id").isNotNull()).select(F.col("obs_id").cast("bigint").alias("obs_id"), F.struct("loaded_at", _hash().alias("h")).alias("at"))
+    return light.groupBy("obs_id").agg(F.max("at").alias("at"), F.min("at.h").alias("lo"), F.max("at.h").alias("hi")).select("obs_id", "at.*", (F.col("lo") != F.col("hi")).alias("differ"))
+
+
+def _hash() -> Column:
+    return F.xxhash64("log_id", "row_idx", *[F.col(c) for c in ("phase", "action_kind", "shanten")], "obs")
+
+
 def canonical(decisions: DataFrame) -> DataFrame:
-    """One row per decision, latest delivery, with one spelling per category.
+    """Decisions by their latest deliveries, with one spelling per category.
 
     Null or unreadable categories become ``unknown`` (shanten: null); that is a
-    combination of its own.  Unusable observations become null.
+    combination of its own.  Unusable observations become null.  Equal deliveries
+    of one decision stay; those that a later, different one replaced are left out.
+    Vectors are read once and not shuffled, as long as at most ``FEW`` decisions were replaced.
     """
-    body = F.struct("log_id", "row_idx", "phase", "action_kind", "shanten", "obs")
-    newest = decisions.where(F.col("obs_id").isNotNull()).groupBy(F.col("obs_id").cast("bigint").alias("obs_id")).agg(F.max_by(body, F.struct("loaded_at", F.xxhash64("phase", "action_kind", "shanten").alias("tie"))).alias("b"))
-    named = lambda c, known, also: F.coalesce(F.when((t := _token(c)).isin(*known), t), *[F.when(t == a, b) for a, b in also.items()], F.lit("unknown"))
-    obs = F.col("b.obs")
+    replaced = cut(newest(decisions).where("differ").select(F.col("obs_id").alias("id_"), F.col("h").alias("h_")))
+    n = replaced.count()
+    if n <= FEW:
+        replaced = F.broadcast(replaced)
+    obs = F.col("obs")
     usable = F.coalesce((F.size(obs) == DIM) & F.forall(obs, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    return newest.select(
-        "obs_id", "b.log_id", "b.row_idx",
-        named(F.col("b.phase"), PHASES, {"mid": "middle"}).alias("phase"),
-        named(F.col("b.action_kind"), KINDS, {}).alias("action_kind"),
-        F.when(F.col("b.shanten").between(min(SHANTEN), max(SHANTEN)), F.col("b.shanten")).alias("shanten"),
-        F.when(usable, obs).alias("obs"),
-    )
+    kept = decisions.where(F.col("obs_id").isNotNull()).select(F.col("obs_id").cast("bigint").alias("obs_id"), "log_id", "row_idx", *_fields(), F.when(usable, obs).alias("obs"), _hash().alias("h"))
+    if not n:
+        return kept.drop("h")
+    return kept.join(replaced, F.col("obs_id") == F.col("id_"), "left").where(F.col("h_").isNull() | (F.col("h") == F.col("h_"))).drop("id_", "h_", "h")
 
 
 def _token(c: Column) -> Column:
@@ -58,14 +85,16 @@ def _token(c: Column) -> Column:
 
 
 def _code(batch: pa.RecordBatch) -> np.ndarray:
-    phase = np.array([PHASES.index(x) if x in PHASES else len(PHASES) for x in batch.column("phase").to_pylist()])
-    kind = np.array([KINDS.index(x) if x in KINDS else len(KINDS) for x in batch.column("action_kind").to_pylist()])
-    shanten = np.array([len(SHANTEN) if x is None else x + 1 for x in batch.column("shanten").to_pylist()])
-    return (phase * (len(KINDS) + 1) + kind) * (len(SHANTEN) + 1) + shanten
+    at = lambda c, known: pc.fill_null(pc.index_in(batch.column(c), pa.array(known, batch.schema.field(c).type)), len(known)).to_numpy()
+    phase, kind, shanten = at("phase", PHASES), at("action_kind", KINDS), at("shanten", list(SHANTEN))
+    return (phase.astype(np.int64) * (len(KINDS) + 1) + kind) * (len(SHANTEN) + 1) + shanten
 
 
 def _unit(batch: pa.RecordBatch) -> np.ndarray:
-    x = np.array([o if o is not None else [0.0] * DIM for o in batch.column("obs").to_pylist()], np.float64).reshape(-1, DIM)
+    obs, x = batch.column("obs"), np.zeros((batch.num_rows, DIM))
+    held = pc.is_valid(obs).to_numpy(zero_copy_only=False)
+    x[held] = obs.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+    x /= np.maximum(np.abs(x).max(1, keepdims=True, initial=0), 1e-30)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
@@ -89,27 +118,28 @@ def _reduce(keep: int):
             if not batch.num_rows:
                 continue
             both = batch if held is None else pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
-            code, x, ids, counts = _code(both), _unit(both), both.column("obs_id").to_numpy(), both.column("rows").to_numpy().copy()
+            code, x, ids = _code(both), _unit(both), both.column("obs_id").to_numpy()
             order = np.lexsort((ids, code))
+            once = np.ones(len(order), bool)  # equal deliveries of one decision
+            once[1:] = (ids[order][1:] != ids[order][:-1]) | (code[order][1:] != code[order][:-1])
+            order = order[once]
             edges = np.flatnonzero(np.diff(code[order], prepend=-1))
-            rows = []
-            for s, e in zip(edges, [*edges[1:], len(order)]):
-                group = order[s:e]
-                pick = group[_spread(x[group], keep)]
-                total = counts[group].sum()
-                counts[pick] = 0
-                counts[pick[0]] = total
-                rows.append(pick)
-            rows = np.concatenate(rows)
-            held = both.set_column(both.schema.get_field_index("rows"), "rows", pa.array(counts, pa.int64())).take(pa.array(rows))
+            groups = [order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])]
+            rows = np.concatenate([group[_spread(x[group], keep)] for group in groups])
+            held = both.take(pa.array(rows))
         if held is not None:
             yield held
 
     return run
 
 
-def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | None = None) -> np.ndarray:
-    """Rows of a subset of ``size`` with locally maximal total distance.
+def swap_search(code: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Rows of a subset of ``size`` with locally maximal total distance."""
+    return search(code, x, size)[0]
+
+
+def search(code: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, float, float]:
+    """The subset of ``swap_search``, and total distances of the start and of the result.
 
     Starts from one row per combination, most distant combinations first, and a
     greedy fill; then takes the best swap as long as one adds distance.  Rows
@@ -118,8 +148,6 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
     a second row.
     """
     n = len(code)
-    if size >= n:
-        return np.arange(n)
     s = code % (len(SHANTEN) + 1)
     kind = code // (len(SHANTEN) + 1) % (len(KINDS) + 1)
     phase = code // ((len(SHANTEN) + 1) * (len(KINDS) + 1))
@@ -127,6 +155,8 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
     steps = np.where((s[:, None] == len(SHANTEN)) != (s[None, :] == len(SHANTEN)), 1.0, np.where(steps > 0, 0.5 + 0.5 * steps, 0.0))
     d = (W_PHASE * (phase[:, None] != phase[None, :]) + W_KIND * (kind[:, None] != kind[None, :]) + W_SHANTEN * steps + W_OBS * (1 - x @ x.T) / 2).astype(np.float32)
     np.fill_diagonal(d, 0)
+    if size >= n:
+        return np.arange(n), float(d.sum() / 2), float(d.sum() / 2)
     _, first = np.unique(code, return_index=True)
     chosen = list(first)
     if len(chosen) > size:  # more combinations than places: farthest first
@@ -146,7 +176,8 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
         inside[i] = True
         total += d[:, i]
     covers = len(first) <= size
-    for _ in range(most_swaps or 4 * n):
+    begun = float(total[inside].sum(dtype=np.float64) / 2)
+    while True:  # every swap adds distance, so this ends
         ins, outs = np.flatnonzero(~inside), np.flatnonzero(inside)
         count = np.bincount(code[outs], minlength=int(code.max()) + 1)
         gain = total[ins][:, None] - total[outs][None, :] - d[np.ix_(ins, outs)]
@@ -161,7 +192,11 @@ def swap_search(code: np.ndarray, x: np.ndarray, size: int, most_swaps: int | No
             break
         inside[ins[i]], inside[outs[o]] = True, False
         total += d[:, ins[i]] - d[:, outs[o]]
-    return np.flatnonzero(inside)
+    rows = np.flatnonzero(inside)
+    return rows, begun, float(d[np.ix_(rows, rows)].sum(dtype=np.float64) / 2)
+
+
+_CHOSEN = "obs_id bigint, log_id string, row_idx int, phase string, action_kind string, shanten int, begun double, total double"
 
 
 def _choose(size: int):
@@ -170,13 +205,13 @@ def _choose(size: int):
         if not parts:
             return
         all_ = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        code, ids, counts = _code(all_), all_.column("obs_id").to_numpy(), all_.column("rows").to_numpy()
+        code, ids = _code(all_), all_.column("obs_id").to_numpy()
         order = np.lexsort((ids, code))
+        order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
         all_, code = all_.take(pa.array(order)), code[order]
-        totals = np.bincount(code, weights=counts[order])
-        rows = swap_search(code, _unit(all_), size)
+        rows, begun, total = search(code, _unit(all_), size)
         out = all_.take(pa.array(rows)).select(["obs_id", "log_id", "row_idx", "phase", "action_kind", "shanten"])
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(totals[code[rows]].astype(np.int64))], names=[*out.schema.names, "rows_alike"])
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(rows), begun)), pa.array(np.full(len(rows), total))], names=[*out.schema.names, "begun", "total"])
 
     return run
 
@@ -200,17 +235,35 @@ def varied(decisions: DataFrame, size: int = 600, keep: int = KEEP) -> DataFrame
     The last task holds the distances among at most ``size`` rows and one per
     combination, or ``keep`` per combination if that is more.
     """
-    counted = combinations(decisions.withColumn("obs", F.lit(None).cast("array<float>")))
+    counted = cut(combinations(decisions))
+    alike = F.broadcast(counted.withColumnRenamed("n", "rows_alike"))  # as many rows as there are combinations
+    same = ["phase", "action_kind"]
+    chosen = _chosen(decisions, counted, size, keep).drop("begun", "total").withColumnRenamed("shanten", "s")
+    return chosen.join(alike, [*[chosen[c] == alike[c] for c in same], chosen["s"].eqNullSafe(alike["shanten"])]).select("obs_id", "log_id", "row_idx", *[chosen[c] for c in same], F.col("s").alias("shanten"), "rows_alike")
+
+
+def _chosen(decisions: DataFrame, counted: DataFrame, size: int, keep: int) -> DataFrame:
     keep = level([r.n for r in counted.collect()], size, keep)
-    rows = canonical(decisions).withColumn("rows", F.lit(1).cast("bigint"))
-    schema = rows.schema
-    core = rows.mapInArrow(_reduce(keep), schema)
+    rows = canonical(decisions)
+    core = rows.mapInArrow(_reduce(keep), rows.schema)
     # folding by combination spreads the second level; its result has at most combinations x keep rows
     width = partitions_for(decisions.sparkSession)
-    core = core.repartition(width, "phase", "action_kind", "shanten").mapInArrow(_reduce(keep), schema)
-    return core.repartition(1).mapInArrow(_choose(size), "obs_id bigint, log_id string, row_idx int, phase string, action_kind string, shanten int, rows_alike bigint")
+    core = core.repartition(width, "phase", "action_kind", "shanten").mapInArrow(_reduce(keep), rows.schema)
+    return core.repartition(1).mapInArrow(_choose(size), _CHOSEN)
+
+
+def checked(decisions: DataFrame, size: int = 600, keep: int = KEEP) -> DataFrame:
+    """One row on the chosen subset: ``rows, combinations, repeated, gained``.
+
+    ``gained``: the local search ended at no less total distance than its greedy start.
+    """
+    chosen = _chosen(decisions, cut(combinations(decisions)), size, keep)
+    return chosen.agg(F.count("*").alias("rows"), F.count_distinct("phase", "action_kind", F.coalesce("shanten", F.lit(99))).alias("combinations"), (F.count("*") - F.count_distinct("obs_id")).alias("repeated"), F.coalesce(F.min("total") >= F.max("begun") - 1e-3, F.lit(True)).alias("gained"))
 
 
 def combinations(decisions: DataFrame) -> DataFrame:
-    """``phase, action_kind, shanten, n``: the combinations there are."""
-    return canonical(decisions).groupBy("phase", "action_kind", "shanten").agg(F.count("*").alias("n"))
+    """``phase, action_kind, shanten, n``: the combinations there are, each decision by its latest delivery."""
+    body = F.struct(*_fields()).alias("body")
+    kept = decisions.where(F.col("obs_id").isNotNull()).select(F.col("obs_id").cast("bigint").alias("obs_id"), F.struct("loaded_at", _hash().alias("h")).alias("at"), body)
+    newest = kept.groupBy("obs_id").agg(F.max(F.struct("at", "body")).alias("m"))
+    return newest.groupBy("m.body.phase", "m.body.action_kind", "m.body.shanten").agg(F.count("*").alias("n"))

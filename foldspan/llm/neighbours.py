@@ -567,7 +567,8 @@ def _stale(vectors: DataFrame, id_col: str, vec_col: str, at_col: str) -> DataFr
     light = vectors.select(F.col(id_col).alias("id"), F.col(at_col).alias("at"), F.xxhash64(F.transform(F.col(vec_col), lambda x: x + F.lit(0.0).cast("float"))).alias("h"))
     many = light.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max_by("h", F.struct("at", "h")).alias("keep")).where("lo <> hi").select("id", "keep")
     many = cut(many)
-    return None if many.isEmpty() else many
+    n = many.count()
+    return None if not n else F.broadcast(many) if n <= FEW else many
 
 
 def found_edges(vectors: DataFrame, k: int = 5, floor: float | None = None, recall: float = 0.98, every: int = 1, id_col: str = "obs_id", vec_col: str = "obs", at_col: str = "loaded_at") -> DataFrame:
