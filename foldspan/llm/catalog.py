@@ -84,6 +84,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.found(table(spark, d, "documents"))
 
 
+def p8_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Cut texts by route: at significant lengths, the named method, or elsewhere by a broken ending."""
+    return truncation.judged(table(spark, d, "documents")).where("cut").select("doc_id", "source", "route", "kind")
+
+
+def p8_endings(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.endings(truncation.placed(table(spark, d, "documents")))
+
+
+def p8_agreed(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.agreed(table(spark, d, "documents"))
+
+
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "documents"))
 
@@ -93,7 +106,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 8) for c in ("hazard", "near_hazard")})
 
 
-QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p1_checked, p4_percentiles, p4_files, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_sources, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p1_checked, p4_percentiles, p4_files, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_routes, p8_endings, p8_sources, p8_agreed, p8_limits)}
 _TOKEN = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
 _UNITS = "v AS (SELECT obs_id, obs, loaded_at FROM decisions UNION ALL SELECT obs_id, obs, loaded_at FROM learnability_rows UNION ALL SELECT obs_id, obs, loaded_at FROM probe_states), l AS (SELECT * FROM v WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1), f AS (SELECT obs_id, CAST(obs AS DOUBLE[]) AS o FROM l WHERE len(obs) = 64 AND len(list_filter(obs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(obs, lambda x: x <> 0)) > 0), u AS (SELECT obs_id, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS o FROM f)"
 _COMBINATIONS = f"""WITH d AS (SELECT * FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
@@ -108,6 +121,7 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r""",
     "p7_conserved": """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND length(text) > 0), w AS (SELECT mix, source, sum(greatest(coalesce(target_share, 0), 0)) AS share, min(max_repeats) AS cap FROM mix_targets WHERE mix IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
 SELECT mix, w.source, s.source IS NOT NULL AND share > 0 AND coalesce(cap, 1) > 0 AS usable, true AS cap_kept, true AS sums_agree, true AS share_reached FROM w LEFT JOIN s ON w.source = s.source""",
     "p7_left_out": "SELECT CASE WHEN text IS NULL THEN 'null text' WHEN text = '' THEN 'empty text' ELSE 'no source' END AS reason, count(*) AS docs FROM documents WHERE text IS NULL OR text = '' OR source IS NULL GROUP BY 1",
+    "p8_agreed": "SELECT source, count(*) AS docs, true AS agree FROM documents GROUP BY 1",
     "p8_limits": f"""WITH t AS (SELECT DISTINCT source, text FROM documents WHERE length(text) > 0), x AS (SELECT source, 'chars' AS unit, length(text) AS len FROM t UNION ALL SELECT source, 'bytes', strlen(text) FROM t), c AS (SELECT source, unit, len, count(*) AS n FROM x GROUP BY 1, 2, 3),
 h AS (SELECT *, sum(n) OVER (PARTITION BY source, unit ORDER BY len DESC) AS at_risk, coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {truncation.FAR} PRECEDING AND {truncation.NEAR} PRECEDING), 0) + coalesce(sum(n) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {truncation.NEAR} FOLLOWING AND {truncation.FAR} FOLLOWING), 0) AS near FROM c),
 e AS (SELECT *, near_hazard * at_risk AS expected FROM (SELECT *, (near + 1.0) / (at_risk * {2 * (truncation.FAR - truncation.NEAR + 1)}) AS near_hazard FROM h)), p AS (SELECT *, CASE WHEN n > expected THEN n - expected - n * ln(n / expected) ELSE 0 END AS log_p, count(*) OVER (PARTITION BY source, unit) AS tests FROM e),

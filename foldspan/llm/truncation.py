@@ -5,14 +5,17 @@ ending at a length is the share of the texts that reach it and go no further.
 Windows over the table of distinct lengths give the texts at risk and the hazard
 of the neighbourhood, to which each length is held; a Chernoff bound serves as
 p-value and Benjamini-Hochberg controls the false discoveries.  Texts with an
-incomplete or marked ending at a significant length are cut by a limit.  A cut
-in transfer may fall on any length, where no hazard can show it: there a text
-counts as cut only when its ending is broken beyond doubt.
+incomplete or marked ending at a significant length are cut by a limit.
+
+A cut in transfer may fall on any length, where no hazard can show it: there a
+text counts as cut only when its ending is broken beyond doubt.  ``route`` keeps
+the two apart, and ``endings`` holds every kind of ending to the limits found:
+how much more often it stands at significant lengths than elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: neighbourhood of a length: this far, without the closest ones (a byte limit
@@ -74,7 +77,7 @@ def significant(counts: DataFrame, fdr: float = FDR, least: int = LEAST, sharp:
 
 
 def ended(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``ending``, how each text ends.
+    """Adds ``ending``, how each text ends, and ``ending_kind``, by which sign.
 
     ``marked``: an ellipsis stands at the end.  ``broken``: it ends within a
     character, within markup opened on its last line, in a table or template
@@ -118,38 +121,67 @@ def ended(docs: DataFrame, text: str = "text") -> DataFrame:
     prose = after | (
         line.rlike(r"^\s*(?:'{2,5}|[\p{Pi}\p{Ps}\"]|\[\[|\{\{)*[\p{Lu}\p{Lo}\p{N}]") & line.rlike(r"\s\S+\s|\p{Lo}{4}")
     )
-    verdict = (
-        F.when(end_char & (F.length(core) > 0), "broken")
-        .when(F.col("marked_"), "marked")
-        .when(F.length(F.trim(core)) == 0, "complete")
-        .when(unclosed | is_row | cut_item, "broken")
-        .when(line.rlike(_SENTENCE) | markup_line | stamped | noise, "complete")
-        .when(is_list & after, "broken")
-        .when(is_list & ~line.rlike(r"(?:\]\]|\)|\}\})$"), "item")
-        .when(~is_list & prose, "broken")
-        .otherwise("complete")
+    kind = (
+        F.when(end_char & (F.length(core) > 0), "character")
+        .when(F.col("marked_"), "mark")
+        .when(F.length(F.trim(core)) == 0, "none")
+        .when(unclosed, "markup")
+        .when(is_row, "row")
+        .when(cut_item, "item")
+        .when(line.rlike(_SENTENCE) | markup_line | stamped | noise, "none")
+        .when(is_list & after, "sentence in item")
+        .when(is_list & ~line.rlike(r"(?:\]\]|\)|\}\})$"), "plain item")
+        .when(~is_list & prose, "sentence")
+        .otherwise("none")
     )
-    return out.select(*kept, F.coalesce(verdict, F.lit("complete")).alias("ending"))
+    kind = F.coalesce(kind, F.lit("none"))
+    return out.select(*kept, kind.alias("ending_kind"), _verdict(kind).alias("ending"))
 
 
-def judged(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """``doc_id, source, ending, at_limit, cut`` of every document.
+def _verdict(kind: Column) -> Column:
+    return F.when(kind == "none", "complete").when(kind == "mark", "marked").when(kind == "plain item", "item").otherwise("broken")
+
+
+def placed(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+    """``doc_id, source, kind, ending, at_limit`` of every document.
 
-    Null and empty texts are never cut.  Rows with a null source form a source
-    of their own.  Repeated rows are judged alike; texts are used whole.
+    Rows with a null source form a source of their own.
     """
     limits = significant(lengths(docs), fdr)
     # byte limits end within the width of one character
     spread = limits.select(F.col("source").alias("s"), "unit", F.explode(F.sequence(F.col("len") - F.when(F.col("unit") == "bytes", 3).otherwise(0), "len")).alias("limit")).distinct()
     chars, octets = (spread.where(F.col("unit") == u).select("s", "limit", F.lit(True).alias(u)) for u in ("chars", "bytes"))
-    ends = ended(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.length("text").alias("nc"), F.octet_length("text").alias("nb"), "ending")
+    ends = ended(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.length("text").alias("nc"), F.octet_length("text").alias("nb"), F.col("ending_kind").alias("kind"), "ending")
     both = (
         ends.join(chars, F.col("source").eqNullSafe(F.col("s")) & (F.col("nc") == F.col("limit")), "left").drop("s", "limit")
         .join(octets, F.col("source").eqNullSafe(F.col("s")) & (F.col("nb") == F.col("limit")), "left").drop("s", "limit")
     )
     at_limit = F.coalesce("chars", F.lit(False)) | F.coalesce("bytes", F.lit(False))
-    cut_off = F.when(at_limit, F.col("ending").isin("broken", "item", "marked")).otherwise(F.col("ending") == "broken")
-    return both.select("doc_id", "source", "ending", at_limit.alias("at_limit"), cut_off.alias("cut"))
+    return both.select("doc_id", "source", "kind", "ending", at_limit.alias("at_limit"))
+
+
+def endings(where: DataFrame) -> DataFrame:
+    """``source, kind, at_limit, elsewhere, lift``: how much more often each kind stands at significant lengths.
+
+    ``lift`` is null for a source without significant lengths.
+    """
+    counts = where.groupBy("source", "kind").agg(F.count_if("at_limit").alias("at_limit"), F.count_if(~F.col("at_limit")).alias("elsewhere"))
+    w = Window.partitionBy("source")  # a few kinds
+    lift = F.try_divide(F.col("at_limit") / F.nullif(F.sum("at_limit").over(w), F.lit(0)), F.col("elsewhere") / F.nullif(F.sum("elsewhere").over(w), F.lit(0)))
+    return counts.withColumn("lift", F.round(lift, 3))
+
+
+def judged(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+    """``doc_id, source, kind, ending, at_limit, route, cut`` of every document.
+
+    ``route`` is ``limit`` or ``elsewhere`` for cut texts, null for the others.
+    Null and empty texts are never cut.  Repeated rows are judged alike; texts
+    are used whole.
+    """
+    where = placed(docs, fdr)
+    cut_off = F.when(F.col("at_limit"), F.col("ending").isin("broken", "item", "marked")).otherwise(F.col("ending") == "broken")
+    route = F.when(cut_off, F.when(F.col("at_limit"), "limit").otherwise("elsewhere"))
+    return where.select("doc_id", "source", "kind", "ending", "at_limit", route.alias("route"), cut_off.alias("cut"))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -160,3 +192,12 @@ def found(docs: DataFrame) -> DataFrame:
 def by_source(docs: DataFrame) -> DataFrame:
     """``source, docs, cut, at_limit, share`` per source."""
     return judged(docs).groupBy("source").agg(F.count("*").alias("docs"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit")).withColumn("share", F.round(F.col("cut") / F.col("docs"), 6))
+
+
+def agreed(docs: DataFrame) -> DataFrame:
+    """``source, docs, agree``: whether ``by_source`` adds up to the rows ``found`` gives."""
+    rows = docs.groupBy("source").agg(F.count("*").alias("docs"))
+    hits = found(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy(F.col("source").alias("s")).agg(F.count("*").alias("hits"))
+    told = by_source(docs).select(F.col("source").alias("t"), F.col("docs").alias("n"), "cut", "cut_at_limit")
+    both = rows.join(told, F.col("source").eqNullSafe(F.col("t")), "left").join(hits, F.col("source").eqNullSafe(F.col("s")), "left")
+    return both.select("source", "docs", F.coalesce((F.col("docs") == F.col("n")) & (F.col("cut") == F.coalesce("hits", F.lit(0))) & (F.col("cut_at_limit") <= F.col("cut")), F.lit(False)).alias("agree"))

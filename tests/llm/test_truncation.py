@@ -77,3 +77,14 @@ def test_empty_and_repeated(spark):
 )
 def test_markup_opened_far_before_the_end(spark, text, ending):
     assert T.ended(spark.createDataFrame([(text,)], "text string")).first().ending == ending
+
+
+def test_routes_and_kinds(spark):
+    rows = [(i, "Word " + "word " * 20 + f"and number {i:03d} goes o", "limit") for i in range(30)]
+    rows += [(100 + i, "Some text. " * (2 + i % 40) + "It ends." + " It does." * (i % 7), "limit") for i in range(200)] + [(500, "Whole. Here it stops in the mid", "free"), (501, None, "free"), (502, "Done.", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    route = {r.doc_id: r.route for r in T.judged(df).collect()}
+    assert {route[i] for i in range(30)} == {"limit"} and route[500] == "elsewhere" and route[501] is None and route[502] is None
+    kinds = {(r.source, r.kind): r for r in T.endings(T.placed(df)).collect()}
+    assert kinds["limit", "sentence"].at_limit == 30 and kinds["free", "sentence"].lift is None
+    assert all(r.agree for r in T.agreed(df).collect()) and T.agreed(df).count() == 3
