@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldspan.plans import audits, comparing, logs, profiles, records, sequences
+from foldspan.plans import audits, comparing, logs, profiles, records, replays, sequences
 
-_MODULES = (records, profiles, sequences, comparing, logs, audits)
+_MODULES = (records, replays, profiles, sequences, comparing, logs, audits)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
