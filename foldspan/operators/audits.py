@@ -12,6 +12,10 @@ from foldspan.functions import vectors as V
 from foldspan.operators.resample import dense_ids, draw
 
 
+#: places that are digested together
+DIGEST_ROWS = 65_536
+
+
 def stat_report(log: DataFrame, player: str, segment: str, kind: str, value: str, win: str, lose: str, call: str) -> DataFrame:
     """Raw totals per player over segments, then rates and means from the totals."""
     k, v = F.col(kind), F.col(value)
@@ -50,10 +54,17 @@ def relative_l2(df: DataFrame, keys: list[str], before: str, after: str) -> Data
 
 
 def ordered_digest(df: DataFrame, keys: list[str], index: str, content: str) -> DataFrame:
-    """One SHA-256 per group over (16 hex digits of the place, content hash) in order."""
+    """One SHA-256 per group over its places (8 bytes, high byte first) and raw content hashes, in order.
+
+    A group of more than ``DIGEST_ROWS`` places is digested in pieces of that many
+    places, and its digest is that of the pieces' digests, so no row holds a
+    group.  ``content`` is a hash as hex text.
+    """
     part = F.struct(F.col(index).alias("i"), F.col(content).alias("h"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: F.concat(F.lpad(F.hex(x["i"]), 16, "0"), x["h"])), "")
-    return df.groupBy(*keys).agg(F.sha2(text, 256).alias("digest"))
+    ordered = lambda each: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(part)), each), ""))
+    pieces = df.groupBy(*keys, F.expr(f"`{index}` div {DIGEST_ROWS}").alias("piece_")).agg(F.sha2(ordered(lambda x: F.concat(F.lpad(F.hex(x["i"]), 16, "0"), x["h"])), 256).alias("h_"))
+    all_ = F.transform(F.sort_array(F.collect_list(F.struct("piece_", "h_"))), lambda x: x["h_"])
+    return pieces.groupBy(*keys).agg(all_.alias("a_")).select(*keys, F.when(F.size("a_") == 1, F.get("a_", F.lit(0))).otherwise(F.sha2(F.unhex(F.array_join("a_", "")), 256)).alias("digest"))
 
 
 def first_mismatch(a: DataFrame, b: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:

@@ -135,11 +135,16 @@ def progress(counts: pd.Series) -> pd.DataFrame:
     if waiting.any():
         d[waiting], kinds, live[waiting] = improving(hands[waiting])
         k[waiting] = kinds.sum(1)
-    for i in np.flatnonzero(~waiting & (d >= 0)):
-        _, tiles, draws = best_discards(hands[i])
-        after = hands[i].copy()
-        after[tiles[draws.argmax()]] -= 1
-        k[i], live[i] = improving(after[None], hands[i][None])[1].sum(), draws.max()
+    open_ = np.flatnonzero(~waiting & (d >= 0))
+    if len(open_):  # every discard of every such hand is judged in one call
+        own, tile = np.nonzero(hands[open_])
+        after = hands[open_][own]
+        after[np.arange(len(own)), tile] -= 1
+        far, kinds, draws = improving(after, hands[open_][own])
+        least = np.minimum.reduceat(far, np.searchsorted(own, np.arange(len(open_))))
+        draws = np.where(far == least[own], draws, 0)
+        best = np.lexsort((tile, -draws, own))[np.searchsorted(own, np.arange(len(open_)))]
+        k[open_], live[open_] = kinds[best].sum(1), draws[best]
     for name, v in (("distance", d), ("kinds", k), ("live", live)):
         out.loc[rows, name] = v[back.ravel()]
     return out
@@ -163,8 +168,9 @@ def _deltas(counts: pd.Series, step: int) -> pd.Series:
         moved[np.arange(len(owner)), tile] += step
         after = distance(moved) if len(owner) else base[:0]
         live = 4 - hands[owner, tile]
+        edges = np.searchsorted(owner, np.arange(len(rows) + 1))  # owners stand in order
         for k, i in enumerate(rows):
-            mine = owner == k
+            mine = slice(edges[k], edges[k + 1])
             out[i] = [{"tile": int(t), "distance": int(d), "delta": int(d - base[k]), "live": int(n)} for t, d, n in zip(tile[mine], after[mine], live[mine])]
     return pd.Series(out)
 
@@ -199,11 +205,17 @@ def expected_rank(probs):
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def others_ready(hands: pd.Series, seat: pd.Series) -> pd.Series:
     """1 for each of the three other seats, in turn order, whose hand is one tile away or complete."""
-    out = []
-    for four, own in zip(hands, seat):
+    out, flat, where = [None] * len(hands), [], []
+    for i, (four, own) in enumerate(zip(hands, seat)):
         if four is None or own is None or len(four) != 4:
-            out.append(None)
             continue
-        order = [four[(int(own) + k) % 4] for k in (1, 2, 3)]
-        out.append([None if not _valid(h) else float(distance(np.array(list(h)))[0] <= 0) for h in order])
+        out[i] = [None] * 3
+        for k in (1, 2, 3):
+            h = four[(int(own) + k) % 4]
+            if _valid(h):
+                flat.append(h)
+                where.append((i, k - 1))
+    if flat:  # one call for all hands of the batch
+        for (i, k), far in zip(where, distance(np.array([list(h) for h in flat]))):
+            out[i][k] = float(far <= 0)
     return pd.Series(out)

@@ -1,19 +1,22 @@
 """Exact nearest rows of a stated query set, and what neighbours tell.
 
-Queries are taken in blocks of bounded size; a block travels to every partition
-of the references, which keep their own k best, so only candidates are shuffled.
+Queries are taken in blocks of bounded size, which travel as rows to every part of
+the references; a part keeps its own k best of each query, so only candidates
+are shuffled, and the plan is the same for any number of queries.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4_096
+from foldspan.operators.windows import running_sums
+from foldspan.runtime import partitions_for
+
+#: queries of a block and references of a part
+BLOCK, PART = 256, 20_000
 
 
 def nearest(queries: DataFrame, references: DataFrame, ident: str, vec: str, cluster: str, k: int, dim: int) -> DataFrame:
@@ -22,38 +25,35 @@ def nearest(queries: DataFrame, references: DataFrame, ident: str, vec: str, clu
     References of the query's own cluster are left out; ties go to the smaller
     id.  Vectors are taken as they are, so they should have unit length.
     """
-    spark = queries.sparkSession
     good = lambda df: df.where((F.size(vec) == dim) & F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(cluster).cast("bigint").alias("c"), F.col(vec).cast("array<double>").alias("v"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    schema, found = "q bigint, r bigint, dist double", []
-    for block in range(blocks):
-        part = good(queries).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        if not part.num_rows:
-            continue
-        q = (part["id"].to_numpy(), part["c"].to_numpy(zero_copy_only=False), np.array(part["v"].to_pylist(), float))
-        held = spark.sparkContext.broadcast(q)
-
-        def run(batches, held=held):
-            ids, own, x = held.value
-            best: tuple | None = None
-            for b in batches:
-                r, c, y = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    asked, held = good(queries), good(references)
+    blocks, parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-held.count() // PART))
+    # blocks are gathered by place in the shuffle, a few hundred queries each
+    asks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "c", "v")).alias("asks"))
+    asks = asks.select("asks", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    spread = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": np.empty(0, np.int64), "r": np.empty(0, np.int64), "dist": np.empty(0)})]
+        if len(left) and len(right):
+            r, c, y = left["id"].to_numpy(), left["c"].to_numpy(), np.stack(left["v"].to_numpy())
+            for asks in right["asks"]:
+                ids, own, x = np.array([a["id"] for a in asks]), np.array([-1 if a["c"] is None else a["c"] for a in asks]), np.array([a["v"] for a in asks], float)
                 d = np.round(1 - x @ y.T, 9)
                 d[own[:, None] == c[None, :]] = np.inf
-                names = np.broadcast_to(r, d.shape)
-                if best is not None:
-                    d, names = np.hstack([best[0], d]), np.hstack([best[1], names])
-                order = np.lexsort((names, d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
-            if best is not None:
-                ok = np.isfinite(best[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(best[1][ok]), pa.array(best[0][ok])], names=["q", "r", "dist"])
-
-        found.append(good(references).mapInArrow(run, schema))
-    if not found:
-        return spark.createDataFrame([], schema + ", place int")
+                m = min(k, d.shape[1])
+                last = np.partition(d, m - 1, axis=1)[:, m - 1 : m]  # ties at the last place are settled below, by id
+                q, n = np.nonzero((d <= last) & np.isfinite(d))
+                order = np.lexsort((r[n], d[q, n], q))
+                q, n = q[order], n[order]
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+                out.append(pd.DataFrame({"q": ids[q[keep]], "r": r[n[keep]], "dist": d[q[keep], n[keep]]}))
+        return pd.concat(out)
+
+    found = spread.groupBy("part").cogroup(asks.groupBy("part")).applyInPandas(meet, "q bigint, r bigint, dist double")
     w = Window.partitionBy("q").orderBy("dist", "r")
-    return reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def mean_distance(neighbours: DataFrame) -> DataFrame:
@@ -65,8 +65,9 @@ def mid_rank(values: DataFrame, reference: DataFrame, value: str) -> DataFrame:
     n = reference.agg(F.count(value).alias("n_"))
     both = values.select("q", value, F.lit(0).alias("w")).unionByName(reference.select(F.lit(None).cast("bigint").alias("q"), value, F.lit(1).alias("w")))
     per = both.groupBy(value).agg(F.sum("w").alias("w"))
-    by = Window.orderBy(value)
-    upto = per.withColumn("le", F.sum("w").over(by)).withColumn("lt", F.col("le") - F.col("w")).select(value, "le", "lt")
+    # values are nearly all distinct, so their running count goes through ranges, not one window
+    spread = running_sums(per.withColumn("all_", F.lit(0)).withColumn("le", F.col("w")), "all_", [value], {"le": F.col("w")}, partitions_for(values.sparkSession))
+    upto = spread.withColumn("lt", F.col("le") - F.col("w")).select(value, "le", "lt")
     return values.join(upto, value).join(F.broadcast(n)).select("q", value, ((F.col("le") + F.col("lt")) / (2 * F.col("n_"))).alias("pct"))
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK = 4_096
+
 
 def draw(n: Column, *parts: Column | str) -> Column:
     """A whole number in [0, n) from the first 32 bits of a SHA-256."""
@@ -25,11 +27,11 @@ def multiplicities(clusters: DataFrame, reps: int, name: str) -> DataFrame:
     """``rep, place, times``: how often each of n clusters is drawn per replicate.
 
     ``clusters`` has one row with ``n``; places run from 0 to n - 1.  Draws are
-    made in parallel over replicates and slots.
+    the numbers of one range over replicates and slots, so no row holds a replicate.
     """
-    slots = clusters.sparkSession.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(clusters.select(F.col("n").cast("bigint").alias("n"))))
-    slots = slots.select("rep", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
-    return slots.select("rep", draw(F.col("n"), name, F.col("rep"), F.col("slot")).alias("place")).groupBy("rep", "place").agg(F.count("*").alias("times"))
+    n = int(clusters.first()["n"] or 0)
+    slots = clusters.sparkSession.range(reps * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), F.pmod("id", F.lit(max(n, 1))).alias("slot"))
+    return slots.select("rep", draw(F.lit(n).cast("bigint"), name, F.col("rep"), F.col("slot")).alias("place")).groupBy("rep", "place").agg(F.count("*").alias("times"))
 
 
 def index_quantile(values: DataFrame, keys: list[str], value: str, p: float) -> Column:
@@ -163,6 +165,8 @@ def hierarchical_means(units: DataFrame, stratum: str, order: str, value: str, r
     count = numbered.agg(F.count("*").alias("m"))
     outer = units.sparkSession.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(count)).select("rep", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("slot"))
     outer = outer.select("rep", "slot", draw(F.col("m"), name, "outer", F.col("rep"), F.col("slot")).alias("k")).join(F.broadcast(numbered), "k")
-    inner = outer.select("rep", "slot", "s", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i")).select("rep", "slot", "s", draw(F.col("n"), name, "inner", F.col("rep"), F.col("slot"), F.col("i")).alias("place"))
+    # slots are made in blocks, so that no row holds all of a stratum
+    blocks = outer.select("rep", "slot", "s", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {BLOCK}"))).alias("b"))
+    inner = blocks.select("rep", "slot", "s", "n", F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)).alias("i")).select("rep", "slot", "s", draw(F.col("n"), name, "inner", F.col("rep"), F.col("slot"), F.col("i")).alias("place"))
     per = inner.join(placed, ["s", "place"]).groupBy("rep", "slot").agg(F.avg("v").alias("v"))
     return per.groupBy("rep").agg(F.avg("v").alias("mean"))

@@ -56,7 +56,7 @@ def parameter_drift(spark, d):
     return _rounded(U.relative_l2(e.withColumn("q", F.transform("p", lambda x: x * 1.1 + 0.001)), ["label"], "p", "q"))
 
 
-@query("WITH h AS (SELECT l_orderkey, list(lpad(hex(i), 16, '0') || h ORDER BY i) AS l FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, sha256(l_partkey || '|' || l_suppkey) AS h FROM lineitem) GROUP BY 1) SELECT l_orderkey, sha256(array_to_string(l, '')) AS digest FROM h".replace("lpad(hex(i), 16, '0')", "printf('%016X', i)"))
+@query("WITH h AS (SELECT l_orderkey, list(lpad(hex(i), 16, '0') || h ORDER BY i) AS l FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, sha256(l_partkey || '|' || l_suppkey) AS h FROM lineitem) GROUP BY 1) SELECT l_orderkey, sha256(unhex(array_to_string(l, ''))) AS digest FROM h".replace("lpad(hex(i), 16, '0')", "printf('%016X', i)"))
 def ordered_digest(spark, d):
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
     rows = table(spark, d, "lineitem").select("l_orderkey", i.cast("bigint").alias("i"), F.sha2(F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), 256).alias("h"))

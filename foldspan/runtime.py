@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def session(cores: str | int = "*", app: str = "foldspan") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOLDSPAN_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -29,17 +32,21 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if jsc.getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not spark.sparkContext.master.startswith("local["):
-        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"  # shared, unlike a temporary folder
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="foldspan-ckpt-"))
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="foldspan-ckpt-")
+        atexit.register(shutil.rmtree, configured, True)
+    spark.sparkContext.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 
-    The copy is written to the folder named in ``spark.checkpoint.dir`` (a
-    temporary one is made only where that setting is absent and the master is
-    local), so a lost executor never loses the rows.
+    The copy is written to the folder named in ``spark.checkpoint.dir``, so a lost
+    executor never loses the rows.  Without that setting a cluster is refused; a
+    local session gets a temporary folder that goes with it.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes copies no longer used.
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
