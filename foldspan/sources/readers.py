@@ -35,11 +35,74 @@ def events(spark: SparkSession, paths: str | list[str], glob: str | None = None)
     return good, parsed.where("e.type is null").select("log_id", "event_index", "line")
 
 
-def strict_logs(events_: DataFrame) -> DataFrame:
-    """``log_id, ok, reason`` per log: one start, segments, four different names, one seed."""
+def files_of(spark: SparkSession, globs: list[str]) -> DataFrame:
+    """``path, bytes`` of all files any pattern matches, each once; none at all raises."""
+    found = spark.read.format("binaryFile").load(globs).select("path", F.col("length").alias("bytes")).distinct()
+    if found.isEmpty():
+        raise FileNotFoundError(f"no file matches {globs}")
+    return found
+
+
+def indexed(index: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """Files of an index, in the spelling of ``files``; a listed file that is not there raises when read."""
+    norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/+", "/"), "/+", "/")
+    there = files.select(norm(F.col("path")).alias("k_"), F.col("path").alias("found_"), "bytes")
+    both = index.select(norm(F.col(path)).alias("k_")).distinct().join(there, "k_", "left")
+    return both.select(F.coalesce("found_", F.raise_error(F.concat(F.lit("listed file is missing: "), "k_"))).alias("path"), "bytes")
+
+
+def context_events(lines: DataFrame, schema: str, context: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(events, errors)`` of numbered JSON lines ``log_id, event_index, line``.
+
+    Events are range-sorted by their context key; errors name file and line, from 1.
+    A line is an error if it is no JSON object of the schema or lacks part of the key.
+    """
+    parsed = lines.withColumn("e", F.from_json("line", schema))
+    whole = F.col("e").isNotNull()
+    for c in context:
+        whole = whole & F.col(f"e.{c}").isNotNull()
+    good = parsed.where(whole).select("log_id", (F.col("event_index") + 1).alias("line_no"), "e.*")
+    bad = parsed.where(~F.coalesce(whole, F.lit(False))).select("log_id", (F.col("event_index") + 1).alias("line_no"), "line")
+    return good.repartitionByRange(*context).sortWithinPartitions(*context), bad
+
+
+def perspectives(logs: DataFrame, names: DataFrame | None = None, label: str | None = None) -> DataFrame:
+    """Logs ``log_id, ...`` with the participant each is seen by: one ``label`` for all, or ``names`` per file.
+
+    ``names`` has ``log_id, label``; a log without a name raises when read.
+    """
+    if label is not None:
+        return logs.withColumn("label", F.lit(label))
+    named = logs.join(names.select("log_id", F.col("label").alias("l_")), "log_id", "left")
+    return named.withColumn("label", F.coalesce("l_", F.raise_error(F.concat(F.lit("no perspective for "), "log_id")))).drop("l_")
+
+
+def cache(spark: SparkSession, path: str, optional: dict[str, str] | None = None, workers: int = 1, worker: int = 0, fail_fast: bool = True) -> DataFrame:
+    """Rows of a Parquet cache that one of ``workers`` takes, by file.
+
+    Optional columns an older cache lacks come out null; without ``fail_fast``
+    unreadable files are passed over.
+    """
+    df = spark.read.option("ignoreCorruptFiles", not fail_fast).option("mergeSchema", True).parquet(path)
+    if workers > 1:
+        df = df.where(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(workers)) == worker)
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in (optional or {}).items() if c not in df.columns})
+
+
+def strict_logs(events_: DataFrame, labels: list[str] | None = None, raises: bool = False) -> DataFrame:
+    """``log_id, ok, reason`` per log: one start, segments, four different names, one seed.
+
+    The seed must be that in the file's name where it has one (``..._SEED_KEY.ext``),
+    and with ``labels`` names must begin with one of them.  ``raises`` turns the
+    first violation read into an error.
+    """
     start = F.col("type") == "start_game"
-    g = events_.groupBy("log_id").agg(F.count_if(start).alias("starts"), F.count_if(F.col("type") == "start_kyoku").alias("segments"), F.max(F.when(start, F.size(F.array_distinct("names")))).alias("names"), F.max(F.when(start, F.size("seed"))).alias("seed"))
-    reason = F.when(F.col("starts") != 1, "start_game").when(F.col("segments") < 1, "start_kyoku").when(F.coalesce("names", F.lit(0)) != 4, "names").when(F.coalesce("seed", F.lit(0)) != 2, "seed")
+    g = events_.groupBy("log_id").agg(F.count_if(start).alias("starts"), F.count_if(F.col("type") == "start_kyoku").alias("segments"), F.max(F.when(start, F.size(F.array_distinct("names")))).alias("names"), F.max(F.when(start, F.size("seed"))).alias("seed"), F.max(F.when(start, F.array_join(F.transform("seed", lambda x: x.cast("string")), "_"))).alias("text_"), F.max(F.when(start, F.transform("names", lambda x: F.regexp_extract(x, "^[^_]+", 0)))).alias("labels_"))
+    told = F.regexp_extract("log_id", r"(\d+_\d+)(?:\.[a-z.]+)?$", 1)
+    strange = F.size(F.array_except("labels_", F.array(*map(F.lit, labels)))) > 0 if labels else F.lit(False)
+    reason = F.when(F.col("starts") != 1, "start_game").when(F.col("segments") < 1, "start_kyoku").when(F.coalesce("names", F.lit(0)) != 4, "names").when(F.coalesce("seed", F.lit(0)) != 2, "seed").when((told != "") & (told != F.col("text_")), "file name").when(strange, "labels")
+    if raises:
+        reason = F.when(reason.isNotNull(), F.raise_error(F.concat("log_id", F.lit(": "), reason)))
     return g.select("log_id", reason.isNull().alias("ok"), reason.alias("reason"))
 
 

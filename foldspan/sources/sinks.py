@@ -31,11 +31,30 @@ def read_versioned(spark: SparkSession, path: str, name: str, version: int) -> D
     return df
 
 
-def write_missing(df: DataFrame, out: str, key: str) -> int:
-    """Appends rows whose key is not there yet; the number of keys written."""
+def drop_unreadable(spark: SparkSession, out: str) -> int:
+    """Removes Parquet files below ``out`` that cannot be read; how many there were."""
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(out).select("path")
+    bad = there.where(F.col("path").isNotNull())
+    good = spark.read.option("ignoreCorruptFiles", True).parquet(out).select(F.col("_metadata.file_path").alias("p")).distinct()
+    norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    paths = [r.path for r in bad.join(good, norm(F.col("path")) == norm(F.col("p")), "left_anti").collect()]  # torn files, a few after a lost run
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    return len(paths)
+
+
+def write_missing(df: DataFrame, out: str, key: str, rebuild: bool = False) -> int:
+    """Appends rows whose key is not there yet; the number of keys written.
+
+    With ``rebuild`` files that cannot be read are removed first, so that their
+    rows are written again.
+    """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if rebuild:
+            drop_unreadable(spark, out)
         df = df.join(spark.read.parquet(out).select(key).distinct(), key, "left_anti")
     n = df.select(key).distinct().count()
     if n:
