@@ -159,3 +159,65 @@ def sub_multiset(part, whole) -> Column:
     """Whether every tile of ``part`` is in ``whole`` at least as often."""
     many = lambda a, t: F.size(F.filter(a, lambda x: x == t))
     return F.forall(_c(part), lambda t: many(_c(part), t) <= many(_c(whole), t))
+
+
+def scene_tile(tile) -> Column:
+    """Label of a tile in the model space: red fives stand apart, at 34 to 36."""
+    t = _c(tile)
+    red = F.element_at(F.create_map(*[F.lit(x) for kv in zip(RED, range(34, 37)) for x in kv]), t)
+    return F.coalesce(red, tile34(t))
+
+
+def scene_chi(pai, consumed) -> Column:
+    """38, 39 or 40 by the distances of the used tiles from the called one; null if they form no run."""
+    base, suit = F.substring(plain_tile(pai), 1, 1).cast("int"), F.substring(plain_tile(pai), 2, 1)
+    same = F.filter(F.transform(_c(consumed), plain_tile), lambda t: F.substring(t, 2, 1) == suit)
+    far = F.array_sort(F.transform(same, lambda t: F.substring(t, 1, 1).cast("int") - base))
+    is_ = lambda a, b: (F.size(far) == 2) & (far[0] == a) & (far[1] == b)
+    return F.when(base.isNotNull(), F.when(is_(1, 2), 38).when(is_(-1, 1), 39).when(is_(-2, -1), 40))
+
+
+def spec(event) -> Column:
+    """The fields of an event that make up an action: kind, tile, used tiles, target, draw flag."""
+    e = _c(event)
+    pai = F.coalesce(e["pai"], F.get(e["consumed"], F.lit(0)))
+    return F.struct(e["type"].alias("kind"), pai.alias("pai"), F.transform(F.coalesce(e["consumed"], F.array().cast("array<string>")), keep_red).alias("consumed"), e["target"].alias("target"))
+
+
+def permute_suits(values, order) -> Column:
+    """A vector over tiles (and what follows them) with its three suits in another order."""
+    v = _c(values)
+    parts = [F.slice(v, 9 * i + 1, 9) for i in order]
+    return F.concat(*parts, F.slice(v, 28, F.greatest(F.size(v) - 27, F.lit(0))))
+
+
+def permute_action(action, order) -> Column:
+    """The action that a discard becomes when suits change places; others stay."""
+    a = _c(action)
+    place = F.element_at(F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)]), (a / 9).cast("int"))
+    return F.when(a < 27, place * 9 + F.pmod(a, F.lit(9))).otherwise(a)
+
+
+def role(label, roles: list[str], whole: list[str] | None = None) -> Column:
+    """The role a label begins with (``M0_x`` is ``M0``); labels in ``whole`` stand for themselves, others raise."""
+    x, out = _c(label), F.when(_c(label).isin(*(whole or [""])), _c(label))
+    for r in roles:
+        out = out.when(x.startswith(f"{r}_"), r)
+    return out.when(x.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), x)))
+
+
+def family(label, aliases: dict[str, str]) -> Column:
+    """A label by its family name, or itself."""
+    x = _c(label)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in aliases.items() for y in kv]), x), x)
+
+
+def strict_label(action, mask) -> Column:
+    """The action, if the mask allows it; one that is not allowed raises when read."""
+    a = _c(action)
+    return F.when(a.isNull() | F.coalesce(F.get(_c(mask), a), F.lit(False)), a).otherwise(F.raise_error(F.concat(F.lit("action is not legal: "), a.cast("string"))))
+
+
+def terminal_action(legal, forced: list[str]) -> Column:
+    """The first legal action ``struct<type, ...>`` whose type, in any case, is one of ``forced``."""
+    return F.get(F.filter(_c(legal), lambda a: F.lower(a["type"]).isin(*[f.lower() for f in forced])), F.lit(0))

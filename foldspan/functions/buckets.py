@@ -61,7 +61,8 @@ def histogram_bin(value, edges: list[float]) -> Column:
 
 
 def clip(value, lo: float = -1.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(value)))
+    v = _c(value)  # least and greatest pass over nulls
+    return F.when(v.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
 
 
 def finite(value) -> Column:

@@ -57,3 +57,16 @@ def state_hash(obs: pd.Series, mask: pd.Series) -> pd.Series:
         return hashlib.blake2b(np.asarray(o, np.float32).tobytes() + np.asarray(m, np.bool_).tobytes(), digest_size=16).hexdigest()
 
     return pd.Series([one(o, m) for o, m in zip(obs, mask)])
+
+
+@F.pandas_udf(T.StringType())
+def decision_hash(obs: pd.Series, mask: pd.Series, action: pd.Series) -> pd.Series:
+    """``state_hash`` with the action behind it, as two bytes, low byte first."""
+    import numpy as np
+
+    def one(o, m, a):
+        if o is None or m is None or a is None or a != a:
+            return None
+        return hashlib.blake2b(np.asarray(o, np.float32).tobytes() + np.asarray(m, np.bool_).tobytes() + int(a).to_bytes(2, "little"), digest_size=16).hexdigest()
+
+    return pd.Series([one(o, m, a) for o, m, a in zip(obs, mask, action)])

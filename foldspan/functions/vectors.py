@@ -89,3 +89,10 @@ def centred(g) -> Column:
     m = total(g) / n
     rest = F.transform(_c(g), lambda x: x - m)
     return F.when(n > 0, F.struct((m * F.sqrt(n.cast("double"))).alias("common"), norm(rest).alias("centred_norm")))
+
+
+def adam_alignment(grad, mean, square, eps: float = 1e-8) -> Column:
+    """Cosines of a gradient with Adam's mean and with its step ``mean / (sqrt(square) + eps)``."""
+    step = F.zip_with(_c(mean), _c(square), lambda m, s: m / (F.sqrt(s) + eps))
+    cos = lambda a, b: F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
+    return F.struct(cos(grad, mean).alias("mean"), cos(grad, step).alias("step"))

@@ -187,6 +187,55 @@ def discard_deltas(counts: pd.Series) -> pd.Series:
     return _deltas(counts, -1)
 
 
+_WAITS = T.StructType([T.StructField("distance", T.IntegerType()), T.StructField("waits", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_WAITS)
+def special_waits(counts: pd.Series) -> pd.DataFrame:
+    """``distance, waits`` of seven pairs and thirteen orphans alone: tiles that complete a hand one away.
+
+    Hands of the other forms have no waits; null or misshapen hands give nulls.
+    """
+    rows = [i for i, c in enumerate(counts) if _valid(c)]
+    far, waits = pd.array([None] * len(counts), "Int32"), [None] * len(counts)
+    if rows:
+        hands = np.array([list(counts.iloc[i]) for i in rows])
+        pairs, ends = seven_pairs(hands), orphans(hands)
+        own, tile = np.nonzero(hands < 4)
+        drawn = hands[own]
+        drawn[np.arange(len(own)), tile] += 1
+        hit = ((pairs[own] == 0) & (seven_pairs(drawn) == -1)) | ((ends[own] == 0) & (orphans(drawn) == -1))
+        edges = np.searchsorted(own, np.arange(len(rows) + 1))
+        for k, i in enumerate(rows):
+            part = slice(edges[k], edges[k + 1])
+            far[i], waits[i] = int(min(pairs[k], ends[k])), [int(t) for t in tile[part][hit[part]]]
+    return pd.DataFrame({"distance": far, "waits": waits})
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def good_draws(counts: pd.Series) -> pd.Series:
+    """Of a hand two draws from complete, the draws after which some discard waits on more than four live tiles."""
+    rows = [i for i, c in enumerate(counts) if _valid(c) and sum(c) % 3 == 1]
+    out: list = [None] * len(counts)
+    if rows:
+        hands = np.array([list(counts.iloc[i]) for i in rows])
+        base, kinds, _ = improving(hands)
+        own, tile = np.nonzero(kinds & (base == 1)[:, None])
+        drawn = hands[own]
+        drawn[np.arange(len(own)), tile] += 1
+        d_own, d_tile = np.nonzero(drawn)
+        after = drawn[d_own]
+        after[np.arange(len(d_own)), d_tile] -= 1
+        far, _, live = improving(after, drawn[d_own]) if len(after) else (np.empty(0), None, np.empty(0))
+        good = np.zeros(len(own), bool)
+        np.logical_or.at(good, d_own, (far == 0) & (live > 4))
+        edges = np.searchsorted(own, np.arange(len(rows) + 1))
+        for k, i in enumerate(rows):
+            part = slice(edges[k], edges[k + 1])
+            out[i] = [int(t) for t in tile[part][good[part]]]
+    return pd.Series(out)
+
+
 def tile_ids(counts):
     """Distinct ids 0..135 of a 34-count vector: four per tile, the first ones taken."""
     c = F.col(counts) if isinstance(counts, str) else counts

@@ -92,12 +92,16 @@ def special_form_distance(spark, d):
     return c.select("snapshot_id", (6 - many("counts", lambda n: n >= 2) + F.greatest(F.lit(0), 7 - many("counts", lambda n: n >= 1))).alias("seven_pairs"), (13 - many(ends, lambda n: n >= 1) - F.when(F.exists(ends, lambda n: n >= 2), 1).otherwise(0)).alias("orphans"))
 
 
+def judged(spark, d, kernel, name: str):
+    """``snapshot_id`` and what a kernel says of its hand; equal hands are judged once."""
+    c = _counts(spark, d).select("snapshot_id", F.array_join(F.transform("counts", lambda n: n.cast("string")), "").alias("key"), "counts")
+    once = c.groupBy("key").agg(F.first("counts").alias("counts")).select("key", kernel("counts").alias(name))
+    return c.select("snapshot_id", "key").join(once, "key").drop("key")
+
+
 @query()
 def hand_progress(spark, d):
-    # equal hands are judged once
-    c = _counts(spark, d).select("snapshot_id", F.array_join(F.transform("counts", lambda n: n.cast("string")), "").alias("key"), "counts")
-    judged = c.groupBy("key").agg(F.first("counts").alias("counts")).select("key", kernels.progress("counts").alias("p"))
-    return c.select("snapshot_id", "key").join(judged, "key").select("snapshot_id", "p.distance", "p.kinds", "p.live")
+    return judged(spark, d, kernels.progress, "p").select("snapshot_id", "p.distance", "p.kinds", "p.live")
 
 
 @query()
