@@ -37,6 +37,10 @@ def p4_files(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.by_part_and_all(values, "file")
 
 
+def p4_within(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.within_bounds(quantiles.values(*(table(spark, d, t) for t in ("decisions", "decision_snapshots", "learnability_rows"))))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     decisions, rows, probes = (table(spark, d, t).select("obs_id", "obs", "loaded_at") for t in ("decisions", "learnability_rows", "probe_states"))
     return decisions.unionByName(rows).unionByName(probes)
@@ -106,7 +110,7 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 8) for c in ("hazard", "near_hazard")})
 
 
-QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p1_checked, p4_percentiles, p4_files, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_routes, p8_endings, p8_sources, p8_agreed, p8_limits)}
+QUERIES = {f.__name__: f for f in (p1_varied, p1_combinations, p1_checked, p4_percentiles, p4_files, p4_within, p5_found, p5_nearest, p5_recall, p6_ids, p7_taken, p7_shares, p7_conserved, p7_left_out, p8_found, p8_routes, p8_endings, p8_sources, p8_agreed, p8_limits)}
 _TOKEN = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
 _UNITS = "v AS (SELECT obs_id, obs, loaded_at FROM decisions UNION ALL SELECT obs_id, obs, loaded_at FROM learnability_rows UNION ALL SELECT obs_id, obs, loaded_at FROM probe_states), l AS (SELECT * FROM v WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1), f AS (SELECT obs_id, CAST(obs AS DOUBLE[]) AS o FROM l WHERE len(obs) = 64 AND len(list_filter(obs, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(obs, lambda x: x <> 0)) > 0), u AS (SELECT obs_id, list_transform(o, lambda x: x / sqrt(list_dot_product(o, o))) AS o FROM f)"
 _COMBINATIONS = f"""WITH d AS (SELECT * FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
@@ -117,6 +121,8 @@ ORACLE: dict[str, str] = {
     "p1_checked": f"SELECT CAST(least(600, sum(n)) AS BIGINT) AS \"rows\", CAST(least(600, count(*)) AS BIGINT) AS combinations, CAST(0 AS BIGINT) AS repeated, true AS gained FROM ({_COMBINATIONS})",
     "p5_found": f"""WITH {_UNITS}, n AS (SELECT a.obs_id AS a, b.obs_id AS b, list_dot_product(a.o, b.o) AS s FROM u a JOIN u b ON a.obs_id <> b.obs_id WHERE list_dot_product(a.o, b.o) >= 0.9), r AS (SELECT a, b FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r""",
+    "p4_within": f"""WITH v AS (SELECT 'target' AS metric, phase, target AS v FROM decisions WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1 UNION ALL SELECT 'margin', phase, margin FROM decision_snapshots QUALIFY row_number() OVER (PARTITION BY generation_seed, seed_key, seat, kyoku_index, decision_index ORDER BY loaded_at DESC NULLS LAST) = 1 UNION ALL SELECT 'q_target', phase, q_target FROM learnability_rows WHERE obs_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+g AS (SELECT metric, CASE WHEN phase IS NULL OR trim(phase) = '' THEN 'unknown' WHEN lower(trim(phase)) = 'mid' THEN 'middle' ELSE lower(trim(phase)) END AS grp, count(*) AS n FROM v WHERE isfinite(v) GROUP BY 1, 2) SELECT metric, grp, CAST(p AS DOUBLE) AS p, n, true AS within FROM g, unnest({list(quantiles.PERCENTS)}) t(p)""",
     "p5_recall": f"""WITH {_UNITS} SELECT count(*) AS asked, true AS enough FROM u WHERE obs_id % 100 = 0""",
     "p7_conserved": """WITH s AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND length(text) > 0), w AS (SELECT mix, source, sum(greatest(coalesce(target_share, 0), 0)) AS share, min(max_repeats) AS cap FROM mix_targets WHERE mix IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2)
 SELECT mix, w.source, s.source IS NOT NULL AND share > 0 AND coalesce(cap, 1) > 0 AS usable, true AS cap_kept, true AS sums_agree, true AS share_reached FROM w LEFT JOIN s ON w.source = s.source""",

@@ -30,6 +30,8 @@ from foldspan.runtime import cut, partitions_for
 K = 32
 SECTIONS = 3
 SPREAD = 0.1306
+#: parts in which the sketches of one group are merged first
+SPREAD_OVER = 16
 PERCENTS = (0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
@@ -213,7 +215,16 @@ def build(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def combine(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches merged to coarser ``keys`` (of partitions, files or days)."""
+    """Sketches merged to coarser ``keys`` (of partitions, files or days).
+
+    In two steps, so that a group with sketches from very many tasks or files is
+    first merged in ``SPREAD_OVER`` parts side by side.
+    """
+    salted = sketches.withColumn("salt_", F.pmod(F.xxhash64("n", "lo", "hi"), F.lit(SPREAD_OVER)).cast("int"))
+    return _combined(_combined(salted, [*keys, "salt_"]), keys)
+
+
+def _combined(sketches: DataFrame, keys: list[str]) -> DataFrame:
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +274,20 @@ def percentiles(sketches: DataFrame, keys: list[str], ps=PERCENTS) -> DataFrame:
     return sketches.select(*keys, *_NAMES).mapInArrow(run, schema)
 
 
+def within_bounds(values_: DataFrame) -> DataFrame:
+    """``metric, grp, p, n, within``: whether the exact rank of each percentile of all days lies within its bound.
+
+    All values are counted against the percentiles of their group, of which there
+    are a few dozen rows.
+    """
+    got = by_day_and_all(values_).where("level = 'all'").select("metric", "grp", "p", "value", "n", "max_rank_error")
+    got = F.broadcast(cut(got))
+    good = values_.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).select("metric", "grp", F.col("value").alias("v"))
+    ranks = good.join(got, ["metric", "grp"]).groupBy("metric", "grp", "p", "n", "max_rank_error").agg(F.count_if(F.col("v") < F.col("value")).alias("lt"), F.count_if(F.col("v") <= F.col("value")).alias("le"))
+    off = F.greatest(F.lit(0.0), F.col("lt") / F.col("n") - F.col("p"), F.col("p") - F.col("le") / F.col("n"))
+    return ranks.select("metric", "grp", "p", "n", (off <= F.col("max_rank_error") + 1 / F.col("n")).alias("within"))
+
+
 def by_day_and_all(values_: DataFrame) -> DataFrame:
     """Percentiles per metric, group and day, and of all days together.
 

@@ -44,7 +44,7 @@ def test_merge_order_and_packing():
             total.merge(Q.Sketch.of(sketches[i].row()))
         assert (total.n, total.nulls, total.lo, total.hi) == (len(v), 40, v.min(), v.max())
         for p, e in rank_errors(v, total.quantiles(Q.PERCENTS), Q.PERCENTS):
-            assert e <= 4 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v), (p, e)
+            assert e <= 3 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v), (p, e)
 
 
 def test_small_groups_are_exact():
@@ -76,7 +76,7 @@ def test_files_combine_to_the_whole(spark, tmp_path):
     assert Q.percentiles(one, ["metric", "grp", "file"]).where("p = 0.5").count() == 3
     whole = {r.p: r.value for r in Q.percentiles(Q.combine(one, ["metric", "grp"]), ["metric", "grp"]).collect()}
     for p, e in rank_errors(v, [whole[p] for p in Q.PERCENTS], Q.PERCENTS):
-        assert e <= 4 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v)
+        assert e <= 3 * Q.SPREAD / Q.K * min(p, 1 - p) + 2 / len(v)
 
 
 def test_files_of_all_tables_and_their_total(spark, tmp_path):
