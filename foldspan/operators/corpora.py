@@ -34,7 +34,7 @@ def scan(rows: DataFrame, cohort: str, cluster: str, strata: list[str], state: C
     both = x.isNotNull() & y.isNotNull()
     base = rows.groupBy(cohort).agg(
         F.count("*").alias("rows"), F.count_if(both & (F.col("greedy_") == F.col("action"))).alias("agreed"), F.count_if(both).alias("judged"),
-        F.corr(F.when(both, x), F.when(both, y)).alias("corr"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.count(y).alias("ny"),
+        F.try_divide(F.covar_pop(F.when(both, x), F.when(both, y)), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))).alias("corr"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.count(y).alias("ny"),
     )
     per = rows.groupBy(cohort, cluster).agg(F.count("*").alias("c")).groupBy(cohort).agg(F.count("*").alias("clusters"), F.min("c").alias("least"), F.percentile("c", F.lit(0.5)).alias("median"), F.max("c").alias("most"))
     cells = rows.groupBy(cohort, *strata).agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss")).where("n >= 2")

@@ -39,7 +39,7 @@ def _measured(spark, d):
     return O.measures(table(spark, d, "decisions").where("route is not null")).withColumn("y", B.finite("target"))
 
 
-@query(f"""WITH {MEASURED}, b AS (SELECT route, count(*) AS rows, CAST(sum(CASE WHEN own_q IS NOT NULL AND y IS NOT NULL AND greedy = action THEN 1 ELSE 0 END) AS BIGINT) AS agreed, coalesce(corr(own_q, y) FILTER (y IS NOT NULL AND own_q IS NOT NULL), 0) AS corr, count(y) AS ny, sum(y) AS sy, sum(y * y) AS syy, count(DISTINCT obs_id) AS decisions, count(DISTINCT hash(log_id, kyoku)) FILTER (log_id IS NOT NULL AND kyoku IS NOT NULL) AS states FROM m GROUP BY 1),
+@query(f"""WITH {MEASURED}, b AS (SELECT route, count(*) AS rows, CAST(sum(CASE WHEN own_q IS NOT NULL AND y IS NOT NULL AND greedy = action THEN 1 ELSE 0 END) AS BIGINT) AS agreed, coalesce(nullif(corr(own_q, y) FILTER (y IS NOT NULL AND own_q IS NOT NULL), 'NaN'::DOUBLE), 0) AS corr, count(y) AS ny, sum(y) AS sy, sum(y * y) AS syy, count(DISTINCT obs_id) AS decisions, count(DISTINCT hash(log_id, kyoku)) FILTER (log_id IS NOT NULL AND kyoku IS NOT NULL) AS states FROM m GROUP BY 1),
 c AS (SELECT route, count(*) AS clusters, min(c) AS least, quantile_cont(c, 0.5) AS median, max(c) AS most FROM (SELECT route, log_id, count(*) AS c FROM m GROUP BY 1, 2) GROUP BY 1), s AS (SELECT route, sum(ss - s * s / n) AS w FROM (SELECT route, phase, kyoku, count(y) AS n, sum(y) AS s, sum(y * y) AS ss FROM m GROUP BY 1, 2, 3) WHERE n >= 2 GROUP BY 1)
 SELECT b.route, rows, clusters, least, median, most, states, decisions, round(agreed / rows, 8) AS agreement, round(corr, 8) AS corr, round(CASE WHEN ny > 1 AND syy - sy * sy / ny > 0 THEN coalesce(w, 0) / (syy - sy * sy / ny) ELSE 1 END, 8) AS within_ratio FROM b JOIN c USING (route) LEFT JOIN s USING (route)""")
 def corpus_scan(spark, d):
@@ -102,7 +102,7 @@ def _drawn(spark, d, reps):
     return ids, S.multiplicities(ids.agg(F.count("*").alias("n")), reps, "days")
 
 
-@query(f"{_W}, dl AS ({_PLAIN}), {_CI} SELECT family, measure, round(lo, 8) AS lo, round(hi, 8) AS hi, lo > 0 AS above FROM ci")
+@query(f"{_W}, dl AS ({_PLAIN}), {_CI} SELECT family, measure, round(lo, 8) AS lo, round(hi, 8) AS hi, coalesce(lo > 0, false) AS above FROM ci")
 def support_bootstrap(spark, d, reps=1000):
     """Intervals of cohort means less the gap between two views, over resampled days."""
     ids, times = _drawn(spark, d, reps)
@@ -173,9 +173,9 @@ def exposure_report(spark, d):
     return _rounded(O.exposure_report(_exposed(spark, d)))
 
 
-@query("WITH c AS (SELECT kyoku % 3 AS family, own_riichi AS seed, route, action % 5 AS k, count(*) AS n FROM decisions WHERE kyoku IS NOT NULL AND own_riichi IS NOT NULL AND route IN ('M0', 'D1') AND action IS NOT NULL GROUP BY 1, 2, 3, 4), z AS (SELECT f.family, f.seed, r.route, k.k FROM (SELECT DISTINCT family, seed FROM c) f, (VALUES ('M0'), ('D1')) r(route), range(5) k(k)), s AS (SELECT z.*, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY z.family, z.seed, z.route) AS p FROM z LEFT JOIN c ON z.family = c.family AND z.seed = c.seed AND z.route = c.route AND z.k = c.k), w AS (SELECT family, seed, k, max(CASE WHEN route = 'M0' THEN p END) AS p, max(CASE WHEN route = 'D1' THEN p END) AS q FROM s GROUP BY 1, 2, 3), j AS (SELECT family, seed, sqrt(greatest(0, 0.5 * sum(p * ln((p + 1e-12) / ((p + q) / 2 + 1e-12))) + 0.5 * sum(q * ln((q + 1e-12) / ((p + q) / 2 + 1e-12))))) AS jsd FROM w GROUP BY 1, 2) SELECT CAST(family AS INTEGER) AS family, count(*) AS seeds, round(avg(jsd), 8) AS mean_jsd FROM j GROUP BY 1")
+@query("WITH c AS (SELECT kyoku % 3 AS family, own_riichi AS seed, route, action % 5 AS k, count(*) AS n FROM decisions WHERE kyoku IS NOT NULL AND own_riichi IS NOT NULL AND route IN ('M0', 'D1') AND action IS NOT NULL GROUP BY 1, 2, 3, 4), z AS (SELECT f.family, f.seed, r.route, k.k FROM (SELECT family, seed FROM c GROUP BY 1, 2 HAVING count(DISTINCT route) = 2) f, (VALUES ('M0'), ('D1')) r(route), range(5) k(k)), s AS (SELECT z.*, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY z.family, z.seed, z.route) AS p FROM z LEFT JOIN c ON z.family = c.family AND z.seed = c.seed AND z.route = c.route AND z.k = c.k), w AS (SELECT family, seed, k, max(CASE WHEN route = 'M0' THEN p END) AS p, max(CASE WHEN route = 'D1' THEN p END) AS q FROM s GROUP BY 1, 2, 3), j AS (SELECT family, seed, sqrt(greatest(0, 0.5 * sum(p * ln((p + 1e-12) / ((p + q) / 2 + 1e-12))) + 0.5 * sum(q * ln((q + 1e-12) / ((p + q) / 2 + 1e-12))))) AS jsd FROM w GROUP BY 1, 2) SELECT CAST(family AS INTEGER) AS family, count(*) AS seeds, round(avg(jsd), 8) AS mean_jsd FROM j GROUP BY 1")
 def between_seed_jsd(spark, d):
-    """Divergence of two cohorts per family and seed, averaged over seeds."""
+    """Divergence of two cohorts per family and seed that has both, averaged over seeds."""
     t = table(spark, d, "decisions").where("kyoku is not null and own_riichi is not null and route in ('M0', 'D1') and action is not null")
     cells = t.groupBy((F.col("kyoku") % 3).alias("family"), F.col("own_riichi").alias("seed"), "route", (F.col("action") % 5).alias("k")).agg(F.count("*").alias("n"))
     shares = cells.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("family", "seed", "route")))  # a few cells
@@ -183,7 +183,7 @@ def between_seed_jsd(spark, d):
     two = shares.groupBy("family", "seed", "k").agg(one("M0").alias("p"), one("D1").alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.col(x) * F.ln((F.col(x) + C.EPS) / (m + C.EPS))
-    j = two.groupBy("family", "seed").agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(part("p")) + 0.5 * F.sum(part("q")))).alias("jsd"))
+    j = two.groupBy("family", "seed").agg(F.sqrt(F.greatest(F.lit(0.0), 0.5 * F.sum(part("p")) + 0.5 * F.sum(part("q")))).alias("jsd"), F.sum("p").alias("a"), F.sum("q").alias("b")).where("a > 0 and b > 0")
     return _rounded(j.groupBy("family").agg(F.count("*").alias("seeds"), F.avg("jsd").alias("mean_jsd")))
 
 
