@@ -2,6 +2,7 @@
 
 import base64
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,3 +62,16 @@ def test_table(spark):
     n = {r.doc_id: r.tokens for r in tokens.count_tokens(df, ["doc_id"]).collect()}
     assert all(n[r.doc_id] == len(r.ids) for r in got)
     assert tokens.encode(df.limit(0)).count() == 0
+
+
+def test_flat_rows_merge_like_matrices():
+    rng, enc = np.random.default_rng(8), tokens.encoder(tokens.TOKENIZERS, "byte_bpe_50k")
+    words = [w for w in enc.ranks if 1 < len(w) < 12][:4000]
+    pieces = []
+    for i in range(300):
+        n = int(rng.integers(257, 700))
+        kind = i % 4
+        raw = bytes(rng.integers(97, 97 + (3, 26, 5, 2)[kind], n, dtype=np.uint8)) if kind != 2 else b"".join(words[int(k)] for k in rng.integers(0, len(words), n // 4 + 80))
+        pieces.append(raw[:700])
+    for raw, ids in zip(pieces, enc._matrix(pieces, 700)):
+        assert list(enc._flat(raw)) == list(ids)
