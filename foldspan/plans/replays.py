@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspan.operators import consolidate, replay
+from foldspan.operators import consolidate, replay, report
 from foldspan.plans.records import _LINES
 from foldspan.sources.tables import table
 
@@ -99,3 +99,21 @@ def replay_isolation(spark, d):
     rows = replay.decisions(e.unionByName(bad))
     counts = rows.groupBy("log_id").agg(F.count("kind").alias("decisions"), F.count_if("reached").alias("after_reach"), F.count_if(F.col("errors") == -1).alias("broken"))
     return counts.where("log_id <> 'broken' and decisions > 0")
+
+
+_VIEW = f"""{EVENTS}, t AS (SELECT *, {_TARGET} AS target FROM e), v AS (SELECT t.*, CAST(s.s AS INTEGER) AS seat, deltas[s.s + 1] AS d, s.s = 0 AS dealer, actor = 0 AS to_dealer,
+count(*) FILTER (type = 'dahai' AND actor = s.s) OVER w + 1 AS turn, count(*) FILTER (type = 'reach' AND actor = s.s) OVER w AS declared, count(*) FILTER (type = 'reach' AND actor <> s.s) OVER w AS others_declared, count(*) FILTER (actor = s.s AND type IN ('chi', 'pon', 'daiminkan', 'ankan', 'kakan')) OVER w AS called
+FROM t, range(4) s(s) WINDOW w AS (PARTITION BY log_id, s.s ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pr AS (SELECT log_id, seat, dealer, {', '.join(report.summed(n) for n in report.ROUND)} FROM v GROUP BY 1, 2, 3), f AS (SELECT log_id, seat, 25000 + coalesce(sum(d) FILTER (type IN ('hora', 'ryukyoku')), 0) AS final_score FROM v GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY final_score DESC, seat) AS rank FROM f),
+x AS (SELECT pr.seat, {', '.join(report.totals())} FROM pr JOIN rk ON pr.log_id = rk.log_id AND pr.seat = rk.seat GROUP BY 1)"""
+
+
+@query(f"{_VIEW} SELECT seat, {', '.join(report.rates())} FROM x")
+def player_report(spark, d):
+    """All 60 fields per seat, over the merged logs; each log is one round here."""
+    e = _events(spark, d)
+    pays = F.size(F.filter("deltas", lambda x: x < 0)) == 1
+    target = F.when(F.col("type") == "hora", F.when(pays, F.array_position("deltas", F.array_min("deltas")).cast("int") - 1).otherwise(F.col("actor")))
+    rounds = e.where("event_index >= 0").select("log_id", F.lit(0).alias("segment"), "event_index", "type", "actor", target.alias("target"), "deltas")
+    standing = replay.final_standing(e).withColumn("rank", F.col("rank") + 1)
+    return report.player_report(report.seat_view(rounds, F.lit(0)), standing)
