@@ -7,6 +7,7 @@ as Arrow batches.  Logs are games of bounded length, the unit of order.
 
 from __future__ import annotations
 
+import copy
 import json
 from collections import Counter
 from collections.abc import Callable, Iterable
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspan.functions.actions import keep_red
+from foldspan.functions.actions import keep_red, tile34
 
 #: one wide nullable record for every kind of event
 EVENT = (
@@ -246,15 +247,56 @@ def _dora(b: Board, e: dict) -> None:
 ROWS = "log_id string, segment int, event_index int, actor int, kind string, pai string, reached boolean, remaining_wall int, hand array<string>, state string, errors int"
 
 
-def fold(records: list[dict]) -> list[tuple]:
-    """Decision rows of one ordered log: state as it was before each decision."""
-    board, out = Board(), []
-    for e in records:
-        seat = e.get("actor")
-        if e.get("type") in DECISIONS and seat in (0, 1, 2, 3) and board.segment >= 0 and not (e["type"] == "dahai" and board.reached[seat]):
-            s = board.snapshot(seat)
-            out.append((e["log_id"], board.segment, e["event_index"], seat, e["type"], e.get("pai"), board.reached[seat], board.wall, s["hand"], json.dumps(s, sort_keys=True, separators=(",", ":")), board.errors))
+def could_call(hand: Counter, tile: str, follows: bool) -> bool:
+    """Whether the hand holds what a call of ``tile`` uses: a pair, or a run for the seat that follows.
+
+    A structural test; wins are not judged.
+    """
+    kind = _plain(tile)
+    held = Counter()
+    for t, n in hand.items():
+        held[_plain(t)] += n
+    if held[kind] >= 2:
+        return True
+    if not follows or len(kind) != 2 or kind[1] not in "mps":
+        return False
+    at = lambda k: held[f"{int(kind[0]) + k}{kind[1]}"] > 0
+    return (at(-2) and at(-1)) or (at(-1) and at(1)) or (at(1) and at(2))
+
+
+def fold(records: list[dict], passes: bool = False) -> list[tuple]:
+    """Decision rows of one ordered log: state as it was before each decision.
+
+    Wins that follow each other on one discard all see the state before the first.
+    ``passes`` adds a row of kind ``none`` for each other seat that could have
+    called a discard which the next draw passed over.
+    """
+    board, out, shared = Board(), [], None
+    ahead: list[str | None] = [None] * len(records)
+    after = None
+    for i in range(len(records) - 1, -1, -1):  # the next event that is not a mere announcement
+        ahead[i] = after
+        if records[i].get("type") not in META:
+            after = records[i].get("type")
+
+    def row(e: dict, seat: int, kind: str, b: Board) -> tuple:
+        s = b.snapshot(seat)
+        return e["log_id"], b.segment, e["event_index"], seat, kind, e.get("pai"), b.reached[seat], b.wall, s["hand"], json.dumps(s, sort_keys=True, separators=(",", ":")), b.errors
+
+    for i, e in enumerate(records):
+        seat, kind = e.get("actor"), e.get("type")
+        if kind == "hora" and shared is None and ahead[i] == "hora":
+            shared = copy.deepcopy(board)
+        if kind in DECISIONS and seat in (0, 1, 2, 3) and board.segment >= 0 and not (kind == "dahai" and board.reached[seat]):
+            out.append(row(e, seat, kind, shared or board if kind == "hora" else board))
         board.step(e)
+        if passes and kind == "dahai" and ahead[i] == "tsumo" and board.segment >= 0:
+            for k in (1, 2, 3):
+                other = (seat + k) % 4
+                if not board.reached[other] and could_call(board.hands[other], e["pai"], k == 1):
+                    out.append(row(e, other, "none", board))
+        if kind != "hora" or ahead[i] != "hora":
+            shared = None
     return out
 
 
@@ -266,8 +308,8 @@ def _value(v):
     return None if isinstance(v, float) and v != v else int(v) if isinstance(v, float) and v == int(v) else v
 
 
-def decisions(events: DataFrame) -> DataFrame:
-    """Replays every log and gives one row per decision of a seat.
+def decisions(events: DataFrame, passes: bool = False) -> DataFrame:
+    """Replays every log and gives one row per decision of a seat, with ``passes`` also per call passed over.
 
     Forced discards after a declaration are no decisions.  A log whose replay
     breaks gives one row with a null kind and ``errors`` -1 and the reason in
@@ -279,7 +321,7 @@ def decisions(events: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("event_index")
         records = [{k: _value(v) for k, v in r.items()} for r in pdf.to_dict("records")]
         try:
-            rows = fold(records)
+            rows = fold(records, passes)
         except (KeyError, TypeError, IndexError, ValueError) as x:
             rows = [(key[0], None, None, None, None, None, None, None, None, f"{type(x).__name__}: {x}", -1)]
         return pd.DataFrame(rows, columns=names).astype({"segment": "Int32", "event_index": "Int32", "actor": "Int32", "remaining_wall": "Int32"})
@@ -322,3 +364,36 @@ def final_standing(events: DataFrame, stick: int = 1000) -> DataFrame:
     dealer = e.where("type = 'start_kyoku'").groupBy("log_id").agg(F.min_by("oya", "event_index").alias("first_dealer"))
     rank = F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("final_score"), F.pmod(F.col("seat") - F.col("first_dealer"), F.lit(4))))
     return last.join(dealer, "log_id").select("log_id", "seat", "final_score", (rank - 1).alias("rank"))
+
+
+def tile_moves(events: DataFrame) -> DataFrame:
+    """``log_id, event_index, seat, tile, hand, meld, seen``: what each event adds to a seat's counts per tile.
+
+    Draws add to the own hand and to what the seat has seen; discards leave the
+    hand and are seen by all; tiles of calls leave the hand for the meld and are
+    seen by all, the called tile too; dora markers are seen by all.
+    """
+    k, who = F.col("type"), F.col("actor")
+    used = F.coalesce("consumed", F.array().cast("array<string>"))
+    call, open_ = k.isin("chi", "pon", "daiminkan", "ankan"), k.isin("chi", "pon", "daiminkan")
+    part = lambda tiles, hand, meld, all_: F.transform(tiles, lambda t: F.struct(t.alias("t"), F.lit(hand).alias("hand"), F.lit(meld).alias("meld"), F.lit(all_).alias("all_")))
+    one = lambda c: F.array(c)
+    none = F.array().cast("array<struct<t:string,hand:int,meld:int,all_:boolean>>")
+    moves = F.concat(
+        F.when(k == "tsumo", part(one(F.col("pai")), 1, 0, False)).otherwise(none),
+        F.when(k == "dahai", part(one(F.col("pai")), -1, 0, True)).otherwise(none),
+        F.when(call, part(used, -1, 1, True)).otherwise(none),
+        F.when(open_ & F.col("pai").isNotNull(), part(one(F.col("pai")), 0, 1, True)).otherwise(none),
+        F.when(k == "kakan_accepted", part(one(F.col("pai")), -1, 1, True)).otherwise(none),
+        F.when(k.isin("dora", "new_dora"), part(one(F.col("dora_marker")), 0, 0, True)).otherwise(none),
+    )
+    rows = events.where(~k.isin("tsumo", "dahai", "chi", "pon", "daiminkan", "ankan", "kakan_accepted") | who.between(0, 3)).select("log_id", "event_index", "actor", F.explode(moves).alias("m"))
+    each = rows.select("log_id", "event_index", "actor", tile34("m.t").alias("tile"), "m.hand", "m.meld", "m.all_", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("seat")).where("tile >= 0")
+    own = F.coalesce(F.col("actor") == F.col("seat"), F.lit(False))
+    return each.where(own | F.col("all_")).select("log_id", "event_index", "seat", "tile", F.when(own, F.col("hand")).otherwise(0).alias("hand"), F.when(own, F.col("meld")).otherwise(0).alias("meld"), F.lit(1).alias("seen"))
+
+
+def tracked(moves: DataFrame) -> DataFrame:
+    """``moves`` with running ``hand_now, meld_now, seen_now`` of the seat and tile after each event."""
+    w = Window.partitionBy("log_id", "seat", "tile").orderBy("event_index").rangeBetween(Window.unboundedPreceding, 0)
+    return moves.withColumns({f"{c}_now": F.sum(c).over(w) for c in ("hand", "meld", "seen")})

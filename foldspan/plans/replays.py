@@ -117,3 +117,24 @@ def player_report(spark, d):
     rounds = e.where("event_index >= 0").select("log_id", F.lit(0).alias("segment"), "event_index", "type", "actor", target.alias("target"), "deltas")
     standing = replay.final_standing(e).withColumn("rank", F.col("rank") + 1)
     return report.player_report(report.seat_view(rounds, F.lit(0)), standing)
+
+
+_PLAIN = "regexp_replace(regexp_replace({0}, 'r$', ''), '^0([mps])$', '5\\1')"
+_TILE = "CASE WHEN regexp_matches(p, '^[1-9][mps]$') THEN CAST(p[1] AS INTEGER) - 1 + CASE p[2] WHEN 'm' THEN 0 WHEN 'p' THEN 9 ELSE 18 END ELSE CASE p WHEN 'E' THEN 27 WHEN 'S' THEN 28 WHEN 'W' THEN 29 WHEN 'N' THEN 30 WHEN 'P' THEN 31 WHEN 'F' THEN 32 WHEN 'C' THEN 33 ELSE -1 END END"
+
+
+@query(f"""{EVENTS}, u AS (SELECT log AS log_id, event_index, unnest(CAST(json_extract(line, '$.consumed') AS VARCHAR[])) AS t FROM r WHERE n = 1), k AS (SELECT e.log_id, e.event_index, actor, pai AS t, CASE type WHEN 'tsumo' THEN 1 WHEN 'dahai' THEN -1 ELSE 0 END AS hand, CASE WHEN type IN ('chi', 'pon') THEN 1 ELSE 0 END AS meld, type <> 'tsumo' AS all_ FROM e WHERE type IN ('tsumo', 'dahai', 'chi', 'pon') AND pai IS NOT NULL AND actor BETWEEN 0 AND 3
+UNION ALL SELECT e.log_id, e.event_index, actor, u.t, -1, 1, true FROM e JOIN u ON e.log_id = u.log_id AND e.event_index = u.event_index WHERE type IN ('chi', 'pon') AND actor BETWEEN 0 AND 3),
+x AS (SELECT *, {_PLAIN.format('t')} AS p FROM k), y AS (SELECT *, {_TILE} AS tile FROM x), z AS (SELECT log_id, CAST(s.s AS INTEGER) AS seat, tile, CASE WHEN s.s = actor THEN hand ELSE 0 END AS hand, CASE WHEN s.s = actor THEN meld ELSE 0 END AS meld FROM y, range(4) s(s) WHERE tile >= 0 AND (all_ OR s.s = actor))
+SELECT log_id, seat, CAST(tile AS INTEGER) AS tile, CAST(sum(hand) AS BIGINT) AS hand, CAST(sum(meld) AS BIGINT) AS meld, count(*) AS seen FROM z GROUP BY 1, 2, 3""")
+def tracked_counts(spark, d):
+    """Counts per log, seat and tile after the last event, from the running ones."""
+    t = replay.tracked(replay.tile_moves(_events(spark, d).where("event_index >= 0")))
+    last = t.groupBy("log_id", "seat", "tile").agg(F.max_by(F.struct("hand_now", "meld_now", "seen_now"), "event_index").alias("n"))
+    return last.select("log_id", "seat", "tile", F.col("n.hand_now").alias("hand"), F.col("n.meld_now").alias("meld"), F.col("n.seen_now").alias("seen"))
+
+
+@query()
+def replay_passes(spark, d):
+    """Decision rows with the calls that were passed over; hands are what was drawn, as these logs hold no deal."""
+    return replay.decisions(_events(spark, d), passes=True).where("kind is not null").select("log_id", "event_index", "actor", "kind", "remaining_wall")

@@ -111,3 +111,26 @@ def test_shard_reports_and_names(spark, tmp_path):
     names = spark.createDataFrame([("g", list("wxyz"))], "log_id string, new_names array<string>")
     got = {(r.log_id, r.type): r.names for r in readers.renamed(frame(spark, {"g": GAME[:2], "h": GAME[:1]}), names).collect()}
     assert got == {("g", "start_game"): list("wxyz"), ("g", "start_kyoku"): None, ("h", "start_game"): list("abcd")}
+
+
+def test_passes_and_shared_wins(spark):
+    deal = start(tehais=[HAND, ["3p", "4p", "9s", "9s", "E"], ["2p", "3p"], ["5p", "5pr", "N"]])
+    log = [
+        deal,
+        {"type": "tsumo", "actor": 0, "pai": "2p"},
+        {"type": "dahai", "actor": 0, "pai": "2p", "tsumogiri": True},
+        {"type": "tsumo", "actor": 1, "pai": "9s"},
+        {"type": "dahai", "actor": 1, "pai": "5p", "tsumogiri": False},
+        {"type": "dora", "dora_marker": "1s"},
+        {"type": "tsumo", "actor": 2, "pai": "C"},
+        {"type": "dahai", "actor": 2, "pai": "N", "tsumogiri": False},
+        {"type": "hora", "actor": 1, "target": 2, "deltas": [0, 1000, -1000, 0], "scores": [1, 2, 3, 4]},
+        {"type": "hora", "actor": 3, "target": 2, "deltas": [0, 0, -1000, 1000]},
+    ]
+    rows = R.decisions(frame(spark, {"g": log}), passes=True).orderBy("event_index", "actor").collect()
+    assert [(r.event_index, r.actor) for r in rows if r.kind == "none"] == [(2, 1), (4, 3)]  # the seat after may run, others need a pair
+    wins = [json.loads(r.state)["scores"] for r in rows if r.kind == "hora"]
+    assert wins == [[25000] * 4] * 2
+    moves = R.tracked(R.tile_moves(frame(spark, {"g": log})))
+    nines = {r.event_index: (r.hand_now, r.seen_now) for r in moves.where("seat = 1 and tile = 26").collect()}
+    assert nines == {3: (1, 1)} and moves.where("seat = 3 and tile = 18").first().seen_now == 1
