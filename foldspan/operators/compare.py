@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspan.runtime import cut, partitions_for
+
 EPS = 1e-12
 
 
@@ -48,14 +50,24 @@ def divergence(counts: DataFrame, cohort: str, key: str) -> DataFrame:
 def wasserstein(df: DataFrame, keys: list[str], value: str, side_a, weight) -> DataFrame:
     """Exact weighted 1-Wasserstein distance between two sides of each group.
 
-    Weights are normalised per side; a side without weight makes it null.  The
-    window runs over distinct values.
+    Weights are normalised per side; a side without weight makes it null.  Distinct
+    values are range-sorted and sums shifted from range to range, so that one
+    group of very many values is spread over tasks.
     """
-    mass = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(F.when(side_a, weight).otherwise(0)).alias("wa"), F.sum(F.when(~side_a, weight).otherwise(0)).alias("wb"))
-    by, whole = Window.partitionBy(*keys).orderBy("v"), Window.partitionBy(*keys)
-    cdf = lambda c: F.try_divide(F.sum(c).over(by), F.sum(c).over(whole))
-    gap = F.abs(cdf("wa") - cdf("wb"))
-    return mass.select(*keys, (F.coalesce(F.lead("v").over(by) - F.col("v"), F.lit(0)) * gap).alias("d")).groupBy(*keys).agg(F.sum("d").alias("distance"))
+    group = F.struct(*keys) if keys else F.lit(0)
+    mass = df.where(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).alias("v")).agg(F.sum(F.when(side_a, weight).otherwise(0)).alias("wa"), F.sum(F.when(~side_a, weight).otherwise(0)).alias("wb"))
+    held = cut(mass.repartitionByRange(partitions_for(df.sparkSession), "g", "v").withColumn("part", F.spark_partition_id()))
+    local = Window.partitionBy("part", "g").orderBy("v")
+    run = held.withColumns({"ca": F.sum("wa").over(local), "cb": F.sum("wb").over(local), "next": F.lead("v").over(local)})
+    edges = held.groupBy("g", "part").agg(F.sum("wa").alias("sa"), F.sum("wb").alias("sb"), F.min("v").alias("first"))  # one row per group and range
+    parts, whole = Window.partitionBy("g").orderBy("part"), Window.partitionBy("g")
+    before = lambda c: F.coalesce(F.sum(c).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = edges.select(F.col("g").alias("h"), F.col("part").alias("p"), before("sa").alias("ba"), before("sb").alias("bb"), F.sum("sa").over(whole).alias("ta"), F.sum("sb").over(whole).alias("tb"), F.lead("first").over(parts).alias("then"))
+    all_ = run.join(shift, F.col("g").eqNullSafe(F.col("h")) & (F.col("part") == F.col("p")))
+    gap = F.abs(F.try_divide(F.col("ca") + F.col("ba"), "ta") - F.try_divide(F.col("cb") + F.col("bb"), "tb"))
+    step = F.coalesce(F.coalesce("next", "then") - F.col("v"), F.lit(0))
+    out = all_.groupBy("g").agg(F.sum(step * gap).alias("distance"))
+    return out.select(*[F.col(f"g.{k}").alias(k) for k in keys], "distance")
 
 
 def overlap(df: DataFrame, cohort: str, key: str) -> DataFrame:

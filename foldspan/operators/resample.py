@@ -164,7 +164,7 @@ def hierarchical_means(units: DataFrame, stratum: str, order: str, value: str, r
     numbered = sizes.select("s", "n", (F.row_number().over(Window.orderBy("s")) - 1).cast("bigint").alias("k"))  # one row per stratum
     count = numbered.agg(F.count("*").alias("m"))
     outer = units.sparkSession.range(reps).select(F.col("id").alias("rep")).join(F.broadcast(count)).select("rep", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("slot"))
-    outer = outer.select("rep", "slot", draw(F.col("m"), name, "outer", F.col("rep"), F.col("slot")).alias("k")).join(F.broadcast(numbered), "k")
+    outer = outer.select("rep", "slot", draw(F.col("m"), name, "outer", F.col("rep"), F.col("slot")).alias("k")).join(numbered, "k")
     # slots are made in blocks, so that no row holds all of a stratum
     blocks = outer.select("rep", "slot", "s", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {BLOCK}"))).alias("b"))
     inner = blocks.select("rep", "slot", "s", "n", F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("n"), (F.col("b") + 1) * BLOCK) - 1)).alias("i")).select("rep", "slot", "s", draw(F.col("n"), name, "inner", F.col("rep"), F.col("slot"), F.col("i")).alias("place"))

@@ -140,7 +140,11 @@ def gap_to_best_other(scores: Column, seat: Column) -> Column:
 
 
 def prefixes(df: DataFrame, keys: list[str], order: str, value: str, out: str = "prefix") -> DataFrame:
-    """Each row with the values of its cluster up to itself."""
+    """Each row with the values of its cluster up to itself.
+
+    A cluster of n rows gives n lists of up to n values, so it is for clusters of
+    bounded length, as the segments of one game are.
+    """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(FIRST, 0)
     return df.withColumn(out, F.collect_list(value).over(w))
 
@@ -167,6 +171,15 @@ def budgeted(df: DataFrame, cluster: list[str], segment: str, order: str, u: Col
     return rows.withColumn("reason", reason).drop("first_", "seen_", "used_", "u_")
 
 
+def crossed(keys: DataFrame, values: DataFrame, column: str, most: int = 10_000) -> DataFrame:
+    """Every key with every value of a small set, which may hold ``most`` values; more raise."""
+    names = [r[0] for r in values.select(column).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    kind = values.schema[column].dataType
+    return keys.withColumn(column, F.explode(F.array(*map(F.lit, names)).cast(f"array<{kind.simpleString()}>")))
+
+
 def filled(df: DataFrame, keys: DataFrame, on: list[str], value: str) -> DataFrame:
     """Counts over a full key universe, absent keys as zero."""
     return keys.join(df, on, "left").withColumn(value, F.coalesce(value, F.lit(0)))

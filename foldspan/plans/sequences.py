@@ -201,6 +201,6 @@ def prefix_expansion(spark, d):
 def zero_filled_counts(spark, d):
     jobs = table(spark, d, "export_jobs").select("manifest_id", "shard")
     shards = jobs.select("shard").where("shard is not null").distinct()
-    universe = table(spark, d, "export_manifests").select("manifest_id").distinct().join(F.broadcast(shards))  # a handful of shards
+    universe = W.crossed(table(spark, d, "export_manifests").select("manifest_id").distinct(), shards, "shard")
     c = W.filled(jobs.groupBy("manifest_id", "shard").agg(F.count("*").alias("n")), universe, ["manifest_id", "shard"], "n")
     return c.groupBy("shard").agg(F.count("*").alias("manifests"), F.sum("n").alias("files"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("mid"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"))
