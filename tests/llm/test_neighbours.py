@@ -156,3 +156,13 @@ def test_subtrees_in_shards(spark, planted, monkeypatch):
     got = {tuple(r) for r in N.similar_pairs(frame(spark, ids, x)).collect()}
     want = truth(ids, x)
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_recall_sees_misses(spark, planted):
+    ids, x = planted
+    df = frame(spark, ids, x)
+    found = N.nearest(df, k=5, every=10)
+    assert tuple(N.recall(df, found, every=10).first()) == (sum(i % 10 == 0 for i in ids), True)
+    assert not N.recall(df, found.where("place = 1"), every=10).first().enough
+    empty = spark.createDataFrame([], SCHEMA)
+    assert tuple(N.recall(empty, N.nearest(empty)).first()) == (0, True)

@@ -88,3 +88,12 @@ def test_files_of_all_tables_and_their_total(spark, tmp_path):
     got = catalog.p4_files(spark, str(tmp_path)).where("p = 0.5").collect()
     assert {(r.metric, r.level, r.n) for r in got} == {(m, *x) for m in ("target", "margin", "q_target") for x in (("file", 100), ("all", 300))}
     assert sum(r.level == "file" for r in got) == 9 and all(abs(r.value - 149.5) < 5 and r.file is None for r in got if r.level == "all")
+
+
+def test_bounds_hold_over_many_parts(spark):
+    rng = np.random.default_rng(12)
+    rows = [("m", "hot" if i % 3 else None, datetime.date(2025, 1, 1 + i % 5), float(v)) for i, v in enumerate(rng.lognormal(0, 3, 30_000))] + [("m", "hot", None, None), ("m", "few", None, float("nan")), ("m", "few", None, 1.0)]
+    df = spark.createDataFrame(rows, "metric string, grp string, day date, value double").repartition(40)
+    got = Q.within_bounds(df).collect()
+    assert {(r.grp, r.n) for r in got} == {("hot", 20_000), ("few", 1)} and all(r.within for r in got) and len(got) == 2 * len(Q.PERCENTS)
+    assert Q.within_bounds(df.limit(0)).count() == 0

@@ -116,3 +116,31 @@ def test_total_beyond_a_cap(spark, docs):
     goals = spark.createDataFrame([("m", "small", 0.5, 2, 1), ("m", "big", 0.5, None, 1)], GOALS)
     s = {r.source: r for r in M.mixed(spark.createDataFrame(docs, DOCS), goals, total=20_000)[1].collect()}
     assert s["small"].most_copies == 2 and s["small"].emitted == 2 * s["small"].tokens and s["small"].reached_share < 0.5
+
+
+def test_replaced_deliveries_and_checks(spark):
+    rng = np.random.default_rng(9)
+    rows = [decision(i, obs=rng.normal(size=64).tolist()) for i in range(50)] + [decision(7, "late", "kan", 1, None, T + datetime.timedelta(1)), decision(8, "late", "pon", 1, None, T - datetime.timedelta(1)), decision(9, "early", "discard", 2, [float("inf")] * 64, None), decision(None, "late", "pass", 3)]
+    df = spark.createDataFrame(rows, DEC).repartition(3)
+    got = {r.obs_id: r for r in D.varied(df, 100).collect()}
+    assert set(got) == set(range(50)) and (got[7].phase, got[7].rows_alike) == ("late", 1) and got[8].phase == "early" and got[0].rows_alike == 49
+    assert tuple(D.checked(df, 20).first()) == (20, 2, 0, True)
+    assert tuple(D.checked(df.limit(0), 20).first()) == (0, 0, 0, True)
+
+
+def test_swaps_beat_the_greedy_start():
+    rng = np.random.default_rng(11)
+    code = rng.integers(0, 250, 120)
+    x = rng.standard_normal((120, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, begun, total = D.search(code, x, 12)
+    assert len(rows) == 12 and total >= begun
+
+
+def test_mix_checks(spark, docs):
+    goals = spark.createDataFrame([("m", "big", 0.5, 4, 1), ("m", "mid", 0.5, None, 1), ("m", "gone", 0.1, 1, 1), ("z", "small", 0.0, 1, 1)], GOALS)
+    df = spark.createDataFrame(docs, DOCS)
+    got = {(r.mix, r.source): tuple(r)[2:] for r in M.conserved(*M.mixed(df, goals)).collect()}
+    assert got == {("m", "big"): (True,) * 4, ("m", "mid"): (True,) * 4, ("m", "gone"): (False, True, True, True), ("z", "small"): (False, True, True, True)}
+    assert {r.reason: r.docs for r in M.left_out(df).collect()} == {"null text": 1, "empty text": 1, "no source": 1}
+    assert M.left_out(df.limit(0)).count() == 0
