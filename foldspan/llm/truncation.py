@@ -135,7 +135,8 @@ def ended(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise("none")
     )
     kind = F.coalesce(kind, F.lit("none"))
-    return out.select(*kept, kind.alias("ending_kind"), _verdict(kind).alias("ending"))
+    out = out.select(*kept, kind.alias("ending_kind"))  # judged once, then named
+    return out.withColumn("ending", _verdict(F.col("ending_kind")))
 
 
 def _verdict(kind: Column) -> Column:
