@@ -9,7 +9,7 @@ from foldspan.functions import actions as A
 from foldspan.functions import buckets as B
 from foldspan.functions import hashing as H
 from foldspan.functions import vectors as V
-from foldspan.operators import consolidate, kernels, ranking
+from foldspan.operators import adapters, consolidate, kernels, ranking
 from foldspan.plans.logs import TILES, _counts, judged
 from foldspan.plans.replays import EVENTS
 from foldspan.sources.tables import table
@@ -222,3 +222,13 @@ def good_shape_draws(spark, d):
 def custom_rank_points(spark, d):
     points = ranking.parse_points([90, 45, 0, -135])
     return spark.createDataFrame([("given", float(sum(points)))], "profile string, total double")
+
+
+_ADAPTED = "l AS (SELECT action, CASE WHEN isfinite(target) THEN greatest(-1, least(1, target)) ELSE 0 END AS value FROM decisions WHERE action IS NOT NULL AND mask[action + 1])"
+
+
+@query(f"WITH {_ADAPTED}, a AS (SELECT action, value, 0 AS turned FROM l UNION ALL SELECT CASE WHEN action < 9 THEN action + 9 WHEN action < 18 THEN action - 9 ELSE action END, value, 1 FROM l) SELECT turned, CAST(action AS INTEGER) AS action, count(*) AS n, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 4) AS total FROM a GROUP BY 1, 2")
+def adapted_rows(spark, d):
+    """Rows of the augmenting adapter: legal ones, clipped targets, each once more with two suits changed."""
+    t = adapters.adapted(table(spark, d, "decisions").select("action", "mask", "target"), "augmented")
+    return t.groupBy("turned", F.col("action").cast("int").alias("action")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))

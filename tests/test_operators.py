@@ -274,3 +274,19 @@ def test_set_differences_of_whole_tables(spark, tmp_path):
 def test_second_moments_of_whole_vectors(spark, tiny):
     got = audits.QUERIES["second_moments_64"](spark, tiny).where("cohort = 0").collect()
     assert len(got) == 64 * 65 // 2 and max(r.j for r in got) == 63
+
+
+def test_adapters_and_encoders(spark):
+    from foldspan.operators import adapters as D
+
+    df = spark.createDataFrame([(0, [True] * 46, 5.0), (10, [False] * 46, 1.0), (45, [True] * 46, None), (None, [True] * 46, 1.0), (3, None, 1.0)], "action int, mask array<boolean>, target double")
+    rows = D.adapted(df, "augmented").collect()
+    assert sorted((r.action, r.turned, r.value) for r in rows) == [(0, 0, 1.0), (9, 1, 1.0), (45, 0, 0.0), (45, 1, 0.0)]
+    assert D.adapted(df.limit(0), "value").count() == 0 and D.names() == ["augmented", "policy", "value"]
+    assert D.encoder("foldspan.operators.features") is D.encoder("foldspan.operators.features:encode")
+    for bad in (lambda: D.adapted(df, "none"), lambda: D.register("value", D.Adapter())):
+        try:
+            bad()
+            raise AssertionError
+        except (KeyError, ValueError):
+            pass
