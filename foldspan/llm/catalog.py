@@ -72,7 +72,7 @@ def p7_taken(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].drop("longest")
 
 
 def p7_conserved(spark: SparkSession, d: str) -> DataFrame:

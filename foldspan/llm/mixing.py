@@ -81,7 +81,7 @@ def plan(targets: DataFrame, sizes: DataFrame, total: float | None = None, seed:
     want = joined.withColumn("want", F.col("share") * size)
     rate = F.try_divide("want", "tokens")
     unit = F.pmod(F.xxhash64("mix", "source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return want.select("mix", "source", "target", "share", "cap", "tokens", "n_docs", "want", F.when(rate.isNotNull(), F.least(rate, F.col("cap").cast("double"))).alias("rate"), unit.alias("offset"))
+    return want.select("mix", "source", "target", "share", "cap", "tokens", "n_docs", "longest", "want", F.when(rate.isNotNull(), F.least(rate, F.col("cap").cast("double"))).alias("rate"), unit.alias("offset"))
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -89,11 +89,11 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
 
     ``taken``: ``mix, source, doc_id, tokens, copies`` of each taken document.
     ``shares``: per mix and source the wanted and the reached share of tokens,
-    the documents and tokens at hand and emitted, and the most copies of one
-    document; sources without documents are listed with nothing reached.
+    the documents and tokens at hand and emitted, the most copies of one document
+    and its longest one; sources without documents are listed with nothing reached.
     """
     placed = positions(docs)
-    sizes = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    sizes = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"), F.max("tokens").alias("longest"))
     wanted = plan(targets, sizes, total, seed)
     rates = F.broadcast(wanted.where("rate > 0").select("mix", "source", "rate", "offset"))  # as many rows as mix_targets has
     cross = lambda step: F.floor(F.round(F.col("rate") * (F.col("place") + step) + F.col("offset"), 9))
@@ -103,7 +103,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
     emitted = F.coalesce("emitted", F.lit(0))
     shares = wanted.join(got, ["mix", "source"], "left").select(
         "mix", "source", F.col("target").alias("target_share"), F.round("share", 6).alias("wanted_share"), F.round(F.coalesce(F.try_divide(emitted, F.sum(emitted).over(mix)), F.lit(0.0)), 6).alias("reached_share"),
-        F.col("cap").alias("max_repeats"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs_taken", F.lit(0)).alias("docs_taken"), F.coalesce("tokens", F.lit(0)).alias("tokens"), emitted.alias("emitted"),
+        F.col("cap").alias("max_repeats"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("docs_taken", F.lit(0)).alias("docs_taken"), F.coalesce("tokens", F.lit(0)).alias("tokens"), emitted.alias("emitted"), F.coalesce("longest", F.lit(0)).alias("longest"),
     )
     return taken, shares
 
@@ -111,12 +111,15 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
 def conserved(taken: DataFrame, shares: DataFrame, off: float = 0.02) -> DataFrame:
     """``mix, source, usable, cap_kept, sums_agree, share_reached`` of every wanted mix and source.
 
-    ``sums_agree`` adds the copies up anew; ``share_reached`` allows ``off``, or one
-    document more or less where a source is that small.
+    ``sums_agree`` adds the copies up anew.  A source's tokens are off by its longest
+    document at most, as documents are drawn in the order of size, and the total by
+    those of all sources; ``share_reached`` allows that much, or ``off`` if it is more.
     """
-    sums = taken.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("again"), F.count("*").alias("rows"), F.max("copies").alias("most"), F.max("tokens").alias("longest"))
-    all_ = F.sum(F.coalesce("again", F.lit(0))).over(Window.partitionBy("mix"))
-    near = F.greatest(F.lit(off), F.try_divide(F.coalesce("longest", F.lit(0)), all_))
+    sums = taken.groupBy("mix", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("again"), F.count("*").alias("rows"), F.max("copies").alias("most"))
+    mix = Window.partitionBy("mix")
+    all_ = F.sum(F.coalesce("again", F.lit(0))).over(mix)
+    one = F.when(F.col("wanted_share").isNotNull(), F.col("longest")).otherwise(0)
+    near = F.greatest(F.lit(off), F.try_divide(one + F.col("wanted_share") * F.sum(one).over(mix), all_))
     return shares.join(sums, ["mix", "source"], "left").select(
         "mix", "source", F.col("wanted_share").isNotNull().alias("usable"),
         (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(2**31 - 1))).alias("cap_kept"),
