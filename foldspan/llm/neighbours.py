@@ -1,15 +1,24 @@
 """Most similar vectors for every vector, by a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample (``FIT_ROWS`` to ``MOST_FIT_ROWS``) and
-broadcast; every row is indexed.  A row descends to one leaf.  As a query it walks the tree best bin
+broadcast; every row is indexed.
+
+With a least similarity, pairs meet in subtrees.  A row descends to its own
+subtree and to those whose border is within a calibrated margin, so that both
+ends of a pair stand in one of them; there, the rows are laid out in cells by one
+more level of k-means, and a row asks the cells within a second margin.  Margins
+are the smallest that reach the wanted share of the hardest pairs that count, so
+what a row meets grows far slower than the rows do.
+
+Without one, a row descends to one leaf.  As a query it walks the tree best bin
 first: a priority queue of unopened nodes, keyed by distance to their centre,
 is popped until the calibrated number of leaves was reached.  The number is the
 smallest that finds the wanted share of known neighbours of held-out sample
-rows.
-
-Subtrees are the unit of distribution.  A row travels once to the subtree of
+rows.  A row travels once to the subtree of
 its leaf and once to each other subtree it visits, as 64 half-precision numbers
-with its leaf list; there, leaves are compared by blocked matrix products.  A
+with its leaf list; there, leaves are compared by blocked matrix products.
+
+Subtrees are the unit of distribution.  A
 subtree is cut by expected rows, so dense regions get more subtrees rather than
 larger tasks.  Exact copies are folded before the shuffle: of the copies in one
 batch only the ``k + 1`` smallest ids are indexed (ties go to the smaller id, so
@@ -37,8 +46,18 @@ WALK_ROWS = 10_000
 PROBES = 2_000
 LEAF_ROWS = 1_500
 BRANCH = 16
-#: largest subtree, in expected rows
+#: largest subtree, in expected rows; where pairs meet in subtrees, half as many are aimed at, as rows near a border stand in several
 GROUP_ROWS = 400_000
+#: rows of a cell within a subtree, and most cells of one
+CELL_ROWS, MOST_CELLS = 500, 1_024
+#: rows of a subtree that are compared without cells
+WHOLE_ROWS = 8_000
+#: leaves that a row is sent to, and cells that it asks, at most, unless calibration needs more
+MOST_MET, MOST_ASKED = 16, 64
+#: subtrees in which a row may stand on average even if calibration needs fewer
+SPARE = 2.0
+#: rows that spread at once, and sample rows among which probes look for neighbours
+SPREAD_ROWS, AMONG = 4_096, 20_000
 DIM = 64
 #: class rows that may be broadcast, and parts of a class beyond that
 FEW, SALTS = 200_000, 64
@@ -131,6 +150,40 @@ class Tree:
                 node[line[part][:, None], slots] = own
         used[line] += self.count[at]
 
+    def spread(self, x: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves within ``margin`` of a row, the ``most`` nearest of them, as ``row, leaf number``.
+
+        At each node a row goes to its best child and to those from whose cell the
+        plane halfway to the best one is at most ``margin`` away; a leaf is as far as
+        the farthest plane on its way, so the row's own leaf is at distance 0.
+        """
+        if len(x) > SPREAD_ROWS:
+            parts = [self.spread(x[s : s + SPREAD_ROWS], margin, most) for s in range(0, len(x), SPREAD_ROWS)]
+            return np.concatenate([r + i * SPREAD_ROWS for i, (r, _) in enumerate(parts)]), np.concatenate([n for _, n in parts])
+        row, node, far = np.arange(len(x)), np.full(len(x), -1), np.zeros(len(x), np.float32)
+        while True:
+            end = (node >= 0) & (self.first[node] < 0)
+            if end.all():
+                return row, self.leaf[node]
+            met = [(row[end], node[end], far[end])]
+            open_ = np.flatnonzero(~end)
+            open_ = open_[np.argsort(node[open_], kind="stable")]
+            for part in np.split(open_, np.flatnonzero(np.diff(node[open_])) + 1):
+                at = node[part[0]]
+                first, n = (0, self.roots) if at < 0 else (int(self.first[at]), int(self.count[at]))
+                centres = self.centres[first : first + n]
+                near = x[row[part]] @ centres.T
+                best = near.argmax(1)
+                apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-12))
+                away = (near[np.arange(len(part)), best][:, None] - near) / apart[best]
+                to, kid = np.nonzero(away <= margin)
+                met.append((row[part[to]], first + kid, np.maximum(far[part[to]], away[to, kid])))
+            row, node, far = (np.concatenate(m) for m in zip(*met))
+            order = np.lexsort((node, far, row))
+            row, node, far = row[order], node[order], far[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+            row, node, far = row[keep], node[keep], far[keep]
+
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
@@ -201,20 +254,79 @@ def fit(sample: np.ndarray, rows: int, seed: int = 7, leaf_rows: int = LEAF_ROWS
     return Tree(np.array([n[0] for n in nodes], np.float32), *(np.array([n[i] for n in nodes]) for i in (1, 2, 3)), np.array(groups), roots, shards, np.cumsum(shards) - shards)
 
 
-def calibrate_similar(tree: Tree, sample: np.ndarray, floor: float, recall: float, seed: int = 11) -> int:
-    """Leaves to visit so that of pairs at similarity ``floor`` one end finds the other.
+def _hardest(sample: np.ndarray, floor: float, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Probe rows and their hardest neighbours that still count.
 
-    Each probe row is turned by exactly that angle in a random direction: the
-    hardest pair that still counts.
+    A probe is turned in a random direction by the angle of ``floor``, or by that
+    of its k-th neighbour in the sample where that is closer.
     """
     rng = np.random.default_rng(seed)
     a = sample[rng.choice(len(sample), min(len(sample), PROBES), replace=False)]
+    among = sample[np.sort(rng.choice(len(sample), min(len(sample), AMONG), replace=False))]
+    m = min(k + 1, len(among))  # one may be the row itself
+    last = np.concatenate([np.partition(a[s : s + 128] @ among.T, -m, axis=1)[:, -m] for s in range(0, len(a), 128)])
+    near = np.clip(last, floor, 1)[:, None] if len(among) > k else np.full((len(a), 1), floor, np.float32)
     turn = rng.standard_normal(a.shape).astype(np.float32)
     turn -= (turn * a).sum(1, keepdims=True) * a
     turn /= np.linalg.norm(turn, axis=1, keepdims=True)
-    b = (floor * a + np.sqrt(1 - floor * floor) * turn).astype(np.float32)
+    return a, (near * a + np.sqrt(1 - near * near) * turn).astype(np.float32)
+
+
+def _narrowest(enough) -> float:
+    """Smallest margin at which ``enough``, which stays true beyond it; of unit vectors all leaves are within 2."""
+    low, high = -1e-3, 2.0
+    while high - low > 2e-3:
+        mid = (low + high) / 2
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return max(high, 0.0)
+
+
+def _least(share, leaves: int, most: int, recall: float) -> tuple[float, int]:
+    """Smallest margin, among as few nearest leaves as do, at which ``share`` reaches ``recall``."""
+    while most < leaves and share(2.0, most) < recall:
+        most *= 2
+    return _narrowest(lambda margin: share(margin, most) >= recall), most
+
+
+def calibrate_meeting(tree: Tree, sample: np.ndarray, floor: float, k: int, recall: float) -> tuple[float, int]:
+    """Margin, and most leaves, with which both ends of the hardest pairs come to one subtree.
+
+    It is wider than needed while rows stand in no more than ``SPARE`` subtrees on average.
+    """
+    groups = len(tree.shards)
+    a, b = _hardest(sample, floor, k)
+
+    def share(margin: float, most: int) -> float:
+        keys = [np.unique(row * groups + tree.group[leaf]) for row, leaf in (tree.spread(x, margin, most) for x in (a, b))]
+        return len(np.unique(np.intersect1d(*keys) // groups)) / len(a)
+
+    margin, most = _least(share, len(tree.group), MOST_MET, recall)
+    spare = _narrowest(lambda margin: len(tree.spread(a, margin, most)[0]) > SPARE * len(a))
+    return max(margin, spare - 2e-3), most
+
+
+def calibrate_similar(tree: Tree, sample: np.ndarray, floor: float, k: int, recall: float) -> tuple[float, int]:
+    """Margin, and most leaves, with which one end of the hardest pairs finds the leaf of the other."""
+    a, b = _hardest(sample, floor, k)
     ends = (a, tree.assign(b)), (b, tree.assign(a))
-    return _enough(tree, recall, lambda n: np.minimum(*(_place(tree.visits(x, n), leaf[:, None]) for x, leaf in ends)))
+
+    def share(margin: float, most: int) -> float:
+        found = np.zeros(len(a), bool)
+        for x, own in ends:
+            row, leaf = tree.spread(x, margin, most)
+            found[row[leaf == own[row]]] = True
+        return found.mean()
+
+    return _least(share, len(tree.group), MOST_ASKED, recall)
+
+
+def cells(x: np.ndarray, rows: int, floor: float, k: int, recall: float, seed: int = 7) -> tuple[Tree, float, int]:
+    """One level of cells for the ``rows`` rows of a subtree, of which ``x`` are some; margin and most cells that a row asks."""
+    n = int(np.clip(round(rows / CELL_ROWS), 1, min(MOST_CELLS, len(x)))) if rows > WHOLE_ROWS else 1
+    centres = _k_means(x[: 16 * n], n, np.random.default_rng(seed), 4)
+    n = len(centres)
+    tree = Tree(centres, np.full(n, -1), np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), n, np.ones(1, np.int64), np.zeros(1, np.int64))
+    return tree, *(calibrate_similar(tree, x, floor, k, recall) if n > 1 else (0.0, 1))
 
 
 def _place(visits: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -394,6 +506,49 @@ def _send(tree_b, visits: int, k: int, every: int):
     return run
 
 
+def _scatter(tree_b, margin: float, most: int, k: int):
+    """Rows to every subtree within ``margin``, where they are indexed and ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = tree_b.value
+        copies = _Copies(k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            half = _unit(batch.column(1)).astype(np.float16)
+            keep, klass = copies.fold(ids, half)
+            rest = ~keep & (klass != 0)
+            rest_ids, rest_class = ids[rest], klass[rest]
+            ids, half, klass = ids[keep], half[keep], klass[keep]
+            row = group = np.empty(0, np.int64)
+            if len(ids):
+                row, leaf = tree.spread(_full(half), margin, most)
+                key = np.unique(row * len(tree.shards) + tree.group[leaf])
+                row, group = np.divmod(key, len(tree.shards))
+            # a subtree in shards: a row is indexed in one and asks the others too
+            shards = tree.shards[group]
+            row, group = np.repeat(row, shards), np.repeat(group, shards)
+            shard = np.arange(len(row)) - np.repeat(np.cumsum(shards) - shards, shards)
+            kind = (shard != ids[row] % tree.shards[group]).astype(np.int32)
+            m, r = len(row), len(rest_ids)
+            vecs = _binary(half, np.arange(len(ids) + 1) * 128)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([tree.base[group] + shard, np.full(r, -1)]), pa.int32()),
+                    pa.array(np.concatenate([kind, np.full(r, 2, np.int32)]), pa.int32()),
+                    pa.array(np.concatenate([ids[row], rest_ids]), pa.int64()),
+                    pa.array(np.concatenate([np.where(kind == 0, klass[row], 0), rest_class]), pa.int64()),
+                    pa.nulls(m + r, pa.int32()),
+                    pa.nulls(m + r, pa.binary()),
+                    vecs.take(pa.array(np.concatenate([row, np.full(r, -1)]), pa.int64(), mask=np.arange(m + r) >= m)),
+                ],
+                names=[f.split()[0] for f in _MOVED.split(", ")],
+            )
+
+    return run
+
+
 def _held(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as numbers in a row, and how many each has (null: none)."""
     edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -421,8 +576,9 @@ def _best(q: np.ndarray, n: np.ndarray, val: np.ndarray, ids: np.ndarray, k: int
 class _Subtree:
     """The index rows of one subtree, and the comparison of queries with them."""
 
-    def __init__(self, k: int, floor: float | None):
-        self.k, self.floor = k, floor
+    def __init__(self, k: int, floor: float | None, recall: float | None = None):
+        """With ``recall``, rows come without leaves and are laid out in cells here."""
+        self.k, self.floor, self.recall = k, floor, recall
         self.parts: list[tuple] = []
         self.ready = False
 
@@ -432,22 +588,40 @@ class _Subtree:
 
     def build(self) -> None:
         ids, klass, leaf, vecs, flat, sizes = (np.concatenate(p) for p in zip(*self.parts))
+        self.parts = []
+        if self.recall:
+            once = np.unique(ids, return_index=True)[1]  # in the order of ids, so that cells don't depend on that of arrival
+            ids, klass, vecs = ids[once], klass[once], vecs[once]
+            some = np.random.default_rng(7).choice(len(ids), min(len(ids), AMONG), replace=False)
+            self.cells, self.margin, self.most = cells(_full(vecs[some]), len(ids), self.floor, self.k, self.recall)
+            leaf = np.concatenate([self.cells.assign(_full(vecs[s : s + SPREAD_ROWS])) for s in range(0, len(ids), SPREAD_ROWS)])
+            flat, sizes = self.near(vecs)
         order = np.lexsort((ids, leaf))
         once = np.ones(len(ids), bool)  # repeated deliveries of one row are neighbours in this order
         once[1:] = (ids[order][1:] != ids[order][:-1]) | (leaf[order][1:] != leaf[order][:-1])
         order = order[once]
         self.ids, self.klass, self.leaf = ids[order], klass[order], leaf[order]
-        self.half, self.x = vecs[order], _full(vecs[order])
+        self.half = vecs[order]
         self.flat, self.sizes = _picked(flat, sizes, order), sizes[order]
         starts = np.flatnonzero(np.diff(self.leaf, prepend=-1))
         self.range = {int(self.leaf[s]): (s, e) for s, e in zip(starts, [*starts[1:], len(self.ids)])}
-        self.parts, self.ready = [], True
+        self.ready = True
+
+    def near(self, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that rows ask, one row after the other, and their numbers."""
+        flat, sizes = [], []
+        for s in range(0, len(half), SPREAD_ROWS):
+            x = _full(half[s : s + SPREAD_ROWS])
+            row, cell = self.cells.spread(x, self.margin, self.most)
+            flat.append(cell.astype(np.uint32))
+            sizes.append(np.bincount(row, minlength=len(x)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def own(self) -> Iterator[tuple]:
         asks = np.flatnonzero(self.sizes)
         for s in range(0, len(asks), 32 * BLOCK):
             rows = asks[s : s + 32 * BLOCK]
-            yield from self.ask(self.ids[rows], self.x[rows], _picked(self.flat, self.sizes, rows), self.sizes[rows])
+            yield from self.ask(self.ids[rows], _full(self.half[rows]), _picked(self.flat, self.sizes, rows), self.sizes[rows])
 
     def _hits(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of a block that may be among the best: ``query, place, similarity``.
@@ -485,10 +659,11 @@ class _Subtree:
             if span is None:
                 continue
             lo, hi = span
-            for b in range(s, e, BLOCK):
-                rows = row[b : min(e, b + BLOCK)]
-                for c in range(lo, hi, ACROSS):
-                    q, n, val = self._hits(x[rows] @ self.x[c : min(hi, c + ACROSS)].T)
+            for c in range(lo, hi, ACROSS):
+                across = _full(self.half[c : min(hi, c + ACROSS)]).T
+                for b in range(s, e, BLOCK):
+                    rows = row[b : min(e, b + BLOCK)]
+                    q, n, val = self._hits(x[rows] @ across)
                     q, n = rows[q], c + n
                     other = ids[q] != self.ids[n]
                     held.append((q[other], n[other], val[other]))
@@ -517,7 +692,7 @@ class _Subtree:
         yield 1, name[rows[keep]], self.ids[rows[keep]], np.ones(int(keep.sum()))
 
 
-def _search(k: int, floor: float | None):
+def _search(k: int, floor: float | None, recall: float | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind, a, b, s):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["kind", "a", "b", "similarity"])
@@ -530,7 +705,7 @@ def _search(k: int, floor: float | None):
                 for found in tree.own():
                     yield rows(*found)
 
-        now, tree = None, _Subtree(k, floor)
+        now, tree = None, _Subtree(k, floor, recall)
         for batch in batches:
             g, kind = (batch.column(i).to_numpy() for i in (0, 1))
             edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
@@ -544,14 +719,17 @@ def _search(k: int, floor: float | None):
                     continue
                 if g[s] != now:
                     yield from finish(tree)
-                    now, tree = g[s], _Subtree(k, floor)
+                    now, tree = g[s], _Subtree(k, floor, recall)
                 flat, sizes = _held(part.column(5), np.uint32)
                 vecs = _held(part.column(6), np.float16)[0].reshape(-1, DIM)
                 if kind[s] == 0:
-                    tree.add(ids, part.column(3).to_numpy(), part.column(4).to_numpy(), vecs, flat, sizes)
+                    leaf = np.zeros(e - s, np.int32) if recall else part.column(4).to_numpy()
+                    tree.add(ids, part.column(3).to_numpy(), leaf, vecs, flat, sizes)
                     continue
                 yield from finish(tree)
                 if tree.ready:
+                    if recall:
+                        flat, sizes = tree.near(vecs)
                     for found in tree.ask(ids, _full(vecs), flat, sizes):
                         yield rows(*found)
         yield from finish(tree)
@@ -595,16 +773,25 @@ def found_edges(vectors: DataFrame, k: int = 5, floor: float | None = None, reca
         return spark.createDataFrame([], "a bigint, b bigint, similarity double")
     sample = _unit(sample.column("vec").combine_chunks())
     sample = sample[np.lexsort(sample.T[::-1])]
-    tree = fit(sample, rows)
-    visits = calibrate_similar(tree, sample, floor, recall) if floor is not None else calibrate_nearest(tree, sample, k, recall)
-    tree_b = spark.sparkContext.broadcast(tree)  # bounded by MOST_FIT_ROWS / 10 centres
-    moved = good.mapInArrow(_send(tree_b, visits, k, every), _MOVED)
+    if floor is None:
+        tree = fit(sample, rows)
+        visits = calibrate_nearest(tree, sample, k, recall)
+        tree_b = spark.sparkContext.broadcast(tree)  # bounded by MOST_FIT_ROWS / 10 centres
+        send, inside = _send(tree_b, visits, k, every), None
+    else:
+        inside = recall**0.05  # pairs may be missed between subtrees, where a copy more is dear, and within one
+        aim = min(GROUP_ROWS // 2, max(rows // 8, WHOLE_ROWS // 2))
+        tree = fit(sample, rows, leaf_rows=aim, group_rows=aim)
+        tree_b = spark.sparkContext.broadcast(tree)
+        send = _scatter(tree_b, *calibrate_meeting(tree, sample, floor, k, recall**0.95), k)
+    moved = good.mapInArrow(send, _MOVED)
     groups = int(tree.shards.sum())
     placed = moved.repartitionById(groups, F.when(F.col("g") >= 0, F.col("g")).otherwise(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))).sortWithinPartitions("g", "kind")
-    found = cut(placed.mapInArrow(_search(k, floor), _FOUND))
+    found = cut(placed.mapInArrow(_search(k, floor, inside), _FOUND))
     edges = found.where("kind = 0").select("a", "b", "similarity")
     rest = found.where("kind = 2").select(F.col("a"), F.col("b").alias("class"))
     if every > 1:
+        edges = edges.where(F.pmod("a", F.lit(every)) == 0)
         rest = rest.where(F.pmod("a", F.lit(every)) == 0)
     classes = found.where("kind = 1").select(F.col("a").alias("class"), "b").distinct()
     if classes.count() <= FEW:
